@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["indicators"]
+SUBJECTS = ["indicators", "series", "scanning", "markets"]
 
 
 def load():
@@ -10,4 +10,4 @@ def load():
 
     for s in SUBJECTS:
         import_module(f"barline.plans.{s}")
-    return registry.QUERIES, registry.ORACLES
+    return registry.QUERIES, {n: registry.compose(*o) for n, o in registry.ORACLES.items()}

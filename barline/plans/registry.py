@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from barline.sources.market import Market
 
 QUERIES: dict[str, Callable[[Market], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, str]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -46,7 +46,7 @@ def query(name: str, needs: str = "", sql: str | None = None):
         assert name not in QUERIES, name
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = compose(needs, sql)
+            ORACLES[name] = (needs, sql)
         return fn
 
     return deco

@@ -33,6 +33,13 @@ def segmented(bars: DataFrame, lookback: int = 0, lookahead: int = 0, size: int
     )
 
 
+def tail(bars: DataFrame, k: int, size: int = SEGMENT) -> DataFrame:
+    """The last k bars of each symbol as one segment, for results at the end of the history."""
+    return bars.filter(F.col("bar_idx") >= F.col("n_bars") - k).withColumns(
+        {"seg": F.floor((F.col("n_bars") - 1) / size), "context": F.lit(False)}
+    )
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     """Drops the context copies again."""
     return df.filter(~F.col("context")).drop("seg", "context")

@@ -125,6 +125,43 @@ class Market:
             "bench", self.path, ["symbol"], ["symbol", "bar_idx"],
         )
 
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        from barline.operators.scan import snapshots
+
+        return stored(snapshots(self.bars, self.benchmark), "snapshots", self.path, ["symbol"], ["symbol"])
+
+    @cached_property
+    def moves(self) -> DataFrame:
+        """Every bar with its change on the previous one and the dimensions of its symbol."""
+        w = Window.partitionBy("symbol").orderBy("bar_idx")
+        prev = F.lag("close").over(w)
+        b = self.bars.select("symbol", "bar_date", "bar_idx", "n_bars", "close", "volume", (F.col("close") / prev - 1).alias("ret"))
+        return b.join(self.universe, "symbol")
+
+    @cached_property
+    def latest_moves(self) -> DataFrame:
+        """The last move of each symbol: ``change_pct`` and its direction."""
+        d = self.moves.filter(F.col("bar_idx") == F.col("n_bars") - 1).withColumn("change_pct", F.col("ret") * 100)
+        up = F.when(F.col("change_pct") > 0, "up").when(F.col("change_pct") < 0, "down").otherwise("flat")
+        return d.withColumn("direction", up)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        """Trades read as positions: one per line item, seven accounts."""
+        entry = F.col("l_extendedprice") / F.col("l_quantity")
+        closed = F.col("l_returnflag") == "R"
+        li = self.table("lineitem").select(
+            F.col("l_linenumber").alias("account"), F.col("l_suppkey").alias("symbol"), "l_orderkey", "l_partkey",
+            F.col("l_shipdate").cast("date").alias("entry_date"), entry.alias("entry_price"),
+            F.when(F.col("l_tax") == 0, 0.0).otherwise(entry * (0.98 - F.col("l_tax"))).alias("stop_price"),
+            F.col("l_quantity").alias("shares"), (entry * (0.95 + F.col("l_discount"))).alias("current_price"),
+            F.when(closed, "CLOSED").otherwise("OPEN").alias("status"),
+            F.when(closed, entry * (0.90 + 2 * F.col("l_discount"))).otherwise(0.0).alias("close_price"),
+        )
+        u = self.universe.select("symbol", "sector", "cluster", "market", "sleeve")
+        return li.join(u, "symbol")
+
     @cached_property
     def quotes(self) -> DataFrame:
         e = self.table("events")
