@@ -104,7 +104,7 @@ def peer_outlook(members: DataFrame) -> DataFrame:
     n_m, n_r = F.col("_nm") - own_m.isNotNull().cast("int"), F.col("_nr") - own_r.isNotNull().cast("int")
     peers_m = (F.col("_sm") - F.coalesce(own_m, F.lit(0.0))) / F.nullif(n_m, F.lit(0))
     peers_r = (F.col("_sr") - F.coalesce(own_r, F.lit(0.0))) / F.nullif(n_r, F.lit(0))
-    up = F.bround(F.greatest(F.lit(5.0), F.least(F.lit(95.0), 50 + 2 * peers_m)), 0).cast("long")
+    up = F.when(peers_m.isNotNull(), F.bround(F.greatest(F.lit(5.0), F.least(F.lit(95.0), 50 + 2 * peers_m)), 0))
     return d.join(g, "industry").select(
         "symbol", "industry", (F.col("_n") - 1).alias("peer_count"), "momentum", peers_m.alias("peer_momentum"), peers_r.alias("peer_rsi"),
         (own_m - peers_m).alias("relative_momentum"), up.alias("up_pct"), (100 - up).alias("down_pct"),

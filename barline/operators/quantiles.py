@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _ACCURACY = 10000
 _MARGIN = 2.5 / _ACCURACY
+_SMALL = 50_000  # groups up to this size are ranked whole
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], probs: list[float]) -> DataFrame:
@@ -23,11 +24,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], p
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, _ACCURACY).alias("_e"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"),
     )
+    whole = F.col("_n") <= _SMALL
     wants = [
         F.struct(
             F.lit(name(p)).alias("_p"), ((F.col("_n") - 1) * F.lit(p)).alias("_pos"),
-            (F.col("_min") if edges[2 * i] <= 0 else F.col("_e")[2 * i]).alias("_lo"),
-            (F.col("_max") if edges[2 * i + 1] >= 1 else F.col("_e")[2 * i + 1]).alias("_hi"),
+            F.when(whole, F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("_lo"),
+            F.when(whole, F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("_hi"),
         )
         for i, p in enumerate(probs)
     ]

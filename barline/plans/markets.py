@@ -89,8 +89,8 @@ def members(m):
 
 @query("peer_outlook", "members", f"""SELECT a.symbol, a.industry, count(p.symbol) AS peer_count, {q('any_value((a.ret_5 + a.ret_20) / 2)')} AS momentum, {q('avg((p.ret_5 + p.ret_20) / 2)')} AS peer_momentum,
   {q('avg(p.rsi)')} AS peer_rsi, {q('any_value((a.ret_5 + a.ret_20) / 2) - avg((p.ret_5 + p.ret_20) / 2)')} AS relative_momentum,
-  CASE WHEN count(p.symbol) > 0 THEN CAST(round_even(greatest(5.0, least(95.0, 50 + 2 * avg((p.ret_5 + p.ret_20) / 2))), 0) AS BIGINT) END AS up_pct,
-  CASE WHEN count(p.symbol) > 0 THEN 100 - CAST(round_even(greatest(5.0, least(95.0, 50 + 2 * avg((p.ret_5 + p.ret_20) / 2))), 0) AS BIGINT) END AS down_pct
+  CASE WHEN count(p.symbol) > 0 THEN round_even(greatest(5.0, least(95.0, 50 + 2 * avg((p.ret_5 + p.ret_20) / 2))), 0) END AS up_pct,
+  CASE WHEN count(p.symbol) > 0 THEN 100 - round_even(greatest(5.0, least(95.0, 50 + 2 * avg((p.ret_5 + p.ret_20) / 2))), 0) END AS down_pct
   FROM members a LEFT JOIN members p ON a.industry = p.industry AND a.symbol <> p.symbol GROUP BY a.symbol, a.industry""")
 def _peers(m):
     d = A.peer_outlook(members(m))
@@ -184,18 +184,18 @@ def _asof(m):
     return d.select("symbol", F.col("bar_idx").cast("long").alias("bar_idx"), F.col("asof_value").alias("bench_close"), F.col("asof_prev").alias("bench_prev"), report(chg).alias("bench_change_pct"))
 
 
-@query("next_event_days", "bars event_dates", """SELECT b.symbol, b.idx AS bar_idx, date_diff('day', b.bar_date, e.event_date) AS days_to_event FROM bars b
+@query("next_event_days", "bars event_dates", """SELECT b.symbol, b.idx AS bar_idx, CAST(date_diff('day', b.bar_date, e.event_date) AS DOUBLE) AS days_to_event FROM bars b
   ASOF LEFT JOIN event_dates e ON b.symbol = e.symbol AND b.bar_date <= e.event_date""")
 def _next(m):
     d = J.next_event_days(m.bars, m.event_dates)
-    return d.select("symbol", F.col("bar_idx").cast("long").alias("bar_idx"), F.col("days_to_event").cast("long").alias("days_to_event"))
+    return d.select("symbol", F.col("bar_idx").cast("long").alias("bar_idx"), F.col("days_to_event").cast("double").alias("days_to_event"))
 
 
-@query("event_distance", "bars event_dates", """SELECT b.symbol, b.idx AS bar_idx, min_by(p.pos - b.idx, row(abs(p.pos - b.idx), p.pos)) AS event_distance FROM bars b LEFT JOIN (
+@query("event_distance", "bars event_dates", """SELECT b.symbol, b.idx AS bar_idx, CAST(min_by(p.pos - b.idx, row(abs(p.pos - b.idx), p.pos)) AS DOUBLE) AS event_distance FROM bars b LEFT JOIN (
   SELECT e.symbol, coalesce(min(x.idx) FILTER (x.bar_date >= e.event_date), max(x.idx)) AS pos FROM event_dates e JOIN bars x ON e.symbol = x.symbol GROUP BY e.symbol, e.event_date) p ON b.symbol = p.symbol GROUP BY b.symbol, b.idx""")
 def _evdist(m):
     d = J.event_distance(m.bars, m.event_dates)
-    return d.select("symbol", F.col("bar_idx").cast("long").alias("bar_idx"), F.col("event_distance").cast("long").alias("event_distance"))
+    return d.select("symbol", F.col("bar_idx").cast("long").alias("bar_idx"), F.col("event_distance").cast("double").alias("event_distance"))
 
 
 @query("benchmark_regime_join", "bars brg", """SELECT b.symbol, b.idx AS bar_idx, coalesce(r.regime, 'UNKNOWN') AS regime FROM bars b LEFT JOIN brg r ON b.bar_date = r.bar_date""")
@@ -284,7 +284,7 @@ cte("sig5", "bars universe", """SELECT b.symbol, u.sector, u.sleeve, (close - la
 cte("etfs", "universe", "SELECT sector, min(symbol) AS etf FROM universe WHERE sleeve = 'ETF' GROUP BY sector")
 
 
-@query("sector_relative", "sig5 etfs snap", """SELECT s.symbol, e.etf, CASE WHEN x.change_5 IS NULL THEN 0 ELSE CAST(trunc(greatest(-100.0, least(100.0, (s.change_5 - x.change_5) * 10))) AS BIGINT) END AS sector_relative_score,
+@query("sector_relative", "sig5 etfs snap", """SELECT s.symbol, CAST(e.etf AS DOUBLE) AS etf, CASE WHEN x.change_5 IS NULL THEN 0 ELSE CAST(trunc(greatest(-100.0, least(100.0, (s.change_5 - x.change_5) * 10))) AS BIGINT) END AS sector_relative_score,
   CAST(CASE WHEN (sg = 'BUY' AND x.change_5 > 1) OR (sg = 'SELL' AND x.change_5 < -1) THEN 3 WHEN (sg = 'BUY' AND x.change_5 < -1) OR (sg = 'SELL' AND x.change_5 > 1) THEN -6 ELSE 0 END AS BIGINT) AS adjust
   FROM (SELECT *, CASE WHEN plus_di > minus_di THEN 'BUY' ELSE 'SELL' END AS sg FROM sig5 JOIN snap USING (symbol) WHERE idx = n - 1) s LEFT JOIN etfs e USING (sector) LEFT JOIN (SELECT symbol AS etf, change_5 FROM sig5 WHERE idx = n - 1) x ON x.etf = e.etf""")
 def _secrel(m):
@@ -294,7 +294,7 @@ def _secrel(m):
     names = m.universe.select(F.col("symbol").alias("etf"), F.col("name").alias("etf_name"))
     chg = d.select(F.col("symbol").alias("etf"), F.col("change_5").alias("etf_change")).join(names, "etf")
     out = J.sector_relative(sig, m.universe.select("symbol", "sector").join(etf, "sector").select("symbol", "etf"), chg)
-    return out.select("symbol", "etf", F.col("sector_relative_score").cast("long").alias("sector_relative_score"), F.col("adjust").cast("long").alias("adjust"))
+    return out.select("symbol", F.col("etf").cast("double").alias("etf"), F.col("sector_relative_score").cast("long").alias("sector_relative_score"), F.col("adjust").cast("long").alias("adjust"))
 
 
 def last_changes(m):
