@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["indicators", "series", "scanning", "markets"]
+SUBJECTS = ["indicators", "series", "scanning", "markets", "backtests"]
 
 
 def load():

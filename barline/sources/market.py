@@ -131,6 +131,13 @@ class Market:
 
         return stored(snapshots(self.bars, self.benchmark), "snapshots", self.path, ["symbol"], ["symbol"])
 
+    @cached_property
+    def panel(self) -> DataFrame:
+        """The bars with the indicators of the back-tests."""
+        from barline.operators.backtest import panel
+
+        return stored(panel(self.bars), "panel", self.path, ["symbol"], ["symbol", "bar_idx"])
+
     @cached_property
     def moves(self) -> DataFrame:
         """Every bar with its change on the previous one and the dimensions of its symbol."""
