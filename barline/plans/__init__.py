@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["indicators", "series", "scanning", "markets", "backtests"]
+SUBJECTS = ["indicators", "series", "scanning", "markets", "backtests", "newsplans"]
 
 
 def load():

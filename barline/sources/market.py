@@ -189,3 +189,27 @@ class Market:
             .select((F.col("o_custkey") % 100).alias("symbol"), F.col("o_orderdate").cast("date").alias("event_date"))
             .distinct()
         )
+
+
+# Headline texts put on the events, so that news has the words the scorers look for.
+HEADLINES = [
+    "Shares surge after earnings beat, record high in sight", "Profit warning: maker cuts guidance as demand falls", "No risk of bankruptcy, lender says",
+    "Chip stocks slightly rise on strong demand", "급등 마감, 사상 최대 실적에 목표가 상향", "우려 해소에 반등, 리스크 완화 기대", "적자전환 쇼크에 급락 ▼ ", "소폭 상승, 대규모 수주 기대감",
+    "Analysts avoid buy rating despite massive growth", "Regulator opens fraud lawsuit, shares plunge sharply", "배당 확대 및 자사주 매입 결정", "영업이익 증가, 성장 지속", "과징금 제재로 손실 우려 확대",
+    "Company holds annual meeting on Tuesday", "Not a crisis but a modest recovery, says chief", "신저가 경신, 유상증자 부담", "경고: 소송 조사 착수 📉", "골든크로스 돌파 🚀 매수 추천",
+    "Guidance cut fails to stop the rally", "Steady trading in quiet session",
+]
+SOURCES = [("wire", "Newswire"), ("", "DART 공시"), ("blog", "Personal blog"), ("", "Google News"), ("news", "Daily"), ("", "Naver"), ("rss", "Feed"), ("", "Unknown")]
+
+
+def news(m: Market) -> DataFrame:
+    """One news item per event: a headline, a signed move, and a source."""
+    e = m.table("events")
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+    i = F.col("event_id")
+    move = F.concat(F.when(i % 3 == 0, "+").when(i % 3 == 1, "-").otherwise(""), F.floor("value").cast("long").cast("string"), F.lit("%"))
+    ts = F.col("ts").cast("timestamp")
+    return e.select(
+        i.alias("news_id"), F.col("user_id").alias("symbol"), ts.alias("published"), F.concat(pick(HEADLINES, i * 7 + F.col("user_id")), F.lit(" "), move).alias("title"),
+        pick([s for s, _ in SOURCES], i).alias("source_type"), pick([s for _, s in SOURCES], i).alias("source"), "event_type", "value",
+    )
