@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["indicators", "series", "scanning", "markets", "backtests", "newsplans"]
+SUBJECTS = ["indicators", "series", "scanning", "markets", "backtests", "newsplans", "decisionplans"]
 
 
 def load():
