@@ -234,3 +234,32 @@ def liquidity_terciles(rows: DataFrame, keys: list[str], value: str) -> DataFram
 
 def flagged(c: Column) -> Column:
     return flag(c)
+
+
+def assess_trades(proposals: DataFrame, state: DataFrame, sector_values: DataFrame, keys: list[str], risk_pct: float = 1.0) -> DataFrame:
+    """Whether each proposed trade fits its portfolio: seven hard rules and two warnings.
+
+    ``proposals`` has ``entry_price, stop_price, sector, sleeve``; ``state`` comes from
+    ``portfolio_state`` with ``cash`` added; ``sector_values`` has ``sector, sector_value``.
+    """
+    from barline.functions.scores import SLEEVE_MAX_PCT, lookup
+
+    d = proposals.join(state, keys).join(sector_values, [*keys, "sector"], "left").fillna(0.0, ["sector_value"])
+    e, s, eq, cash = (F.col(c) for c in ("entry_price", "stop_price", "equity", "cash"))
+    per = F.greatest(e - s, F.lit(0.01))
+    d = d.withColumns({"risk_per_share": per, "stop_distance_pct": per / e * 100})
+    want = F.floor(F.least(eq * (risk_pct / 100.0), cash) / F.col("risk_per_share"))
+    cap = eq * lookup("sleeve", SLEEVE_MAX_PCT, 15.0) / 100
+    shares = F.least(F.when(want * e > cap, F.floor(cap / e)).otherwise(want), F.floor(cash / e))
+    d = d.withColumn("shares", shares.cast("double"))
+    d = d.withColumns({"position_value": F.col("shares") * e, "risk_per_trade": F.col("shares") * F.col("risk_per_share")})
+    d = d.withColumn("risk_after_pct", F.when(eq > 0, (F.col("open_risk") + F.col("risk_per_trade")) / eq * 100).otherwise(0.0))
+    total = F.col("market_value") + F.col("position_value")
+    hard = {
+        "STOP_BELOW_ENTRY": s >= e, "MIN_SHARES": F.col("shares") < 1, "MAX_OPEN_RISK": F.col("risk_after_pct") > 10.0, "MAX_POSITIONS": F.col("open_positions") >= 6, "STOP_DISTANCE": F.col("stop_distance_pct") > 10.0,
+        "CONCENTRATION": F.when(total > 0, F.col("position_value") / total * 100).otherwise(0.0) > 25.0, "SECTOR_CONCENTRATION": (F.col("sector_value") + F.col("position_value")) / eq * 100 > 40.0,
+    }
+    soft = {"MISSING_STOPS": F.col("missing_stops") > 0, "LOW_CASH": F.col("position_value") > cash * 0.9}
+    names = lambda rules: F.filter(F.array(*[F.when(flag(c), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    d = d.withColumns({"violations": names(hard), "warnings": names(soft)})
+    return d.withColumn("approved", F.size("violations") == 0)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["indicators", "series", "scanning", "markets", "backtests", "newsplans", "decisionplans"]
+SUBJECTS = ["indicators", "series", "scanning", "markets", "backtests", "newsplans", "decisionplans", "sourceplans"]
 
 
 def load():
