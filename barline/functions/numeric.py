@@ -39,8 +39,10 @@ def safe(x, default: float = 0.0) -> Column:
 
 
 def clamp(x, lo: float = 0.0, hi: float = 100.0) -> Column:
-    """Bounds a value; a non-finite one becomes the lower bound."""
-    return F.coalesce(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), finite(x))), F.lit(float(lo)))
+    """Bounds a value; NULL and NaN become the lower bound. Infinities are taken out by ``safe``
+    where inputs enter, so the value is written once: nested clamps must not multiply an expression."""
+    low = F.lit(float(lo))
+    return F.greatest(low, F.least(F.lit(float(hi)), F.nanvl(F.coalesce(col(x).cast("double"), low), low)))
 
 
 def bands(x, steps: list[tuple[str, float, object]], otherwise) -> Column:

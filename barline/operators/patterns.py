@@ -82,6 +82,11 @@ def tolerance(a: Column, b: Column, atr: Column, o: Options) -> tuple[Column, Co
     return F.coalesce(usable & (diff <= tol + 1e-12), F.lit(False)), F.when(usable, half_even(diff, 8)), F.when(usable, half_even(tol, 8))
 
 
+def tolerance_struct(a: Column, b: Column, atr: Column, o: Options) -> Column:
+    ok, diff, tol = tolerance(a, b, atr, o)
+    return F.struct(ok.alias("ok"), diff.alias("diff"), tol.alias("tol"))
+
+
 def line_at(x1, y1, x2, y2, x) -> Column:
     """Price of the line through two points; their mean where both share one position."""
     x1, y1, x2, y2, x = map(lit, (x1, y1, x2, y2, x))
@@ -197,19 +202,24 @@ def reversal_candidates(pivots: DataFrame, o: Options) -> DataFrame:
     d = pivots.select("symbol", "n_bars", "pv", F.posexplode("pv").alias("i", "p0"))
     d = d.withColumns({f"p{k}": F.get("pv", F.col("i") + k) for k in range(1, 5)})
     p = [F.col(f"p{k}") for k in range(5)]
-    bull = p[0]["side"] == 0
+    for name, a, b in (("s", 0, 4), ("n", 1, 3), ("e", 0, 2)):
+        # The third comparison of a triple equals the shoulder comparison ("s").
+        d = d.withColumn("_t", tolerance_struct(p[a]["price"], p[b]["price"], p[b]["atr"], o)).withColumnRenamed("_t", f"t_{name}")
+    d = d.withColumns({"bull": F.col("p0.side") == 0, **{f"span{k}": p[k]["idx"] - p[0]["idx"] for k in (2, 3, 4)}, **{f"at{k}": F.greatest(p[k]["atr"], F.lit(1e-12)) for k in (2, 3, 4)}})
+    d = d.withColumns({"head": F.when(F.col("bull"), F.col("p2.price") < F.col("p0.price")).otherwise(F.col("p2.price") > F.col("p0.price")), "left": F.greatest(F.lit(1), p[2]["idx"] - p[0]["idx"]), "right": F.greatest(F.lit(1), p[4]["idx"] - p[2]["idx"])})
+    bull = F.col("bull")
     direction = F.when(bull, "bullish").otherwise("bearish")
     pick = lambda a, b: F.when(bull, a).otherwise(b)
-    span = lambda k: (p[k]["idx"] - p[0]["idx"]).between(o.min_bars, o.max_bars)
-    at = lambda k: F.greatest(p[k]["atr"], F.lit(1e-12))
-    head = pick(p[2]["price"] < p[0]["price"], p[2]["price"] > p[0]["price"])
+    span = lambda k: F.col(f"span{k}").between(o.min_bars, o.max_bars)
+    at = lambda k: F.col(f"at{k}")
+    head = F.col("head")
     off = lambda price, atr: pick(price - atr * 0.25, price + atr * 0.25)
 
-    ok_s, diff_s, tol_s = tolerance(p[0]["price"], p[4]["price"], p[4]["atr"], o)
-    _, diff_n, tol_n = tolerance(p[1]["price"], p[3]["price"], p[3]["atr"], o)
+    ok_s, diff_s, tol_s = (F.col(f"t_s.{c}") for c in ("ok", "diff", "tol"))
+    diff_n, tol_n = F.col("t_n.diff"), F.col("t_n.tol")
     depth = pick(F.least(p[0]["price"], p[4]["price"]) - p[2]["price"], p[2]["price"] - F.greatest(p[0]["price"], p[4]["price"]))
     fit = lambda diff, tol: F.greatest(F.lit(0.0), 1.0 - diff / F.greatest(tol, F.lit(1e-12)))
-    left, right = F.greatest(F.lit(1), p[2]["idx"] - p[0]["idx"]), F.greatest(F.lit(1), p[4]["idx"] - p[2]["idx"])
+    left, right = F.col("left"), F.col("right")
     neck_at_head = line_at(p[1]["idx"], p[1]["price"], p[3]["idx"], p[3]["price"], p[2]["idx"])
     hs = dict(pattern=pick(F.lit("inverse_head_shoulders"), F.lit("head_shoulders_top")), family="head_shoulders", direction=direction)
     line13 = dict(x1=p[1]["idx"], y1=p[1]["price"], x2=p[3]["idx"], y2=p[3]["price"])
@@ -225,8 +235,8 @@ def reversal_candidates(pivots: DataFrame, o: Options) -> DataFrame:
                 atr_v=p[size - 1]["atr"], invalidation=p[2]["price"], fixed_score=completion(size / 5.0, 0.65, 0.65, None, 1.0),
                 next_side=p[0]["side"] if size == 4 else 1 - p[0]["side"],
             ))
-    ok2, diff2, tol2 = tolerance(p[0]["price"], p[2]["price"], p[2]["atr"], o)
-    ok4, diff4, tol4 = tolerance(p[0]["price"], p[4]["price"], p[4]["atr"], o)
+    ok2, diff2, tol2 = (F.col(f"t_e.{c}") for c in ("ok", "diff", "tol"))
+    ok4, diff4, tol4 = ok_s, diff_s, tol_s
     ratio = lambda diff, tol: diff / F.greatest(tol, F.lit(1e-12))
     avg2, avg3 = (p[0]["price"] + p[2]["price"]) / 2, (p[0]["price"] + p[2]["price"] + p[4]["price"]) / 3
     now = F.col("n_bars") - 1
@@ -337,7 +347,8 @@ def settle(cands: DataFrame, pb: DataFrame, o: Options) -> DataFrame:
     steps = probe.withColumn("step", F.explode(F.sequence(F.lit(2 - need), reach.cast("int"))))
     at = pb.select("symbol", F.col("bar_idx").alias("at"), F.col("close").alias("c"), F.col("atr").alias("a"), "vr")
     rows = steps.withColumn("at", F.col("after") + F.col("step")).join(at, ["symbol", "at"])
-    line = line_at(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("at"))
+    rows = rows.withColumn("line", line_at(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("at")))
+    line = F.col("line")
     bull, buf = F.col("direction") == "bullish", F.col("a") * o.breakout_atr
     rows = rows.withColumns({
         "clear": F.when(bull, F.col("c") > line + buf).otherwise(F.col("c") < line - buf).cast("int"),
@@ -358,13 +369,16 @@ def settle(cands: DataFrame, pb: DataFrame, o: Options) -> DataFrame:
     )
     now, last_close = F.col("n_bars") - 1, pb.filter("bar_idx = n_bars - 1").select("symbol", F.col("close").alias("last_close"))
     d = cands.join(judged, ["symbol", "ord"], "left").join(last_close, "symbol")
-    here = line_at(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), now)
+    d = d.withColumn("here", line_at(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), now))
+    here = F.col("here")
     conf = F.col("breakout_idx").isNotNull()
     score = completion(F.lit(1.0), F.col("geometry"), F.col("timing"), F.col("volume_ratio"), (here - F.col("last_close")) / F.col("atr_v"))
     base = F.when(F.col("fixed_score").isNotNull(), F.when(F.col("direction") == "neutral", "awaiting_breakout").otherwise("forming")).when(conf, "confirmed").otherwise("awaiting_breakout")
     old = (base == "awaiting_breakout") & (now - F.col("structure_end") > o.valid_bars) & F.col("fixed_score").isNull()
+    d = d.withColumns({"raw_score": score, "base_status": base})
+    score, base = F.col("raw_score"), F.col("base_status")
     d = d.withColumns({
-        "neckline": F.when(F.col("x1").isNotNull(), here), "base_status": base,
+        "neckline": F.when(F.col("x1").isNotNull(), here),
         "status": F.when(F.coalesce("broken", F.lit(False)), "invalidated").when(old, "expired").otherwise(base),
         "score": F.coalesce("fixed_score", F.when(conf, F.greatest(score, F.col("floor"))).otherwise(score)),
         "start_idx": F.element_at("points", 1)["idx"], "end_idx": F.element_at("points", -1)["idx"], "n_points": F.size("points"),
@@ -376,11 +390,13 @@ def settle(cands: DataFrame, pb: DataFrame, o: Options) -> DataFrame:
     d = d.join(sides, "symbol", "left").filter(~tri | (F.col("ord") == F.col("keep_ord"))).drop("keep_ord")
     sign = F.when(F.col("direction") == "bullish", 1.0).otherwise(-1.0)
     from_idx = F.when(F.col("at_now"), now).otherwise(F.coalesce("breakout_idx", "after"))
-    target = F.when(F.col("height").isNotNull(), line_at(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), from_idx) + sign * F.col("height"))
+    d = d.withColumn("from_idx", from_idx)
+    d = d.withColumn("target", F.when(F.col("height").isNotNull(), line_at(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("from_idx")) + sign * F.col("height")))
+    target = F.col("target")
     trust = F.col("score") * F.when(F.col("base_status") == "confirmed", 1.0).otherwise(F.col("early"))
     trust = F.when(F.col("family") == "head_shoulders", F.least(F.lit(95.0), trust)).otherwise(trust)
     return d.withColumns({
-        "target": target, "target_low": target - F.col("atr_v") * F.col("band"), "target_high": target + F.col("atr_v") * F.col("band"),
+        "target_low": target - F.col("atr_v") * F.col("band"), "target_high": target + F.col("atr_v") * F.col("band"),
         "target_confidence": F.when(target.isNotNull(), half_even(trust, 1)), "status_rank": rank(F.col("status")),
         "expected_low": F.when(F.col("base_status") == "forming", F.get("points", F.lit(0))["price"] - F.col("atr_v") * 0.75),
         "expected_high": F.when(F.col("base_status") == "forming", F.get("points", F.lit(0))["price"] + F.col("atr_v") * 0.75),
@@ -426,18 +442,26 @@ def deduplicate(patterns: DataFrame, window: int) -> DataFrame:
     return g.select("symbol", "family", "direction", F.explode(kept).alias("v")).select("symbol", "family", "direction", "v.*").drop("at")
 
 
-def find_candidates(bars: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
-    pb = pattern_bars(bars, o).filter(F.col("n_bars") >= o.min_bars)
+def _as_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def find_candidates(bars: DataFrame, o: Options, keep=_as_is) -> tuple[DataFrame, DataFrame]:
+    pb = keep(pattern_bars(bars, o).filter(F.col("n_bars") >= o.min_bars), "bars")
     pivots = recent_pivots(pb, o)
     ends = pb.filter("bar_idx = n_bars - 1").select("symbol", "close", F.col("atr").alias("atr_last"))
     c = reversal_candidates(pivots, o).unionByName(triangle_candidates(pivots, ends, o)).unionByName(consolidation_candidates(pb, o))
-    return c, pb
+    return keep(c, "candidates"), pb
+
 
+def chart_patterns(bars: DataFrame, o: Options = Options(), dedupe: bool = True, keep=_as_is) -> DataFrame:
+    """All patterns at the end of each symbol's history, latest and best first.
 
-def chart_patterns(bars: DataFrame, o: Options = Options(), dedupe: bool = True) -> DataFrame:
-    """All patterns at the end of each symbol's history, latest and best first."""
-    c, pb = find_candidates(bars, o)
-    d = settle(c, pb, o)
+    ``keep(df, name)`` may write an intermediate frame and return it read back: the prepared bars
+    are used five times and the candidates twice.
+    """
+    c, pb = find_candidates(bars, o, keep)
+    d = keep(settle(c, pb, o), "settled")
     if dedupe:
         d = deduplicate(d, o.dedupe_window)
     return d.orderBy("symbol", F.desc("end_idx"), F.desc("status_rank"), F.desc("score"), F.desc("n_points"), "ord")

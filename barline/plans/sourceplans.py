@@ -181,7 +181,7 @@ cte("assess", "scan pstate pos", """SELECT *, CASE WHEN stop_price >= entry_trig
   || CASE WHEN sh * entry_trigger / (mv + sh * entry_trigger) * 100 > 25 THEN 'CONCENTRATION,' ELSE '' END || CASE WHEN (sv + sh * entry_trigger) / eq * 100 > 40 THEN 'SECTOR_CONCENTRATION,' ELSE '' END AS v FROM (
   SELECT *, least(CASE WHEN want * entry_trigger > cap THEN floor(cap / entry_trigger) ELSE want END, floor(cash / entry_trigger)) AS sh FROM (SELECT s.symbol, p.*, s.entry_trigger, s.stop_price, s.sleeve, coalesce(x.sv, 0) AS sv, eq / 4 AS cash, greatest(entry_trigger - stop_price, 0.01) AS per,
   floor(least(eq * 0.01, eq / 4) / greatest(entry_trigger - stop_price, 0.01)) AS want, eq * CASE sleeve WHEN 'ETF' THEN 0.20 WHEN 'HIGH_RISK' THEN 0.08 WHEN 'HEDGE' THEN 0.10 ELSE 0.15 END AS cap
-  FROM (SELECT symbol, sector, sleeve, entry_trigger, round_even(stop_price * 1e4, 0) / 1e4 AS stop_price FROM scan) s, pstate p LEFT JOIN (SELECT account, sector, sum(value) AS sv FROM pos WHERE status = 'OPEN' GROUP BY account, sector) x ON x.account = p.account AND x.sector = s.sector))""")
+  FROM (SELECT symbol, sector, sleeve, entry_trigger, round_even(stop_price * 1e4, 0) / 1e4 AS stop_price FROM scan) s JOIN pstate p ON p.account = s.symbol % 7 + 1 LEFT JOIN (SELECT account, sector, sum(value) AS sv FROM pos WHERE status = 'OPEN' GROUP BY account, sector) x ON x.account = p.account AND x.sector = s.sector))""")
 
 
 @query("trade_assessment", "assess", f"SELECT account, symbol, v AS violations, v = '' AS approved, sh AS shares, {q('sh * entry_trigger', 2)} AS position_value FROM assess")
@@ -191,8 +191,7 @@ def _assess(m):
     f = A.with_position_figures(m.positions)
     st = A.portfolio_state(f, ["account"], F.col("market_value") * 20).withColumn("cash", F.col("equity") / 4)
     sv = f.filter("status = 'OPEN'").groupBy("account", "sector").agg(F.sum("value").alias("sector_value"))
-    accounts = st.select("account")
-    props = the_scan(m).select("symbol", "sector", "sleeve", F.col("entry_trigger").alias("entry_price"), "stop_price").join(accounts)
+    props = the_scan(m).select("symbol", "sector", "sleeve", F.col("entry_trigger").alias("entry_price"), "stop_price").withColumn("account", (F.col("symbol") % 7 + 1).cast("int"))
     d = A.assess_trades(props, st, sv, ["account"])
     return d.select("account", "symbol", F.concat_ws("", F.transform("violations", lambda x: F.concat(x, F.lit(",")))).alias("violations"), "approved", "shares", report("position_value", 2).alias("position_value"))
 
