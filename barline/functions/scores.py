@@ -86,14 +86,14 @@ def entry_levels(high, atr, atr_pct, vol_regime) -> dict[str, Column]:
 
 
 def extension(price, trigger, atr) -> Column:
-    return (col(price) - col(trigger)) / col(atr)
+    return F.try_divide(col(price) - col(trigger), col(atr))
 
 
 def anti_chase_v1(price, trigger, atr, monday=False) -> dict[str, Column]:
     """``ext_atr, chasing, wait_pullback``; neutral where there is no positive ATR."""
     has, ext = flag(col(atr) > 0), extension(price, trigger, atr)
     limit = F.when(F.lit(monday) if isinstance(monday, bool) else col(monday), 3.0).otherwise(4.0)
-    gap = flag((col(price) >= col(trigger)) & ((col(price) / col(trigger) - 1) * 100 > limit))
+    gap = flag((col(price) >= col(trigger)) & ((F.try_divide(col(price), col(trigger)) - 1) * 100 > limit))
     wait = has & flag(ext > EXT_ATR_LIMIT)
     return {
         "ext_atr": F.when(has, half_even(ext, 3)).otherwise(0.0), "chasing": wait | (has & gap), "wait_pullback": wait,
@@ -120,7 +120,7 @@ def pullback_entry(price, high20, ema20, atr, low) -> Column:
 
 
 def candidate_status(price, trigger) -> Column:
-    dist = (col(trigger) - col(price)) / col(price) * 100
+    dist = F.try_divide(col(trigger) - col(price), col(price)) * 100
     return F.when(col(trigger) <= 0, "FAR").otherwise(bands(dist, [("<=", 2.0, "READY"), ("<=", 3.0, "WATCH")], "FAR"))
 
 
@@ -239,7 +239,7 @@ def earnings_penalty(days, within_5d=None) -> Column:
 
 def concentration_penalty(exposure, limit, ramp: float, over: float) -> Column:
     """0 up to 80 % of the limit, a linear ramp to the limit, then steeper beyond."""
-    x = safe(exposure) / safe(limit)
+    x = F.try_divide(safe(exposure), safe(limit))
     v = F.when(x <= 0.8, 0.0).when(x <= 1.0, ramp * (x - 0.8) / 0.2).otherwise(ramp + over * (x - 1.0))
     return F.when(safe(limit) <= 0, 0.0).otherwise(v)
 

@@ -36,7 +36,7 @@ def sector_flow(stocks: DataFrame) -> DataFrame:
         half_even(F.avg("change_pct"), 2).alias("avg_change_pct"),
         n("overnight", "up").alias("_ou"), n("overnight", "down").alias("_od"), F.count_if(F.col("overnight").isin("up", "down", "neutral")).alias("_ot"),
     )
-    over = F.when(F.col("_ou") / F.col("_ot") > 0.6, "up").when(F.col("_od") / F.col("_ot") > 0.6, "down").otherwise("neutral")
+    over = F.when(F.try_divide("_ou", "_ot") > 0.6, "up").when(F.try_divide("_od", "_ot") > 0.6, "down").otherwise("neutral")
     g = g.withColumns({"price_direction": majority(F.col("up"), F.col("down")), "overnight": over})
     pos = (F.col("price_direction") == "up").cast("int") + (F.col("overnight") == "up").cast("int")
     neg = (F.col("price_direction") == "down").cast("int") + (F.col("overnight") == "down").cast("int")
@@ -143,7 +143,7 @@ def with_position_figures(p: DataFrame) -> DataFrame:
     price = F.when(F.col("current_price") > 0, F.col("current_price")).otherwise(F.col("entry_price"))
     per = F.greatest(F.col("entry_price") - F.col("stop_price"), F.lit(0.01))
     closed = (F.col("status") == "CLOSED") & (F.col("close_price") > 0)
-    r = (F.col("close_price") - F.col("entry_price")) * F.col("shares") / (per * F.col("shares"))
+    r = F.try_divide((F.col("close_price") - F.col("entry_price")) * F.col("shares"), per * F.col("shares"))
     return p.withColumns({
         "risk_per_share": per, "value": F.col("shares") * price, "open_risk": F.greatest(price - F.col("stop_price"), F.lit(0.0)) * F.col("shares"),
         "has_stop": (F.col("stop_price") > 0) & (F.col("stop_price") < F.col("entry_price")),

@@ -217,12 +217,12 @@ def volume_ratio_inclusive(n: int = 20) -> Column:
 def volume_ratio_positive(n: int = 20) -> Column:
     """Volume against the mean of the positive volumes among the n bars before; NULL if none."""
     v = finite("volume")
-    return v / F.avg(F.when(v > 0, v)).over(prior(n))
+    return F.try_divide(v, F.avg(F.when(v > 0, v)).over(prior(n)))
 
 
 def volume_spike(times: float = 2.0) -> Column:
     avg = F.round(F.avg(F.when(F.col("volume") != 0, F.col("volume"))).over(last(20)))
-    return flag((F.col("volume") > 0) & (avg > 0) & (F.col("volume") / avg >= times))
+    return flag((F.col("volume") > 0) & (avg > 0) & (F.try_divide("volume", avg) >= times))
 
 
 def turnover_before(n: int = 20) -> Column:
@@ -293,7 +293,7 @@ def lowest_mean(window: int, k: int) -> Column:
 def expanding_volatility(atr: str) -> Column:
     """Mean ATR of the last 5 bars above 1.3 times that of the 15 bars before."""
     old = F.avg(atr).over(by_symbol().rowsBetween(-19, -5))
-    return flag((F.count(atr).over(last(20)) == 20) & (old > 0) & (F.avg(atr).over(last(5)) / old > 1.3))
+    return flag((F.count(atr).over(last(20)) == 20) & (old > 0) & (F.try_divide(F.avg(atr).over(last(5)), old) > 1.3))
 
 
 def fibonacci(n: int = 60) -> dict[str, Column]:
@@ -335,8 +335,8 @@ def trend_regime(slope: str = "smma200_slope") -> Column:
 def breakout_integrity(avg_volume: str = "avg_volume_10") -> Column:
     """Candle score 0..15 from body share, volume against the prior mean, and close location."""
     rng = F.col("high") - F.col("low")
-    body = F.abs(F.col("close") - F.col("open")) / rng
-    place = (F.col("close") - F.col("low")) / rng
+    body = F.try_divide(F.abs(F.col("close") - F.col("open")), rng)
+    place = F.try_divide(F.col("close") - F.col("low"), rng)
     vol = F.when(F.col(avg_volume) > 0, F.col("volume") / F.col(avg_volume))
     return (
         F.when((rng > 0) & (body > 0.6), 5).when((rng > 0) & (body >= 0.4), 2).otherwise(0)

@@ -33,7 +33,7 @@ def news_sentiment(items: DataFrame, keys: list[str], order: str, keep: int = 12
     )
     avg = F.when(F.col("_w") > 0, F.col("_ws") / F.col("_w")).otherwise(0.0)
     g = g.withColumns({"avg_score": avg, "effective_n": F.when(F.col("_w2") > 0, F.col("_w") * F.col("_w") / F.col("_w2")).otherwise(0.0)})
-    var = F.greatest(F.col("_ws2") / F.col("_w") - F.col("avg_score") * F.col("avg_score"), F.lit(0.0))
+    var = F.greatest(F.try_divide("_ws2", "_w") - F.col("avg_score") * F.col("avg_score"), F.lit(0.0))
     agree = F.when(F.col("_w") > 0, 1.0 - F.least(F.lit(1.0), var)).otherwise(0.5)
     quality = (1.0 - F.exp(-F.col("effective_n") / 4.0)) * (0.6 + 0.4 * agree)
     return g.withColumns({

@@ -33,7 +33,7 @@ cte("flow", "latest night", f"""
 SELECT *, CASE WHEN ps > ns THEN 'positive' WHEN ns > ps THEN 'negative' ELSE 'neutral' END AS mood FROM (SELECT *, CAST(pd = 'up' AS INT) + CAST(ov = 'up' AS INT) AS ps, CAST(pd = 'down' AS INT) + CAST(ov = 'down' AS INT) AS ns FROM (
 SELECT sector, count(*) AS stock_count, count(*) FILTER (direction = 'up') AS up, count(*) FILTER (direction = 'down') AS down, {he('avg(change_pct)', 2)} AS avg_change_pct,
   CASE WHEN count(*) FILTER (direction = 'up') > count(*) FILTER (direction = 'down') THEN 'up' WHEN count(*) FILTER (direction = 'down') > count(*) FILTER (direction = 'up') THEN 'down' ELSE 'flat' END AS pd,
-  CASE WHEN count(*) FILTER (overnight = 'up') / count(*) FILTER (overnight <> '') > 0.6 THEN 'up' WHEN count(*) FILTER (overnight = 'down') / count(*) FILTER (overnight <> '') > 0.6 THEN 'down' ELSE 'neutral' END AS ov
+  CASE WHEN count(*) FILTER (overnight = 'up') / nullif(count(*) FILTER (overnight <> ''), 0) > 0.6 THEN 'up' WHEN count(*) FILTER (overnight = 'down') / nullif(count(*) FILTER (overnight <> ''), 0) > 0.6 THEN 'down' ELSE 'neutral' END AS ov
 FROM latest JOIN night USING (symbol) GROUP BY sector))""")
 
 
