@@ -83,7 +83,27 @@ def _cons(m):
     return shown(P.chart_patterns(m.bars, O, False, keeper(m)).filter("family = 'continuation_consolidation'"))
 
 
-@query("triangle_patterns")
+cte("tri0", "piv bars pbar", """SELECT symbol, n, cl, al, max(CASE WHEN side = 1 AND r = 3 THEN idx END) AS h0, max(CASE WHEN side = 1 AND r = 3 THEN price END) AS hp0, max(CASE WHEN side = 1 AND r = 1 THEN idx END) AS h2, max(CASE WHEN side = 1 AND r = 1 THEN price END) AS hp2,
+  max(CASE WHEN side = 0 AND r = 3 THEN idx END) AS l0, max(CASE WHEN side = 0 AND r = 3 THEN price END) AS lp0, max(CASE WHEN side = 0 AND r = 1 THEN idx END) AS l2, max(CASE WHEN side = 0 AND r = 1 THEN price END) AS lp2,
+  regr_slope(price, idx) FILTER (side = 1) AS hs, regr_intercept(price, idx) FILTER (side = 1) AS hb, regr_slope(price, idx) FILTER (side = 0) AS ls, regr_intercept(price, idx) FILTER (side = 0) AS lb, list_sort(list(idx))[-5] AS s5 FROM (
+  SELECT p.*, b.n, b.close AS cl, b.atr AS al, row_number() OVER (PARTITION BY p.symbol, side ORDER BY place DESC) AS r FROM (SELECT *, max(place) OVER (PARTITION BY symbol) - place AS back FROM piv) p JOIN pbar b ON b.symbol = p.symbol AND b.idx = b.n - 1 WHERE back < 10) WHERE r <= 3 GROUP BY symbol, n, cl, al
+  HAVING count(*) FILTER (side = 1) = 3 AND count(*) FILTER (side = 0) = 3""")
+cte("tri1", "tri0", """SELECT *, greatest(h2, l2) AS en, CASE WHEN hs < -f AND ls > f THEN 'symmetrical_triangle' WHEN abs(hs) <= f AND ls > f THEN 'ascending_triangle' WHEN hs < -f AND abs(ls) <= f THEN 'descending_triangle' WHEN hs < -f AND ls < -f AND ls > hs THEN 'falling_wedge'
+  WHEN hs > f AND ls > f AND hs > ls THEN 'rising_wedge' END AS kind, hb + hs * (n - 1) AS up, lb + ls * (n - 1) AS dn FROM (SELECT *, abs(cl) * 0.0005 AS f FROM tri0) WHERE greatest(h2, l2) - least(h0, l0) BETWEEN 12 AND 150""")
+cte("tri2", "tri1", """SELECT symbol, n, cl, al, en, s5, kind, up, dn, hp0, lp0, 1 AS sg, h0 AS x1, hp0 AS y1, h2 AS x2, hp2 AS y2, dn - al * 0.25 AS inv FROM tri1 WHERE kind IN ('symmetrical_triangle', 'ascending_triangle', 'falling_wedge')
+  UNION ALL SELECT symbol, n, cl, al, en, s5, kind, up, dn, hp0, lp0, -1, l0, lp0, l2, lp2, up + al * 0.25 FROM tri1 WHERE kind IN ('symmetrical_triangle', 'descending_triangle', 'rising_wedge')
+  UNION ALL SELECT symbol, n, cl, al, en, s5, kind, up, dn, hp0, lp0, 0, h0, hp0, h2, hp2, NULL FROM tri1 WHERE kind = 'symmetrical_triangle'""")
+cte("tri3", "tri2 pbar", """SELECT t.*, b.idx AS bi, b.close AS bc, b.atr AS ba, b.vr AS bv, y1 + (y2 - y1) / (x2 - x1) * (b.idx - x1) AS ln FROM tri2 t JOIN (SELECT symbol AS s2, idx, close, atr, vr FROM pbar) b ON b.s2 = t.symbol AND b.idx > t.en""")
+cte("tri4", "tri3", "SELECT symbol, sg, min(bi) FILTER (sg <> 0 AND sg * bc > sg * ln + ba * 0.15) AS bo FROM tri3 GROUP BY symbol, sg")
+cte("tri5", "tri3 tri4", """SELECT t.symbol, t.sg, any_value(c.bo) AS bo, max(bv) FILTER (bi = c.bo) AS vr, coalesce(bool_or((t.sg * bc < t.sg * inv) OR (c.bo IS NOT NULL AND t.sg * bc < t.sg * ln - ba * 0.15)) FILTER (t.sg <> 0 AND bi > coalesce(c.bo, en)), FALSE) AS broken
+  FROM tri3 t JOIN tri4 c USING (symbol, sg) GROUP BY t.symbol, t.sg""")
+cte("tri6", "tri2 tri5", f"""SELECT *, 100.0 * (0.30 + 0.30 * {_unit('0.7 + conv * 0.3')} + 0.15 * 0.75 + 0.10 * CASE WHEN vr IS NULL THEN 0.5 ELSE {_unit('vr / 1.5')} END + 0.15 * {_unit("1 - CASE WHEN sg = 0 THEN least(abs(up - cl), abs(cl - dn)) ELSE abs(nk - cl) END / al")}) AS raw0 FROM (
+  SELECT t.*, j.bo, j.vr, j.broken, y1 + (y2 - y1) / (x2 - x1) * (n - 1 - x1) AS nk, greatest(up - dn, al * 0.5) AS wd, least(1.0, greatest(0.0, 1 - greatest(up - dn, al * 0.5) / greatest(abs(hp0 - lp0), al))) AS conv FROM tri2 t JOIN tri5 j USING (symbol, sg))""")
+
+
+@query("triangle_patterns", "tri6", f"""SELECT symbol, kind AS pattern, CASE WHEN broken THEN 'invalidated' WHEN bo IS NOT NULL THEN 'confirmed' WHEN sg <> 0 AND n - 1 - en > 30 THEN 'expired' ELSE 'awaiting_breakout' END AS status, {q("CASE WHEN bo IS NOT NULL THEN greatest(82.0, " + he('raw0', 1) + ") ELSE " + he('raw0', 1) + " END", 1)} AS score,
+  CAST(s5 AS BIGINT) AS start_idx, en AS end_idx, {q('nk')} AS neckline, CAST(bo AS DOUBLE) AS breakout_idx, {q('inv')} AS invalidation, CASE WHEN sg <> 0 THEN {q('nk + sg * wd')} END AS target
+  FROM (SELECT *, CASE WHEN kind <> 'symmetrical_triangle' THEN 1 ELSE row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN sg = 0 THEN 1 WHEN bo IS NULL THEN 2 ELSE 0 END, sg DESC) END AS pick FROM tri6) WHERE pick = 1""")
 def _tri(m):
     return shown(P.chart_patterns(m.bars, O, False, keeper(m)).filter("family = 'triangle_wedge'"))
 
