@@ -265,9 +265,8 @@ def outcomes(s: DataFrame, folds: DataFrame, markets: DataFrame) -> DataFrame:
     }).drop("exit", "start", "need", "train", "test", "offset", "n_eff")
 
 
-def apply_settings(o: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Outcomes that pass each setting, thinned so that trades of one symbol, setting, fold and
-    split do not overlap. ``grid`` is small (864 rows, or a few per key) and is broadcast."""
+def eligible(o: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Outcomes that pass each setting: a theta join with the broadcast grid (864 rows, or a few per key)."""
     g = grid.withColumnRenamed("delay", "g_delay")
     for k in keys:
         g = g.withColumnRenamed(k, f"g_{k}")
@@ -277,7 +276,12 @@ def apply_settings(o: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) ->
         cond = cond & (F.col(limit).isNull() | test)
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"g_{k}"))
-    hits = o.join(F.broadcast(g), cond).drop("g_delay", *[f"g_{k}" for k in keys])
+    return o.join(F.broadcast(g), cond).drop("g_delay", *[f"g_{k}" for k in keys])
+
+
+def apply_settings(o: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Eligible outcomes, thinned so that trades of one symbol, setting, fold and split do not overlap."""
+    hits = eligible(o, grid, keys)
     trade = ["confirmed", "exit_idx", "entry_idx", "signal_date", "entry_date", "exit_date", "entry", "stop", "target", "exit_price", "exit_reason", "gross_pct", "return_pct", "r_multiple", "win", "open_gap_pct", "pullback_ratio", "rebound_ratio", "slope"]
     # Within one group the entry delay is fixed, so the order of confirmation is the order of time.
     q = hits.groupBy("symbol", "market", "cfg", "fold", "split").agg(F.array_sort(F.collect_list(F.struct(*trade))).alias("all"))

@@ -94,12 +94,6 @@ cte("grid", "", f"""SELECT row_number() OVER (ORDER BY a, b, c, d, e, f) - 1 AS
   {vals(B.REBOUND_VOLUME_MIN)}[e] AS rv, {vals(B.SLOPE_MIN)}[f] AS sl FROM range(1, 3) t1(a), range(1, 5) t2(b), range(1, 5) t3(c), range(1, 4) t4(d), range(1, 4) t5(e), range(1, 4) t6(f)""")
 
 
-@query("strategy_grid", "grid", "SELECT cfg, CAST(line AS BIGINT) AS line, CAST(delay AS BIGINT) AS delay, tol AS tolerance, pv AS pullback_max, rv AS rebound_min, sl AS slope_min FROM grid JOIN (SELECT count(*) AS k FROM lineitem) ON k > 0")
-def _grid(m):
-    g = B.strategy_grid(m.spark).join(F.broadcast(m.table("lineitem").agg(F.count(F.lit(1)).alias("k"))), F.col("k") > 0).drop("k")
-    return g.select(F.col("cfg").cast("long").alias("cfg"), F.col("line").cast("long").alias("line"), F.col("delay").cast("long").alias("delay"), "tolerance", "pullback_max", "rebound_min", "slope_min")
-
-
 cte("setup", "panel", """SELECT * FROM (SELECT symbol, n, idx AS confirmed, close AS cc, slope, gap, gap_old, vr_prior AS rb, lag(vr_prior, 2) OVER w AS pb, lag(low, 2) OVER w AS pl2, lag(atr, 2) OVER w AS pa, lag(lf, 2) OVER w AS plf,
   smma21 > smma50 AND smma50 > smma200 AND lag(smma21, 2) OVER w > lag(smma50, 2) OVER w AND lag(smma50, 2) OVER w > lag(smma200, 2) OVER w AS fan, abs(lag(low, 2) OVER w - lag(smma21, 2) OVER w) AS d21, abs(lag(low, 2) OVER w - lag(smma50, 2) OVER w) AS d50,
   close > smma21 AS a21, close > smma50 AS a50 FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY idx)) WHERE plf AND fan AND gap > gap_old AND confirmed >= 220""")
@@ -219,6 +213,13 @@ def _exits(m):
     return d.select("symbol", *[F.col(c).cast("long").alias(c) for c in ("confirmed", "delay", "entry_idx", "exit_idx")], "split", "exit_reason", *[report(c).alias(c) for c in ("entry", "exit_price", "gross_pct", "return_pct", "r_multiple", "open_gap_pct")])
 
 
+@query("eligible_setups", "trades_c", "SELECT cfg, market, split, count(*) AS setups, count(DISTINCT symbol) AS symbols FROM trades_c GROUP BY cfg, market, split")
+def _eligible(m):
+    s = study(m)
+    d = B.eligible(s.outcomes, s.grid).groupBy("cfg", "market", "split", "symbol").agg(F.count(F.lit(1)).alias("k"))
+    return d.groupBy(F.col("cfg").cast("long").alias("cfg"), "market", "split").agg(F.sum("k").cast("double").alias("setups"), F.count(F.lit(1)).alias("symbols")).withColumn("setups", F.col("setups").cast("long"))
+
+
 @query("strategy_trades", "trades", f"SELECT symbol, cfg, split, confirmed, ei AS entry_idx, xi AS exit_idx, why AS exit_reason, {q('ret')} AS return_pct, {q('r')} AS r_multiple FROM trades")
 def _trades(m):
     d = study(m).trades

@@ -10,6 +10,8 @@ def test_trades_of_a_setting_do_not_overlap_and_are_maximal(spark, market):
     o = B.outcomes(setups(market), B.fold_table(spark, B.TRAIN_BARS, B.TEST_BARS), market.universe.select("symbol", "market"))
     grid = B.strategy_grid(spark)
     assert grid.count() == 864
+    prints = {B.fingerprint(g, "cfg").first().fingerprint for g in (grid, grid.repartition(3), B.strategy_grid(spark))}
+    assert len(prints) == 1 and len(prints.pop()) == 64
     kept = B.apply_settings(o, grid).select("symbol", "cfg", "split", "confirmed", "exit_idx").toPandas()
     allc = o.toPandas()
     g = {r.cfg: r for r in grid.collect()}
