@@ -34,17 +34,17 @@ def batch(spark, feed):
     return L.ticks(spark.read.parquet(f"{feed}/events*.parquet"))
 
 
-@pytest.mark.parametrize("name,op,end", [
-    ("s_bars", L.live_bars, "bar_ts + interval 1 hour"), ("s_slide", L.sliding_turnover, "window_start + interval 4 hours"), ("s_sess", L.activity_sessions, "session_end"),
+@pytest.mark.parametrize("name,op,end,slack", [
+    ("s_bars", L.live_bars, "bar_ts + interval 1 hour", 5), ("s_slide", L.sliding_turnover, "window_start + interval 4 hours", 5), ("s_sess", L.activity_sessions, "session_end", 360),
 ])
-def test_window_twins(spark, feed, name, op, end):
+def test_window_twins(spark, feed, name, op, end, slack):
     got = run(op(L.tick_stream(spark, feed)), name)
     t = batch(spark, feed)
     limit = t.agg(F.max("quote_ts") - F.expr("interval 10 minutes")).first()[0]
-    # The last watermark is rounded to milliseconds, so a window that ends just behind it may stay open.
+    # A window that ends just behind the last watermark may still be open; a session up to one gap behind it.
     done = lambda slack: set(rows(op(t).filter(F.expr(end) <= F.lit(limit) - F.expr(f"interval {slack} minutes")).select(*got.columns)))
     have = rows(got)
-    assert done(5) <= set(have) <= done(0) and len(have) == len(set(have)) > 100
+    assert done(slack) <= set(have) <= done(0) and len(have) == len(set(have)) > 100
 
 
 def test_records_once(spark, feed):
