@@ -45,7 +45,11 @@ def sliding_turnover(t: DataFrame, size: str = "4 hours", slide: str = "1 hour",
 
 
 def activity_sessions(t: DataFrame, gap: str = "6 hours", delay: str = DELAY) -> DataFrame:
-    """Windows of activity per symbol, closed by a gap."""
+    """Windows of activity per symbol, closed by a gap.
+
+    Filter the result on its bounds only after it has been written: Spark moves a filter on a
+    session's end below the merging of sessions, which changes the sessions.
+    """
     g = t.withWatermark("quote_ts", delay).groupBy("symbol", F.session_window("quote_ts", gap).alias("w"))
     return g.agg(F.count(F.lit(1)).alias("n"), F.max("price").alias("high"), F.min("price").alias("low")).select("symbol", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "high", "low")
 
