@@ -53,8 +53,9 @@ def stored(df: DataFrame, name: str, source: str, keys: list[str], sort: list[st
     """``df`` written once as a table bucketed by ``keys``, and read back.
 
     Buckets let every later per-key window, grouping or join start without a shuffle. The
-    table outlives lost executors. ``source`` tells tables of different inputs apart. The
-    bucket count follows ``spark.sql.shuffle.partitions``.
+    table outlives lost executors. ``source`` tells tables of different inputs apart. The bucket
+    count follows ``spark.sql.shuffle.partitions``, in local mode not beyond twice the
+    cores.
     """
     spark = df.sparkSession
     base = work_dir(spark)
@@ -64,6 +65,8 @@ def stored(df: DataFrame, name: str, source: str, keys: list[str], sort: list[st
     table = f"barline_{name}_{tag}"
     if not spark.catalog.tableExists(table):
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if spark.sparkContext.master.startswith("local"):
+            buckets = min(buckets, 2 * spark.sparkContext.defaultParallelism)
         (
             df.repartition(buckets, *keys)
             .write.format("parquet")
