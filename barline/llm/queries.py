@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import bpe, quality, sharding
+from barline.llm import bpe, quality, sharding, simhash
 
 #: The tokenizer file of the encoding queries.
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,11 @@ def op5(spark, path):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+@query("op6_simhash_pigeonhole")
+def op6(spark, path):
+    return simhash.near_duplicates(_documents(spark, path))
+
+
 @query("op8_bpe_pair_index")
 def op8(spark, path):
     file = public_tokenizers.path(TOKENIZER)
