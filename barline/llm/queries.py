@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import bpe, quality, sharding, simhash
+from barline.llm import bpe, decontaminate, quality, sharding, simhash
 
 #: The tokenizer file of the encoding queries.
 TOKENIZER = "word_bpe_49k.json"
@@ -48,6 +48,11 @@ def op8(spark, path):
     return bpe.digests(bpe.decode(ids, file))
 
 
+@query("op9_pigeonhole_edit")
+def op9(spark, path):
+    return decontaminate.matches(_documents(spark, path), spark.read.parquet(f"{path}/benchmark.parquet"))
+
+
 @query("op10_histogram_sort")
 def op10(spark, path):
     out = sharding.shard_documents(_documents(spark, path), shards=8)
