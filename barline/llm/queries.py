@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barline.llm import bpe, decontaminate, quality, sharding, simhash
+from barline.llm import bpe, decontaminate, langid, quality, sharding, simhash, toxicity
 
 #: The tokenizer file of the encoding queries.
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +31,25 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/documents.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """crc32(doc_id as text) mod n; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+@query("op2_ppm_language")
+def op2(spark, path):
+    docs = _documents(spark, path)
+    trees = langid.train(docs.where(_remainder(5) != 0))
+    return langid.identify(docs, trees).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_weak_toxicity")
+def op3(spark, path):
+    docs, labels = _documents(spark, path), spark.read.parquet(f"{path}/labels.parquet")
+    model = toxicity.train(docs, labels.where(_remainder(3) != 1))
+    return toxicity.score(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query("op5_line_frequency")
 def op5(spark, path):
     out = quality.quality(_documents(spark, path))
