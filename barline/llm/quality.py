@@ -112,19 +112,20 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", key: str
     docs = docs.select([c for c in docs.columns if c not in _OWN])
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
+    placed = F.transform(lines, lambda x, i: F.struct(F.xxhash64(normalised(x)).alias("h"), i.alias("i"), _line_words(x).alias("w")))
     exploded = docs.select(
-        F.col(key).alias("__key"), F.xxhash64(t).alias("__text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host"),
-        F.explode(F.transform(lines, lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), _line_words(x).alias("w")))).alias("__l"),
-    ).select("__key", "__text", "__host", F.col("__l.h").alias("__line"), F.col("__l.w").alias("__w"))
-    per = exploded.groupBy("__key", "__text", "__host", "__line").agg(F.max("__w").alias("__w"))
-    hits = per.join(frequent_lines(docs, text, host, limits), ["__host", "__line"]).groupBy("__key", "__text").agg(F.collect_set("__line").alias("__gone"))
-    measured = base_measures(docs, text, limits).withColumns({"__text": F.xxhash64(t)})
-    d = measured.join(hits.withColumnsRenamed({"__key": "__k2", "__text": "__t2"}), F.col(key).eqNullSafe(F.col("__k2")) & (F.col("__text") == F.col("__t2")), "left")
-    goes = F.filter(F.split(t, "\n"), lambda x: F.array_contains("__gone", F.xxhash64(normalised(x))) & (F.length(F.btrim(x, F.lit(SPACE))) > 0))
-    d = d.withColumn("__goes", F.when(F.col("__gone").isNotNull(), goes))
-    gone = F.coalesce(F.aggregate("__goes", F.lit(0).cast("long"), lambda s, x: s + _line_words(x)), F.lit(0).cast("long"))
-    d = d.withColumns({"removed_words": gone, "n_removed_lines": F.coalesce(F.size("__goes"), F.lit(0)).cast("long")})
+        F.col(key).alias("__key"), F.xxhash64(t).alias("__text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host"), F.explode(placed).alias("__l")
+    ).select("__key", "__text", "__host", F.col("__l.h").alias("__line"), F.struct("__l.i", "__l.w").alias("__at"))
+    found = exploded.join(frequent_lines(docs, text, host, limits), ["__host", "__line"])
+    # a set of places, so that repeated rows don't add up
+    hits = found.groupBy("__key", "__text").agg(F.collect_set("__at").alias("__at"), F.collect_set("__line").alias("__gone"))
+    hits = hits.select(
+        F.col("__key").alias("__k2"), F.col("__text").alias("__t2"), "__gone",
+        F.size("__at").cast("long").alias("n_removed_lines"), F.aggregate("__at", F.lit(0).cast("long"), lambda s, x: s + x["w"]).alias("removed_words"),
+    )
+    d = base_measures(docs, text, limits).withColumn("__text", F.xxhash64(t))
+    d = d.join(hits, F.col(key).eqNullSafe(F.col("__k2")) & (F.col("__text") == F.col("__t2")), "left").fillna(0, ["n_removed_lines", "removed_words"])
     left = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~(F.array_contains("__gone", F.xxhash64(normalised(x))) & (F.length(F.btrim(x, F.lit(SPACE))) > 0))), "\n")
     depleted = (F.col("removed_words") > limits.depleted * F.col("n_words")) | ((F.col("removed_words") > 0) & (F.col("n_words") - F.col("removed_words") < limits.words))
     d = d.withColumns({"kept": ~F.col("base_failed") & ~depleted, text: F.when(F.col("__gone").isNotNull(), left).otherwise(F.col(text))})
-    return d.drop("__text", "__k2", "__t2", "__gone", "__goes")
+    return d.drop("__text", "__k2", "__t2", "__gone")
