@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barline.session import work_dir
 
-#: Rows of one slice of an Arrow batch; bounds what a task holds beside its input.
-SLICE = 2000
+#: Most rows, and about the most bytes, of one slice of an Arrow batch; bounds what a task holds beside its input.
+SLICE, SLICE_BYTES = 2000, 8 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -33,8 +33,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        step = max(1, min(rows, b.num_rows * SLICE_BYTES // max(b.nbytes, 1)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
