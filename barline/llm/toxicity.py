@@ -24,8 +24,12 @@ from barline.llm.store import saved, slices
 TRAINING_ROWS = 12_000
 #: Most voters, and the chance that any voter is one by luck.
 VOTERS, LUCK = 512, 0.05
+#: Share of toxic texts that a voter needs.
+PURE = 0.8
 STEMS = (4, 5, 6)
 ROUNDS = 30
+#: Weight of posteriors against labels, which may be wrong, in the rates of the voters.
+TRUST = 0.1
 _WORD = regex.compile(r"\p{L}+")
 
 
@@ -36,9 +40,11 @@ def features(text: str) -> set[str]:
 
 
 def signature(text: str) -> int:
-    """Smallest hash of three words in a row: equal in near copies, which count once in training."""
+    """Three smallest hashes of three words in a row: equal in most near copies, which then count once in training."""
     w = _WORD.findall(text.lower())
-    return min((xxhash.xxh64_intdigest(" ".join(x), 1) for x in zip(w, w[1:], w[2:])), default=xxhash.xxh64_intdigest(" ".join(w), 1)) - (1 << 63)
+    shingles = [" ".join(x) for x in zip(w, w[1:], w[2:])] or [" ".join(w)]
+    least = [min(xxhash.xxh64_intdigest(x, seed) for x in shingles) for seed in (1, 2, 3)]
+    return xxhash.xxh64_intdigest(repr(least)) - (1 << 63)
 
 
 @dataclass
@@ -77,24 +83,46 @@ def _letter(c: str) -> bool:
     return c.isalpha()
 
 
+def choose_voters(candidates: list[tuple[str, int, int]], most: int = VOTERS) -> list[str]:
+    """Voters from (feature, toxic texts, texts), the purest first.
+
+    A feature below a chosen stem adds nothing. A stem above chosen ones must be pure in what it adds to them.
+    """
+    chosen: dict[str, tuple[int, int]] = {}
+    for f, a, m in sorted(candidates, key=lambda c: (-c[1] / c[2], -c[1], len(c[0]), c[0])):
+        word = f.rstrip("*")
+        if any(c.endswith("*") and word.startswith(c[:-1]) for c in chosen):
+            continue
+        below = [n for c, n in chosen.items() if f.endswith("*") and c.startswith(word)]
+        if below and a - sum(n[0] for n in below) < PURE * (m - sum(n[1] for n in below)):
+            continue
+        chosen[f] = (a, m)
+        if len(chosen) == most:
+            break
+    return list(chosen)
+
+
 def label_model(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
     """Posterior chance of toxicity for each row of votes ``x``; ``seed`` starts the classes.
 
-    Expectation maximisation with the rates of each voter in both classes. After each round the residual correlations
-    given the class discount a voter's evidence by 1 / (1 + the sum of its squared correlations with others).
+    Expectation maximisation with the rates of each voter in both classes, each row counted by its label and, with
+    the share TRUST, by its posterior. A silent voter abstains, but the silence of all is a vote too. After each round the residual
+    correlations given the class discount a voter's evidence by 1 / (1 + the sum of its squared correlations).
     """
-    p = seed.astype(float).clip(0.02, 0.98)
+    silent = ~x.any(axis=1)
+    p = seed.astype(float)
     for _ in range(ROUNDS):
-        n1, n0 = p.sum(), (1 - p).sum()
-        r1, r0 = (p @ x + 0.1) / (n1 + 1), ((1 - p) @ x + 0.1) / (n0 + 1)
+        c = TRUST * p + (1 - TRUST) * seed
+        n1, n0 = c.sum(), (1 - c).sum()
+        r1, r0 = (c @ x + 0.1) / (n1 + 1), ((1 - c) @ x + 0.1) / (n0 + 1)
         e1, e0 = x - r1, x - r0
-        cov = (e1.T * p) @ e1 / max(n1, 1) + (e0.T * (1 - p)) @ e0 / max(n0, 1)
+        cov = (e1.T * c) @ e1 / max(n1, 1) + (e0.T * (1 - c)) @ e0 / max(n0, 1)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = cov / np.outer(sd, sd)
         np.fill_diagonal(corr, 0)
         w = 1 / (1 + (corr**2).sum(axis=1))
-        spoken, silent = np.log(r1 / r0), np.log((1 - r1) / (1 - r0))
-        odds = np.log(n1 + 1) - np.log(n0 + 1) + x @ (w * spoken) + (1 - x) @ (w * silent)
+        none = np.log((c @ silent + 0.1) / (n1 + 1)) - np.log(((1 - c) @ silent + 0.1) / (n0 + 1))
+        odds = np.log(n1 + 1) - np.log(n0 + 1) + x @ (w * np.log(r1 / r0)) + silent * none
         q = 1 / (1 + np.exp(-odds.clip(-30, 30)))
         if np.abs(q - p).max() < 1e-6:
             break
@@ -148,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     tried = counts.count()
     # a feature of m texts with a toxic ones is luck at most C(m, a) base ** a times, over all features tried
     luck = F.col("a") * np.log(base) + F.when(F.col("a") < F.col("m"), (F.col("m") - F.col("a")) * (1 + F.log(F.col("m") / (F.col("m") - F.col("a"))))).otherwise(0.0)
-    good = counts.where((luck < float(np.log(LUCK / max(tried * 20, 1)))) & (F.col("a") >= 0.8 * F.col("m"))).orderBy(F.desc("a"), "m", "f").limit(VOTERS)
-    voters = [r["f"] for r in good.collect()]
+    good = counts.where((luck < float(np.log(LUCK / max(tried * 20, 1)))) & (F.col("a") >= PURE * F.col("m"))).orderBy(F.desc("a"), "m", "f").limit(8 * VOTERS)
+    voters = choose_voters([tuple(r) for r in good.select("f", "a", "m").collect()])
     model = Model(voters, np.zeros(len(voters)), 0.0)
 
     def spoke(batches):
