@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import bpe, decontaminate, langid, quality, sharding, simhash, toxicity
+from barline.llm import bpe, decontaminate, langid, quality, sharding, simhash, store, tokenfile, toxicity
 
 #: The tokenizer file of the encoding queries.
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,13 @@ def _remainder(n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+@query("op1_context_mixing_coder")
+def op1(spark, path):
+    files = store.shared_path(spark, "tokens")
+    tokenfile.write_tokens(_documents(spark, path), public_tokenizers.path(TOKENIZER), files)
+    return tokenfile.read_tokens(spark, files).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 @query("op2_ppm_language")
 def op2(spark, path):
     docs = _documents(spark, path)
