@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import bpe, decontaminate, langid, quality, sharding, simhash, store, tokenfile, toxicity
+from barline.llm import bpe, decontaminate, langid, quality, sharding, simhash, store, substrings, tokenfile, toxicity
 
 #: The tokenizer file of the encoding queries.
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +68,13 @@ def op6(spark, path):
     return simhash.near_duplicates(_documents(spark, path))
 
 
+@query("op7_interval_tree")
+def op7(spark, path):
+    out = substrings.remove_repeats(_documents(spark, path).select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select("doc_id", size.alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_bpe_pair_index")
 def op8(spark, path):
     file = public_tokenizers.path(TOKENIZER)
