@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of a suffix that are compared; longer contexts are cut by the caller.
-DEPTH = 88
+DEPTH = 96
 _WORDS = DEPTH // 8
 
 

@@ -1,6 +1,6 @@
 """Removal of repeated substrings by enhanced suffix arrays.
 
-Of the 16-byte pieces of every window of WINDOW bytes, the one of the smallest hash is the window's anchor. Equal windows
+Of the 12-byte pieces of every window of WINDOW bytes, the one of the smallest hash is the window's anchor. Equal windows
 have equal anchors, so the texts are cut into contexts (the windows in a row that share an anchor) and contexts meet by
 their anchors in tasks of bounded size. There the suffixes of the different contexts are sorted, and the interval tree of
 their common prefixes gives the maximal repeats with all occurrences; what a smaller key holds too is removed.
@@ -23,12 +23,16 @@ from barline.llm.enhanced import DEPTH, repeat_groups, sort_suffixes
 from barline.llm.store import saved, slices, utf8
 from barline.llm.words import ragged
 
-WINDOW, PIECE = 50, 16
+WINDOW, PIECE = 50, 12
 _PIECES = WINDOW - PIECE + 1
+#: A window has its anchor and this many more bytes on one side at least.
+_SIDE = (WINDOW - PIECE) // 2
 #: Bytes of text that a task indexes at once, and that one message to each bucket is made from.
 CHUNK, MESSAGE = 1 << 20, 16 << 20
 #: Bytes of text for each bucket: few in small inputs, more in large ones.
 LEAST_BUCKET, MOST_BUCKET = 2 << 20, 64 << 20
+#: The same for the buckets in which texts meet their spans.
+TEXT_BUCKET = 12 << 20
 #: An anchor in more texts than this is not gathered: its windows are joined one by one.
 HOT = 300_000
 #: Texts that are looked at for such anchors.
@@ -59,7 +63,7 @@ def contexts(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(raw) < WINDOW:
         return none, none, none, none, none.astype(np.uint64)
     eights = _eights(raw)
-    h = _piece_hash(eights[:-8], eights[8:])
+    h = _piece_hash(eights[:-4], eights[4:])
     place = np.arange(len(h), dtype=np.uint64)
     m = h >> np.uint64(24) << np.uint64(24) | place
     width = 1
@@ -86,7 +90,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     buf.write(np.array([len(a) for a in arrays], "<u4").tobytes())
     for a in arrays:
         buf.write(a.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(buf.getvalue())
+    return zstandard.ZstdCompressor(level=6).compress(buf.getvalue())
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -194,14 +198,14 @@ def covered(keys: np.ndarray, count: np.ndarray, offset: np.ndarray, body: np.nd
         return flags
     sizes = count + WINDOW - 1
     starts = np.cumsum(sizes) - sizes
-    # a window has the anchor and 17 more bytes on one side at least; what nobody shares is left out
+    # what nobody shares on either side of the anchor is left out
     e = _eights(np.append(body, np.zeros(64, np.uint8)))
     keep = np.zeros(n, bool)
-    for has, at in ((offset >= 17, starts + offset - 17), (count - 1 >= offset - 16, starts + offset)):
+    for has, at in ((offset >= _SIDE, starts + offset - _SIDE), (count - 1 > offset - _SIDE, starts + offset)):
         i = np.flatnonzero(has)
         if len(i):
-            p = at[i]
-            v = _piece_hash(_piece_hash(e[p], e[p + 8]), _piece_hash(e[p + 16], e[p + 24])) ^ e[p + 25] * _C[1]
+            p = at[i]  # 31 bytes from here
+            v = _piece_hash(_piece_hash(e[p], e[p + 8]), _piece_hash(e[p + 16], e[p + 23]))
             keep[i[_shared(v, keys[i])]] = True
     some = np.flatnonzero(keep)
     if not len(some):
@@ -268,7 +272,7 @@ def _packed_documents(buckets: int, at: int):
             blobs = []
             for s, e in zip(cut, [*cut[1:], len(order)]):
                 sink = io.BytesIO()
-                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
                     w.write_batch(b.take(pa.array(order[s:e])))
                 blobs.append(sink.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cut]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
@@ -369,13 +373,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", hot
     docs = docs.select(*rest).withColumn(key, F.col(key).cast("long"))
     total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     buckets = max(16, -(-size // min(MOST_BUCKET, max(LEAST_BUCKET, size // 2000))))
+    parts = max(16, -(-size // max(TEXT_BUCKET, size // 100_000)))
     texts = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= WINDOW)).select(key, text)
     anchors = _hot_anchors(texts, total, hot)
     met = texts.mapInArrow(_messages(buckets, anchors), "bucket int, data binary")
-    spans = met.groupBy("bucket").applyInArrow(_spans(buckets), "bucket int, data binary")
+    spans = met.groupBy("bucket").applyInArrow(_spans(parts), "bucket int, data binary")
     if len(anchors):
-        spans = spans.unionByName(_hot_spans(texts, anchors, buckets))
+        spans = spans.unionByName(_hot_spans(texts, anchors, parts))
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
-    packed = docs.mapInArrow(_packed_documents(buckets, rest.index(key)), "bucket int, data binary")
+    packed = docs.mapInArrow(_packed_documents(parts, rest.index(key)), "bucket int, data binary")
     run = _removed(to_arrow_schema(schema), rest.index(key), rest.index(text))
     return packed.groupBy("bucket").cogroup(saved(spans, "spans").groupBy("bucket")).applyInArrow(run, schema)
