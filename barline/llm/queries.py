@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import bpe, decontaminate, langid, quality, sharding, simhash, store, substrings, tokenfile, toxicity
+from barline.llm import bpe, decontaminate, langid, licences, quality, sharding, simhash, store, substrings, tokenfile, toxicity
 
 #: The tokenizer file of the encoding queries.
 TOKENIZER = "word_bpe_49k.json"
@@ -57,6 +57,14 @@ def op3(spark, path):
     return toxicity.score(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
+@query("op4_licence_scan")
+def op4(spark, path):
+    """A document's path is source/language/id."""
+    place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    out = licences.scan(_documents(spark, path).select("doc_id", place.alias("path"), "text"))
+    return out.select("doc_id", "path", "own_licence", F.round("own_score", 6).alias("own_score"), "licence_file", "licence", "licence_from")
+
+
 @query("op5_line_frequency")
 def op5(spark, path):
     out = quality.quality(_documents(spark, path))
