@@ -58,10 +58,6 @@ class Bpe:
         added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.added = {k.encode(): v for k, v in added.items()}
         self.special = re.compile(b"(" + b"|".join(map(re.escape, self.added)) + b")") if added else None
-        names = dict(vocab) | added
-        self.tokens = [""] * (max(names.values()) + 1)
-        for k, v in names.items():
-            self.tokens[v] = k
         # words of characters up to U+00FF keep to plain rules and are cut together; others go through the normaliser
         # and splitter of the file
         self.parts = Tokenizer.from_file(path)
@@ -209,7 +205,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
     def run(batches):
         table = _table(path)
-        for b in slices(batches, 5000):  # more words for each rank
+        for b in slices(batches, 5000, 4 << 20):
             ids, ends = table(utf8(b.column(at)))
             offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=[*rest, out])
@@ -217,30 +213,28 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     return docs.select(*rest).mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=2)
+def tokens(path: str) -> list[str | None]:
+    """The text of each id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec.get("decoder") is not None:
+        raise ValueError("only files without a decoder are supported")
+    names = spec["model"]["vocab"] | {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
+    out: list[str | None] = [None] * (max(names.values()) + 1)
+    for k, v in names.items():
+        out[v] = k
+    return out
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with ``out``: the tokens of the ids joined by one space (the file names no decoder).
 
-    Null ids and an empty array give an empty text; an id outside the vocabulary is left out.
+    Null ids and an empty array give an empty text; an id outside the vocabulary is left out; a column named ``out`` is
+    replaced. A column expression: the vocabulary is a literal of fixed size.
     """
-    rest = [c for c in docs.columns if c != out]
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, T.StringType())])
-    at = rest.index(ids)
-
-    def run(batches):
-        names = np.array(model(path).tokens, object)
-        for b in slices(batches):
-            column = b.column(at)
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            size = np.asarray(column.value_lengths().fill_null(0))
-            known = (flat >= 0) & (flat < len(names))
-            words = names[np.where(known, flat, 0)]
-            ends = np.cumsum(size)
-            texts = []
-            for s, e in zip(ends - size, ends):
-                texts.append(" ".join(words[s:e] if known[s:e].all() else words[s:e][known[s:e]]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*rest, out])
-
-    return docs.select(*rest).mapInArrow(run, schema)
+    names = F.from_json(F.lit(json.dumps(tokens(path))), "array<string>")
+    return docs.withColumn(out, F.coalesce(F.array_join(F.transform(ids, lambda i: F.get(names, i)), " "), F.lit("")))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -31,9 +31,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        step = max(1, min(rows, b.num_rows * SLICE_BYTES // max(b.nbytes, 1)))
+        step = max(1, min(rows, b.num_rows * size // max(b.nbytes, 1)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
 

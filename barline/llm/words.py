@@ -12,7 +12,7 @@ from itertools import chain
 import numpy as np
 
 #: Words that the table keeps; beyond it starts anew. Only the memory depends on it.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 
 class WordTable:
