@@ -237,10 +237,10 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     return docs.withColumn(out, F.coalesce(F.array_join(F.transform(ids, lambda i: F.get(names, i)), " "), F.lit("")))
 
 
-def digests(docs: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Number of tokens and SHA-256 of the ids (decimal, joined by one space) and of the decoded text."""
+def digests(docs: DataFrame, *columns: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``columns``, the number of tokens and SHA-256 of the ids (decimal, joined by one space) and of the decoded text."""
     return docs.select(
-        key,
+        *columns,
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col(ids).cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col(decoded).cast("binary"), 256).alias("decoded_sha256"),

@@ -75,7 +75,9 @@ def base_measures(docs: DataFrame, text: str = "text", limits: Limits = Limits()
     )
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
     d = d.withColumn("__lines", lines)
-    n_words, repeat = n.cast("long"), F.coalesce(covered, F.lit(0).cast("long"))
+    # a filter on the measures must not be pushed below them: it would repeat their steps within one another
+    stay = F.spark_partition_id() >= 0
+    n_words, repeat = F.when(stay, n.cast("long")), F.when(stay, F.coalesce(covered, F.lit(0).cast("long")))
     d = d.withColumns({
         "n_words": n_words,
         "word_chars": F.aggregate("__words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)),

@@ -87,7 +87,7 @@ def op7(spark, path):
 def op8(spark, path):
     file = public_tokenizers.path(TOKENIZER)
     ids = bpe.encode(_documents(spark, path).select("doc_id", "text"), file).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(ids, file))
+    return bpe.digests(bpe.decode(ids, file), "doc_id")
 
 
 @query("op9_pigeonhole_edit")

@@ -193,3 +193,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     least = placed.groupBy("label").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "label").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("__key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest key. Rows with a null key can't be told apart and all stay."""
+    named = docs.where(F.col(key).isNotNull())
+    first = near_duplicates(named, text, key).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__first")).distinct()
+    kept = named.join(first, F.col(key) == F.col("__first"), "left_semi").dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull()))

@@ -280,7 +280,7 @@ def _packed_documents(buckets: int, at: int):
     return run
 
 
-def _removed(schema: pa.Schema, key: int, text: int):
+def _removed(schema: pa.Schema, key: int, text: int, as_text: bool):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         cuts = [_unpack(d, "<i8", "<u4", "<u4") for d in spans.column("data").to_pylist()]
         keys = np.concatenate([c[0] for c in cuts]) if cuts else np.zeros(0, np.int64)
@@ -303,10 +303,10 @@ def _removed(schema: pa.Schema, key: int, text: int):
                     last = max(last, e)
                 pieces.append(raw[last:])
                 rest = b"".join(pieces)
-                kept.append(rest)
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 spans_.append(runs)
                 gone.append(len(raw) - len(rest))
-            new = [pa.array(kept, pa.binary()), pa.array(gone, pa.int64()), pa.array(spans_, pa.int64())]
+            new = [pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(gone, pa.int64()), pa.array(spans_, pa.int64())]
             out.append(pa.Table.from_arrays([*(c.combine_chunks() for c in t.columns), *new], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -361,8 +361,8 @@ def _hot_spans(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     return found.mapInArrow(packed, "bucket int, data binary")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
-    """All columns of ``docs``, kept (the bytes that stay), n_removed and n_spans (maximal removed runs).
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, kept (the bytes that stay; with ``as_text`` as a string, without cut characters), n_removed and n_spans (maximal removed runs).
 
     A byte goes if a string of WINDOW bytes over it also starts in a text with a smaller key, judged on the input. A null
     text is empty, a text below WINDOW bytes stays whole, and so does one with a null key, which takes nothing from others
@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", hot
     spans = met.groupBy("bucket").applyInArrow(_spans(parts), "bucket int, data binary")
     if len(anchors):
         spans = spans.unionByName(_hot_spans(texts, anchors, parts))
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
     packed = docs.mapInArrow(_packed_documents(parts, rest.index(key)), "bucket int, data binary")
-    run = _removed(to_arrow_schema(schema), rest.index(key), rest.index(text))
+    run = _removed(to_arrow_schema(schema), rest.index(key), rest.index(text), as_text)
     return packed.groupBy("bucket").cogroup(saved(spans, "spans").groupBy("bucket")).applyInArrow(run, schema)
