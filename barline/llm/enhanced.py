@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: Bytes of a suffix that are compared; longer contexts are cut by the caller.
@@ -9,11 +11,6 @@ DEPTH = 96
 _WORDS = DEPTH // 8
 
 
-def big_words(rows: np.ndarray) -> np.ndarray:
-    """Each row of DEPTH bytes as words whose order is the order of the bytes."""
-    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
-
-
 def sort_suffixes(rows: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of at least ``least`` bytes in order: row, start, and the common prefix with the suffix before.
 
@@ -24,7 +21,9 @@ def sort_suffixes(rows: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.n
     start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     wide = np.concatenate([rows, np.zeros((len(rows), DEPTH), np.uint8)], axis=1)
     windows = np.lib.stride_tricks.sliding_window_view(wide, DEPTH, axis=1)
-    words = big_words(windows[row, start])
+    words = windows[row, start].view(">u8")  # their order is the order of the bytes
+    words.byteswap(inplace=True)
+    words = words.view("<u8")
     size = sizes[row] - start
     order = np.lexsort([size, *(words[:, k] for k in range(_WORDS - 1, -1, -1))])
     row, start, size, words = row[order], start[order], size[order], words[order]
@@ -40,11 +39,12 @@ def sort_suffixes(rows: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.n
 
 
 def repeat_groups(lcp: np.ndarray, weight: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
-    """Maximal repeats as rows (first, last, length, smallest weight) of the sorted suffixes.
+    """Maximal repeats as rows (first, last, length, smallest weight, length of the parent) of the sorted suffixes.
 
     One scan with a stack visits every interval of common prefixes of at least ``least`` bytes. An interval is a maximal
     repeat if the bytes on the left of its suffixes differ; else a longer one has the same occurrences. ``left`` holds
-    these bytes; a suffix without one needs a value of its own.
+    these bytes; a suffix without one needs a value of its own. All that hold a maximal repeat are maximal too; a parent
+    below ``least`` counts as 0.
     """
     n = len(lcp)
     inside = lcp >= least
@@ -52,7 +52,7 @@ def repeat_groups(lcp: np.ndarray, weight: np.ndarray, left: np.ndarray, least:
     ends = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) if n else heads
     changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])]) if n else heads
     lengths, weights = lcp.tolist(), weight.tolist()
-    out: list[tuple[int, int, int, int]] = []
+    out = array("q")
     for head, end in zip(heads.tolist(), ends.tolist()):
         stack: list[list[int]] = []
         for i in range(head + 1, end + 2):
@@ -61,11 +61,11 @@ def repeat_groups(lcp: np.ndarray, weight: np.ndarray, left: np.ndarray, least:
             while stack and stack[-1][0] > now:
                 length, first, w = stack.pop()
                 small = min(small, w)
-                out.append((first, i - 1, length, small))
+                out.extend((first, i - 1, length, small, max(now, stack[-1][0] if stack else 0)))
             if now:
                 if stack and stack[-1][0] == now:
                     stack[-1][2] = min(stack[-1][2], small)
                 else:
                     stack.append([now, first, small])
-    groups = np.array(out, np.int64).reshape(-1, 4)
+    groups = np.array(out, np.int64).reshape(-1, 5)
     return groups[changes[groups[:, 1]] > changes[groups[:, 0]]] if len(groups) else groups

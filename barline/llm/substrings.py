@@ -34,7 +34,9 @@ LEAST_BUCKET, MOST_BUCKET = 2 << 20, 64 << 20
 #: The same for the buckets in which texts meet their spans.
 TEXT_BUCKET = 12 << 20
 #: An anchor in more texts than this is not gathered: its windows are joined one by one.
-HOT = 300_000
+HOT = 100_000
+#: Contexts whose suffixes are sorted at once; those of one anchor stay together.
+SORTED = 8000
 #: Texts that are looked at for such anchors.
 HOT_SAMPLE = 200_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -90,7 +92,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     buf.write(np.array([len(a) for a in arrays], "<u4").tobytes())
     for a in arrays:
         buf.write(a.tobytes())
-    return zstandard.ZstdCompressor(level=6).compress(buf.getvalue())
+    return zstandard.ZstdCompressor(level=9).compress(buf.getvalue())
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -190,6 +192,11 @@ def _shared(value: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _at(body: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number."""
+    return np.lib.stride_tricks.sliding_window_view(body, 8)[places].view("<u8").ravel()
+
+
 def covered(keys: np.ndarray, count: np.ndarray, offset: np.ndarray, body: np.ndarray) -> np.ndarray:
     """Which windows of each context (one row each) start in a smaller key too. All contexts of an anchor are given."""
     n = len(keys)
@@ -198,26 +205,38 @@ def covered(keys: np.ndarray, count: np.ndarray, offset: np.ndarray, body: np.nd
         return flags
     sizes = count + WINDOW - 1
     starts = np.cumsum(sizes) - sizes
+    body = np.append(body, np.zeros(DEPTH, np.uint8))
     # what nobody shares on either side of the anchor is left out
-    e = _eights(np.append(body, np.zeros(64, np.uint8)))
     keep = np.zeros(n, bool)
     for has, at in ((offset >= _SIDE, starts + offset - _SIDE), (count - 1 > offset - _SIDE, starts + offset)):
         i = np.flatnonzero(has)
         if len(i):
             p = at[i]  # 31 bytes from here
-            v = _piece_hash(_piece_hash(e[p], e[p + 8]), _piece_hash(e[p + 16], e[p + 23]))
+            v = _piece_hash(_piece_hash(_at(body, p), _at(body, p + 8)), _piece_hash(_at(body, p + 16), _at(body, p + 23)))
             keep[i[_shared(v, keys[i])]] = True
     some = np.flatnonzero(keep)
-    if not len(some):
-        return flags
-    # different contexts only: sizes stand in the last byte
-    rows = np.zeros((len(some), DEPTH), np.uint8)
-    flat, _ = ragged(body, starts[some], sizes[some])
-    rows[np.repeat(np.arange(len(some)), sizes[some]), np.arange(len(flat)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])] = flat
-    rows[:, -1] = sizes[some]
+    p = starts[some] + offset[some]
+    anchor = _piece_hash(_at(body, p), _at(body, p + 4))
+    order = np.argsort(anchor, kind="stable")
+    some, anchor = some[order], anchor[order]
+    heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(some) else np.zeros(0, int)
+    cuts = [0] if len(some) else []
+    for h in [*heads[1:].tolist(), len(some)] if len(some) else ():
+        if h - cuts[-1] >= SORTED or h == len(some):
+            cuts.append(h)
+    for a, b in zip(cuts, cuts[1:]):
+        part = some[a:b]
+        flags[part] = _covered_together(keys[part], count[part], np.lib.stride_tricks.sliding_window_view(body, DEPTH)[starts[part]])
+    return flags
+
+
+def _covered_together(keys: np.ndarray, count: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    sizes = count + WINDOW - 1
+    rows[np.arange(DEPTH) >= sizes[:, None]] = 0
+    rows[:, -1] = sizes  # different contexts only: sizes stand in the last byte
     _, first, which = np.unique(rows.view(f"S{DEPTH}").ravel(), return_index=True, return_inverse=True)
     least = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, keys[some])
+    np.minimum.at(least, which, keys)
     rows = rows[first]
     size = rows[:, -1].astype(np.int64)
     rows[:, -1] = 0
@@ -228,11 +247,12 @@ def covered(keys: np.ndarray, count: np.ndarray, offset: np.ndarray, body: np.nd
     members = groups[:, 1] - groups[:, 0] + 1
     suffix, _ = ragged(np.arange(len(row)), groups[:, 0], members)
     group = np.repeat(np.arange(len(groups)), members)
-    reach = groups[group, 2] - WINDOW + 1
-    at, _ = ragged(np.arange(len(rows) * _PIECES), row[suffix] * _PIECES + start[suffix], reach)
+    # windows up to the parent's length have the parent's key, which is no greater
+    skip = np.maximum(groups[group, 4] - WINDOW + 1, 0)
+    reach = groups[group, 2] - WINDOW + 1 - skip
+    at, _ = ragged(np.arange(len(rows) * _PIECES), row[suffix] * _PIECES + start[suffix] + skip, reach)
     np.minimum.at(smallest.reshape(-1), at, np.repeat(groups[group, 3], reach))
-    flags[some] = (smallest[which] < keys[some, None]) & (np.arange(_PIECES) < count[some, None])
-    return flags
+    return (smallest[which] < keys[:, None]) & (np.arange(_PIECES) < count[:, None])
 
 
 def _spans(buckets: int):
@@ -272,7 +292,7 @@ def _packed_documents(buckets: int, at: int):
             blobs = []
             for s, e in zip(cut, [*cut[1:], len(order)]):
                 sink = io.BytesIO()
-                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as w:
                     w.write_batch(b.take(pa.array(order[s:e])))
                 blobs.append(sink.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cut]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])

@@ -139,7 +139,7 @@ def test_repeat_groups_by_brute_force():
         suffixes = [texts[a][b:] for a, b in zip(row, start)]
         assert suffixes == sorted(suffixes)
         left = np.array([rows[a, b - 1] if b else -1 - i for i, (a, b) in enumerate(zip(row, start))], np.int64)
-        got = {(suffixes[f][:n], l - f + 1, w) for f, l, n, w in enhanced.repeat_groups(lcp, row, left, 4).tolist()}
+        got = {(suffixes[f][:n], l - f + 1, w) for f, l, n, w, _ in enhanced.repeat_groups(lcp, row, left, 4).tolist()}
         want, places = set(), {}
         for i, t in enumerate(texts):
             for b in range(len(t) - 3):
