@@ -108,7 +108,9 @@ class Decoder(Encoder):
     def symbol(self, at: np.ndarray, cum: np.ndarray, ids: None) -> np.ndarray:
         unit = self.range[at] // _U(cum[-1])
         got = np.minimum(self.value[at] // unit, _U(cum[-1] - 1)).astype(np.int64)
-        ids = np.searchsorted(cum, got, side="right") - 1
+        order = np.argsort(got)  # sorted places are found much faster
+        ids = np.empty_like(got)
+        ids[order] = np.searchsorted(cum, got[order], side="right") - 1
         start = unit * cum[ids].astype(np.uint64)
         self.value[at] -= start
         self.narrow(at, start, unit * (cum[ids + 1] - cum[ids]).astype(np.uint64))
@@ -133,9 +135,9 @@ class Mixer:
     def learn(self, bits: np.ndarray) -> None:
         error = (bits.astype(np.int64) << 16) - self.p
         for k, (s, x) in enumerate(zip(self.states, self.inputs)):
-            n = len(self.hits[k])
-            self.hits[k] += np.bincount(s[bits], minlength=n)
-            self.all[k] += np.bincount(s, minlength=n)
+            seen = np.bincount(2 * s + bits, minlength=2 * len(self.hits[k])).reshape(-1, 2)
+            self.hits[k] += seen[:, 1]
+            self.all[k] += seen.sum(axis=1)
             self.weights[k] = max(-(1 << 17), min(1 << 18, self.weights[k] + (int(error @ x) // max(1, len(s)) >> 8)))
         for k in range(len(self.hits)):
             if self.all[k].max(initial=0) > 1 << 20:
@@ -147,11 +149,16 @@ def _often(freq: np.ndarray) -> np.ndarray:
     return _LOG[np.minimum(freq // GAIN, 65535)]
 
 
+#: Trust after a miss (first half) and after a hit.
+_TRUST = np.array([t >> 1 for t in range(8)] + [min(t + 1, 7) for t in range(8)], np.int8)
+
+
 def _follow(table: np.ndarray, trust: np.ndarray, slot: np.ndarray, ids: np.ndarray, hit: np.ndarray) -> None:
     """After a hit an id is trusted more; after misses the newest id takes its place."""
     t = trust[slot]
-    table[slot] = np.where(~hit & (t == 0), ids + 1, table[slot])
-    trust[slot] = np.where(hit, np.minimum(t + 1, 7), t >> 1)
+    new = np.flatnonzero(~hit & (t == 0))
+    table[slot[new]] = ids[new] + 1
+    trust[slot] = _TRUST[t + 8 * hit]
 
 
 def _code(coder: Encoder, lanes: int, vocab: int, given: np.ndarray | None) -> np.ndarray:

@@ -24,6 +24,8 @@ from barline.llm.words import WordTable
 
 #: Ids of a block; a block ends with the document that reaches it.
 BLOCK_IDS = 4_000_000
+#: Words whose ids a worker keeps; the library is slow, and memory bounds it.
+KEPT = 1_200_000
 _SCHEMA = "part int, block int, before bigint, n_docs int, n_tokens bigint, data binary"
 
 
@@ -36,13 +38,28 @@ def _table(path: str) -> tuple[WordTable, int]:
 
     tokenizer = Tokenizer.from_file(path)
 
+    border, border_id = max(((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special), key=lambda x: x[1], default=("", -1))
+
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum()))
+        """Many words in one call, with a special token between them; words that hold one are encoded alone."""
+        texts = [w.decode("utf-8") for w in words]
+        alone = {i for i, t in enumerate(texts) if not border or "<" in t}
+        plain = [t for i, t in enumerate(texts) if i not in alone] if alone else texts
+        found = tokenizer.encode_batch_fast([border.join(plain[i : i + 100]) + border for i in range(0, len(plain), 100)], add_special_tokens=False)
+        flat = np.concatenate([np.zeros(0, np.int64), *(np.array(e.ids, np.int64) for e in found)])
+        ends = np.flatnonzero(flat == border_id)
+        sizes = np.diff(ends, prepend=-1) - 1
+        flat = np.delete(flat, ends)
+        if alone:
+            own = {i: tokenizer.encode(texts[i], add_special_tokens=False).ids for i in sorted(alone)}
+            parts, rest, k = [], np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [], 0
+            for i in range(len(texts)):
+                parts.append(np.array(own[i], np.int64) if i in alone else rest[k])
+                k += i not in alone
+            flat, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return flat, sizes
 
-    return WordTable(encode), tokenizer.get_vocab_size()
+    return WordTable(encode, KEPT), tokenizer.get_vocab_size()
 
 
 def pack(keys: list[int | None], sizes: np.ndarray, ids: np.ndarray, vocab: int) -> bytes:
