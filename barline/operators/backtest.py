@@ -289,7 +289,7 @@ def apply_settings(o: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) ->
     def step(acc, t):
         return F.when(t["confirmed"] >= F.element_at(acc, -1)["exit_idx"] + 1, F.concat(acc, F.array(t))).otherwise(acc)
 
-    kept = F.aggregate(F.slice("all", 2, 10**6), F.slice("all", 1, 1), step)
+    kept = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.slice("all", 1, 1), step)
     return q.withColumn("t", F.explode(kept)).select("symbol", "market", "cfg", "fold", "split", "t.*")
 
 
@@ -414,10 +414,17 @@ def verdict(quality_ok: Column, latest: Column, rolling: Column, ratio: Column)
     return F.when(flag(quality_ok) & ok(latest) & ok(rolling) & flag(ratio >= 0.75), "accepted").when(flag(quality_ok) & ok(latest) & rolling.isNull(), "provisional").otherwise("rejected")
 
 
-def fingerprint(df: DataFrame, order: str) -> DataFrame:
-    """SHA-256 of a small dimension table in a fixed order."""
-    rows = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("j"), F.col(order).alias("o"))
-    return rows.agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("o", "j"))), lambda x: x["j"])), 256).alias("fingerprint"))
+def fingerprint(df: DataFrame, *keys: str) -> DataFrame:
+    """SHA-256 of a table, or of each group of ``keys``: the number of rows and the sums of four parts of their hashes.
+
+    The order of rows does not matter, one changed member changes the result, and it is one mergeable aggregate: no
+    rows are gathered. A row's hash is that of its columns by name as JSON, nulls included.
+    """
+    own = [c for c in sorted(df.columns) if c not in keys]
+    h = F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring("_h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    out = df.withColumn("_h", h).groupBy(*keys).agg(F.count("*").alias("members"), *[p.alias(f"_p{i}") for i, p in enumerate(parts)])
+    return out.select(*keys, "members", F.sha2(F.concat_ws("|", F.col("members").cast("string"), *[f"_p{i}" for i in range(4)]), 256).alias("fingerprint"))
 
 
 # -- return-series zones ----------------------------------------------------------------------

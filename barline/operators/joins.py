@@ -36,25 +36,28 @@ def relative_strength(bars: DataFrame, benchmark: DataFrame, period: int = 63) -
 def on_calendar(series: DataFrame, value: str = "close", date: str = "bar_date") -> DataFrame:
     """One series spread over every calendar day: the last value on or before the day and the one before that.
 
-    The result has one row per day of the calendar whatever the data size.
+    The result has one row per day from the first to the last day of the series whatever the data size.
     """
     w = Window.partitionBy(F.lit(0)).orderBy(date)
     d = series.select(date, F.col(value).alias("asof_value"), F.lag(value).over(w).alias("asof_prev"), F.lead(date).over(w).alias("_next"))
-    until = F.coalesce(F.date_sub("_next", 1), F.date_add(date, 366))
+    until = F.coalesce(F.date_sub("_next", 1), F.col(date))
     return d.withColumn("day", F.explode(F.sequence(F.col(date), until))).select("day", F.col(date).alias("asof_date"), "asof_value", "asof_prev")
 
 
 def asof_series(rows: DataFrame, series: DataFrame, on: str = "bar_date", value: str = "close") -> DataFrame:
     """Adds the last value of one shared series on or before each row's date."""
     cal = on_calendar(series, value)
-    return rows.join(F.broadcast(cal), rows[on] == cal["day"], "left").drop("day")
+    end = series.agg(F.max("bar_date").alias("_end"))  # one row; later days read the last value
+    d = rows.crossJoin(F.broadcast(end)).withColumn("_day", F.least(on, "_end"))
+    return d.join(F.broadcast(cal), d["_day"] == cal["day"], "left").drop("day", "_day", "_end")
 
 
 def next_event_days(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Days from each bar to the symbol's next event on or after it; NULL where none follows."""
     e = events.select("symbol", F.col("event_date").alias("at"), F.lit(None).cast("int").alias("bar_idx"), F.col("event_date").alias("ev"))
     b = bars.select("symbol", F.col("bar_date").alias("at"), "bar_idx", F.lit(None).cast("date").alias("ev"))
-    later = Window.partitionBy("symbol").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    # Later days come first, so the frame only grows and each row is added once.
+    later = Window.partitionBy("symbol").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, 0)
     # A range frame over dates needs a number: days since the epoch.
     u = b.unionByName(e).withColumn("at", F.datediff("at", F.to_date(F.lit("1970-01-01"))))
     d = u.withColumn("next_event", F.min("ev").over(later)).filter("bar_idx is not null")
@@ -70,16 +73,16 @@ def event_distance(bars: DataFrame, events: DataFrame) -> DataFrame:
     """
     b = bars.select("symbol", F.col("bar_date").alias("at"), "bar_idx", "n_bars")
     e = events.select("symbol", F.col("event_date").alias("at"), F.lit(None).cast("int").alias("bar_idx"), F.lit(None).cast("long").alias("n_bars"))
-    by_day = Window.partitionBy("symbol").orderBy("at")
+    by_day = Window.partitionBy("symbol").orderBy(F.col("at").desc())
     u = b.unionByName(e).withColumn("at", F.datediff("at", F.to_date(F.lit("1970-01-01"))))
-    later = by_day.rangeBetween(0, Window.unboundedFollowing)
+    later = by_day.rangeBetween(Window.unboundedPreceding, 0)
     last_bar = F.max("bar_idx").over(Window.partitionBy("symbol"))
     placed = u.withColumns({"pos": F.coalesce(F.min("bar_idx").over(later), last_bar)})
     marks = placed.filter("bar_idx is null and pos is not null").select("symbol", F.col("pos").alias("bar_idx")).distinct().withColumn("mark", F.lit(True))
     m = bars.select("symbol", "bar_idx").join(marks, ["symbol", "bar_idx"], "left").withColumn("p", F.when(F.col("mark"), F.col("bar_idx")))
-    w = Window.partitionBy("symbol").orderBy("bar_idx")
-    before = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bar_idx")
-    after = F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("bar_idx")
+    w, down = (Window.partitionBy("symbol").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("bar_idx"), F.col("bar_idx").desc()))
+    before = F.last("p", ignorenulls=True).over(w) - F.col("bar_idx")
+    after = F.last("p", ignorenulls=True).over(down) - F.col("bar_idx")
     near = F.when(after.isNull() | (F.abs(before) <= after), before).otherwise(after)
     return m.select("symbol", "bar_idx", F.coalesce(near, after).alias("event_distance"))
 

@@ -438,7 +438,7 @@ def deduplicate(patterns: DataFrame, window: int) -> DataFrame:
         marked = F.transform(acc, lambda e, i: F.when((i + 1) == hit, noted(e)).otherwise(e))
         return F.when(hit == 0, F.concat(acc, F.array(c))).otherwise(marked)
 
-    kept = F.aggregate(F.slice("all", 2, 10**6), F.slice("all", 1, 1), step)
+    kept = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.slice("all", 1, 1), step)
     return g.select("symbol", "family", "direction", F.explode(kept).alias("v")).select("symbol", "family", "direction", "v.*").drop("at")
 
 

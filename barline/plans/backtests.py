@@ -117,9 +117,9 @@ SELECT e.*, coalesce(h.hit, e.fin) AS xi, CASE WHEN h.hit IS NULL THEN f.close W
 
 
 outcome_cte("out", "(1, 0, 168, 84, 0)")
-_QF = 3
+_QF = 4
 outcome_cte("outq", ", ".join(f"({k + 1}, {(_QF - k - 1) * 63}, 189, 63, {220 + 189 + 63})" for k in range(_QF)))
-_MF = 3
+_MF = 4
 outcome_cte("outm", ", ".join(f"({k + 1}, {(_MF - k - 1) * 21}, 231, 21, {220 + 231 + 21})" for k in range(_MF)))
 
 
@@ -158,8 +158,8 @@ def scored_cte(name: str, trades: str, folds: str) -> None:
 
 
 scored_cte("scored", "trades", "[1]")
-scored_cte("scoredq", "tradesq", "[1, 2, 3]")
-scored_cte("scoredm", "tradesm", "[1, 2, 3]")
+scored_cte("scoredq", "tradesq", str([*range(1, _QF + 1)]))
+scored_cte("scoredm", "tradesm", str([*range(1, _MF + 1)]))
 
 
 class Study:

@@ -353,19 +353,19 @@ cte("pos", "universe", f"""SELECT *, shares * current_price AS value, greatest(c
   count(*) FILTER (status = 'OPEN' AND NOT has_stop) AS missing_stops, {q('avg(r_multiple)', 3)} AS expectancy, {q("sum(CASE WHEN status = 'OPEN' THEN open_risk END) / (2 * sum(CASE WHEN status = 'OPEN' THEN value END)) * 100", 2)} AS open_risk_pct
   FROM pos GROUP BY account)""")
 def _state(m):
-    d = A.portfolio_state(A.with_position_figures(m.positions), ["account"], F.col("market_value") * 2)
+    d = A.portfolio_state(A.with_position_figures(m.holdings), ["account"], F.col("market_value") * 2)
     return d.select("account", "open_positions", "missing_stops", "risk_level", *[report(c, n).alias(c) for c, n in (("market_value", 2), ("open_risk", 2), ("expectancy", 3), ("open_risk_pct", 2))])
 
 
 @query("concentration", "pos", f"SELECT account, symbol, {q('value', 2)} AS value, {q('value / sum(value) OVER (PARTITION BY account) * 100', 1)} AS weight_pct FROM (SELECT account, symbol, sum(value) AS value FROM pos WHERE status = 'OPEN' GROUP BY account, symbol)")
 def _conc(m):
-    d = A.concentration(A.with_position_figures(m.positions), ["account"])
+    d = A.concentration(A.with_position_figures(m.holdings), ["account"])
     return d.select("account", "symbol", report("value", 2).alias("value"), report("weight_pct", 1).alias("weight_pct"))
 
 
 @query("r_multiples", "pos", "SELECT account, symbol, CASE WHEN r_multiple > 0 THEN 'WIN' ELSE 'LOSS' END AS result, count(*) AS trades, " + q("avg(r_multiple)", 3) + " AS avg_r FROM pos WHERE r_multiple IS NOT NULL GROUP BY ALL")
 def _rm(m):
-    d = A.with_position_figures(m.positions).filter("r_multiple is not null").withColumn("result", F.when(F.col("r_multiple") > 0, "WIN").otherwise("LOSS"))
+    d = A.with_position_figures(m.holdings).filter("r_multiple is not null").withColumn("result", F.when(F.col("r_multiple") > 0, "WIN").otherwise("LOSS"))
     return d.groupBy("account", "symbol", "result").agg(F.count(F.lit(1)).alias("trades"), report(F.avg("r_multiple"), 3).alias("avg_r"))
 
 

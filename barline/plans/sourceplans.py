@@ -234,10 +234,13 @@ def _events(m):
     return d.select("symbol", "market", "risk_score", report("current").alias("current"), report(F.col("bands.primary")[0]).alias("primary_low"), report(F.col("bands.secondary")[1]).alias("secondary_high"))
 
 
-@query("universe_fingerprint", "universe", "SELECT sector, count(*) AS symbols, sha256(CAST(min(symbol) AS VARCHAR) || '|' || CAST(max(symbol) AS VARCHAR) || '|' || CAST(count(*) AS VARCHAR)) AS fingerprint FROM universe GROUP BY sector")
+_PARTS = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {15 * i + 1}, 15)) AS BIGINT)) AS VARCHAR)" for i in range(4))
+_MEMBER = """sha256('{"market":"' || market || '","sleeve":"' || sleeve || '","symbol":' || CAST(symbol AS VARCHAR) || '}')"""
+
+
+@query("universe_fingerprint", "universe", f"SELECT sector, count(*) AS members, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_PARTS})) AS fingerprint FROM (SELECT sector, {_MEMBER} AS h FROM universe) GROUP BY sector")
 def _fp(m):
-    g = m.universe.groupBy("sector").agg(F.count(F.lit(1)).alias("symbols"), F.min("symbol").alias("a"), F.max("symbol").alias("b"))
-    return g.select("sector", "symbols", F.sha2(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"), F.col("symbols").cast("string")), 256).alias("fingerprint"))
+    return B.fingerprint(m.universe.select("sector", "symbol", "market", "sleeve"), "sector")
 
 
 _ = (B, P, S, half_even)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SEGMENT = 4096
 _TAIL = 40.0  # e**-40 is far below the resolution of a double
+_RANGE = 600.0  # e**600 is within the range of a double
 
 
 def memory_of(decay: float) -> int:
@@ -101,17 +102,25 @@ def wilder_sum(src: str, out: str, n: int, start: int = 0) -> Smooth:
     return Smooth(src, out, n, (n - 1) / n, 1.0, start, total=True)
 
 
-def smooth(df: DataFrame, *specs: Smooth, size: int = SEGMENT) -> DataFrame:
-    """Adds each smoothing as a column of a segmented frame.
+def _blocks(specs: tuple[Smooth, ...]) -> list[int]:
+    """Bars per block for each smoothing: at least its memory, and the same for all where weights stay in range."""
+    own = [max(memory_of(s.decay), s.n) for s in specs]
+    most = max(own)
+    return [most] * len(own) if max(-math.log(s.decay) for s in specs) * most < _RANGE else own
 
-    The recursion is a weighted running sum, y_t = sum of decay**(t-i) * u_i, so it runs as one
-    ordinary window aggregate in linear time. Weights are taken relative to the middle of the
-    segment, which keeps them within the range of a double.
+
+def smooth(df: DataFrame, *specs: Smooth) -> DataFrame:
+    """Adds each smoothing as a column of a segmented frame, which must hold its memory as context.
+
+    The recursion is a weighted sum, y_t = sum of decay**(t-i) * u_i, so it runs as ordinary window aggregates in linear
+    time. Weights are taken relative to the start of a block of bars as long as the memory: y is the sum inside the own
+    block and the decayed sum of the block before; what is older is below the resolution of a double. So weights stay in
+    range however long the history is.
     """
-    pos = (F.col("bar_idx") - (F.col("seg") * size + size // 2)).cast("double")
-    run = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    seeds, terms, outs = {}, {}, {}
-    for s in specs:
+    seeds, terms, outs, blocks = {}, {}, {}, {}
+    for s, size in zip(specs, _blocks(specs)):
+        blk, q = f"_blk_{size}", F.col("bar_idx") % size
+        blocks[blk] = F.floor(F.col("bar_idx") / size).cast("int")
         agg = F.sum if s.total else F.avg
         seeds[f"_seed_{s.out}"] = agg(s.src).over(last(s.n))
         u = (
@@ -119,8 +128,11 @@ def smooth(df: DataFrame, *specs: Smooth, size: int = SEGMENT) -> DataFrame:
             .when(F.col("bar_idx") == s.first, F.col(f"_seed_{s.out}"))
             .otherwise(0.0)
         )
-        terms[f"_term_{s.out}"] = u * F.pow(F.lit(s.decay), -pos)
-        outs[s.out] = F.when(
-            F.col("bar_idx") >= s.first, F.sum(f"_term_{s.out}").over(run) * F.pow(F.lit(s.decay), pos)
-        )
-    return df.withColumns(seeds).withColumns(terms).withColumns(outs).drop(*seeds, *terms)
+        decay = F.lit(s.decay)
+        terms[f"_in_{s.out}"] = u * F.pow(decay, -q)
+        terms[f"_end_{s.out}"] = u * F.pow(decay, F.lit(size - 1) - q)
+        inside = Window.partitionBy("symbol", "seg", blk).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy("symbol", "seg").orderBy(blk).rangeBetween(-1, -1)
+        y = F.sum(f"_in_{s.out}").over(inside) * F.pow(decay, q) + F.coalesce(F.sum(f"_end_{s.out}").over(before), F.lit(0.0)) * F.pow(decay, q + 1)
+        outs[s.out] = F.when(F.col("bar_idx") >= s.first, y)
+    return df.withColumns(seeds | blocks).withColumns(terms).withColumns(outs).drop(*seeds, *terms, *blocks)

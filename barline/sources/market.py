@@ -154,11 +154,11 @@ class Market:
         return d.withColumn("direction", up)
 
     @cached_property
-    def positions(self) -> DataFrame:
-        """Trades read as positions: one per line item, seven accounts."""
+    def holdings(self) -> DataFrame:
+        """Trades read as positions: one per line item, seven accounts. No join."""
         entry = F.col("l_extendedprice") / F.col("l_quantity")
         closed = F.col("l_returnflag") == "R"
-        li = self.table("lineitem").select(
+        return self.table("lineitem").select(
             F.col("l_linenumber").alias("account"), F.col("l_suppkey").alias("symbol"), "l_orderkey", "l_partkey",
             F.col("l_shipdate").cast("date").alias("entry_date"), entry.alias("entry_price"),
             F.when(F.col("l_tax") == 0, 0.0).otherwise(entry * (0.98 - F.col("l_tax"))).alias("stop_price"),
@@ -166,8 +166,11 @@ class Market:
             F.when(closed, "CLOSED").otherwise("OPEN").alias("status"),
             F.when(closed, entry * (0.90 + 2 * F.col("l_discount"))).otherwise(0.0).alias("close_price"),
         )
-        u = self.universe.select("symbol", "sector", "cluster", "market", "sleeve")
-        return li.join(u, "symbol")
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        """Holdings with the groups of their symbols."""
+        return self.holdings.join(self.universe.select("symbol", "sector", "cluster", "market", "sleeve"), "symbol")
 
     @cached_property
     def quotes(self) -> DataFrame:

@@ -10,8 +10,12 @@ def test_trades_of_a_setting_do_not_overlap_and_are_maximal(spark, market):
     o = B.outcomes(setups(market), B.fold_table(spark, B.TRAIN_BARS, B.TEST_BARS), market.universe.select("symbol", "market"))
     grid = B.strategy_grid(spark)
     assert grid.count() == 864
-    prints = {B.fingerprint(g, "cfg").first().fingerprint for g in (grid, grid.repartition(3), B.strategy_grid(spark))}
+    prints = {B.fingerprint(g).first().fingerprint for g in (grid, grid.repartition(3), B.strategy_grid(spark))}
     assert len(prints) == 1 and len(prints.pop()) == 64
+    members = market.universe.select("sector", "symbol", "market")
+    changed = members.withColumn("market", F.when(F.col("symbol") == members.agg(F.max("symbol")).first()[0], "other").otherwise(F.col("market")))
+    whole = [B.fingerprint(d).first().fingerprint for d in (members, members.repartition(5), changed, members.unionByName(members.limit(1)))]
+    assert whole[0] == whole[1] and len(set(whole)) == 3
     kept = B.apply_settings(o, grid).select("symbol", "cfg", "split", "confirmed", "exit_idx").toPandas()
     allc = o.toPandas()
     g = {r.cfg: r for r in grid.collect()}

@@ -39,7 +39,7 @@ def plain_smooth(x, n, decay, gain):
 def test_smoothing_equals_the_recursion(spark, size):
     p = path(1500)
     d = segmented(bars_of(spark, p), memory_of(20 / 21) + 20, size=size)
-    got = column(own_rows(smooth(d, ema("close", "e", 12), wilder("close", "w", 21), size=size)), "e")
+    got = column(own_rows(smooth(d, ema("close", "e", 12), wilder("close", "w", 21))), "e")
     want = plain_smooth(p[3], 12, 1 - 2 / 13, 2 / 13)
     assert got[:11] == [None] * 11
     assert np.allclose(got[11:], want[11:], rtol=1e-12)
@@ -84,3 +84,19 @@ def test_fractals_are_strict_and_late(spark):
     h = np.array([1, 2, 5, 2, 1, 3, 3, 1, 1.0])
     d = own_rows(segmented(bars_of(spark, (h, h, h, h, h)), 2, 2).withColumn("u", ind.fractal("upper")))
     assert [i for i, u in enumerate(column(d, "u")) if u] == [2]
+
+
+@pytest.mark.parametrize("size", [256, 4096, 1 << 20])
+def test_chained_smoothing_of_long_histories(spark, size):
+    p = path(20_000)
+    b = bars_of(spark, p)
+    d = own_rows(ind.with_smma(ind.with_macd(ind.with_adx(ind.with_tr(segmented(b, 8000, size=size)))), 200))
+    close = p[3]
+    e12, e26 = plain_smooth(close, 12, 1 - 2 / 13, 2 / 13), plain_smooth(close, 26, 1 - 2 / 27, 2 / 27)
+    macd = [x - y for x, y in zip(e12[25:], e26[25:])]
+    signal = plain_smooth(macd, 9, 0.8, 0.2)
+    rows = d.select("bar_idx", "macd", "macd_signal", "smma200", "adx").orderBy("bar_idx").collect()
+    assert np.allclose([r.macd for r in rows[25:]], macd, rtol=1e-9, atol=1e-9)
+    assert np.allclose([r.macd_signal for r in rows[33:]], signal[8:], rtol=1e-9, atol=1e-9)
+    assert np.allclose([r.smma200 for r in rows[199:]], plain_smooth(close, 200, 199 / 200, 1 / 200)[199:], rtol=1e-9)
+    assert all(r.adx is not None and 0 <= r.adx <= 100 for r in rows[27:])
