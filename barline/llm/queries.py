@@ -65,7 +65,23 @@ def op4(spark, path):
     return out.select("doc_id", "path", "own_licence", F.round("own_score", 6).alias("own_score"), "licence_file", "licence", "licence_from")
 
 
-@query("op5_line_frequency")
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+@query(
+    "op5_line_frequency",
+    f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+m AS (SELECT *, regexp_extract_all(t, '{_WORD}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+w AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(ws, i, i + 4), ' ')) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM m WHERE len(ws) >= 5)),
+c AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM w WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, host, t, lower(array_to_string(regexp_extract_all(x, '{_WORD}+'), ' ')) AS line, len(regexp_extract_all(x, '{_WORD}+')) AS k FROM (SELECT doc_id, host, t, unnest(ls) AS x FROM m)),
+f AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM l GROUP BY host, line) JOIN (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host) USING (host) WHERE n >= 20 AND n > 0.1 * texts),
+g AS (SELECT doc_id, sum(k) AS k FROM l JOIN f USING (host, line) GROUP BY doc_id),
+b AS (SELECT m.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(g.k, 0) AS BIGINT) AS removed_words FROM m LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (removed_words > 0.6 * n_words OR (removed_words > 0 AND n_words - removed_words < 10)) AS kept FROM b""",
+)
 def op5(spark, path):
     out = quality.quality(_documents(spark, path))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -76,7 +92,18 @@ def op6(spark, path):
     return simhash.near_duplicates(_documents(spark, path))
 
 
-@query("op7_interval_tree")
+@query(
+    "op7_interval_tree",
+    """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM d)),
+c AS (SELECT doc_id, p FROM w JOIN (SELECT s, min(doc_id) AS least FROM w GROUP BY s) USING (s) WHERE doc_id > least),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS n FROM c),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g) GROUP BY doc_id, k),
+x AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS q FROM r),
+k AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS e, string_agg(substr(h, 2 * q + 1, 2 * (a - q)), '' ORDER BY a) AS kept FROM x JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * e + 1), h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+)
 def op7(spark, path):
     out = substrings.remove_repeats(_documents(spark, path).select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
