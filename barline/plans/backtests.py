@@ -194,6 +194,7 @@ def study(m, name="base", **kw):
     from barline.session import stored
 
     s = Study(m, **kw)
+    name = "_".join([name, *(f"{k}{v}" for k, v in sorted(kw.items()))]).lower()
     s.outcomes = stored(s.outcomes, f"outcomes_{name}", m.path, ["symbol"], ["symbol", "confirmed"])
     s.trades = stored(B.apply_settings(s.outcomes, s.grid), f"trades_{name}", m.path, ["symbol"], ["symbol", "cfg"])
     scopes = s.markets.select("market").distinct().crossJoin(s.folds.select("fold"))

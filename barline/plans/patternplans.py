@@ -1,5 +1,7 @@
 """Pivots and chart patterns."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from barline.functions.numeric import report
@@ -13,7 +15,8 @@ O = P.Options()
 
 
 def keeper(m, o=O):
-    return lambda df, name: stored(df, f"pattern_{name}_{o.timeframe}_{o.tolerance_mode}".lower(), m.path, ["symbol"], ["symbol"])
+    tag = hashlib.sha256(repr(o).encode()).hexdigest()[:10]  # all options
+    return lambda df, name: stored(df, f"pattern_{name}_{tag}".lower(), m.path, ["symbol"], ["symbol"])
 
 
 cte("pbar", "tr", f"SELECT *, avg(coalesce(tr, high - low)) {over(14)} AS atr, volume / avg(CASE WHEN volume > 0 THEN volume END) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vr, max(high) OVER c AS mh, min(low) OVER c AS ml FROM tr WINDOW c AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)")

@@ -34,7 +34,7 @@ def work_dir(spark: SparkSession) -> str | None:
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a
     temporary folder is used in local mode only; on a cluster there is then none, and
-    callers keep the lineage instead.
+    writing a table fails with a message.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -60,7 +60,7 @@ def stored(df: DataFrame, name: str, source: str, keys: list[str], sort: list[st
     spark = df.sparkSession
     base = work_dir(spark)
     if base is None:
-        return df
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     tag = hashlib.sha256(f"{spark.sparkContext.applicationId}|{source}".encode()).hexdigest()[:12]
     table = f"barline_{name}_{tag}"
     if not spark.catalog.tableExists(table):

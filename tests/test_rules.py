@@ -135,3 +135,14 @@ def test_journal_and_report_round_trip(spark, tmp_path):
     assert [r.symbol for r in R.read_bars(spark, str(tmp_path / "b")).collect()] == ["A"]
     with pytest.raises(ValueError):
         R.bucket_start(F.lit(1), "2H")
+
+
+def test_stored_patterns_tell_options_apart(spark):
+    from types import SimpleNamespace
+
+    from barline.operators.patterns import Options
+    from barline.plans.patternplans import keeper
+
+    m = SimpleNamespace(path="/options")
+    rows = [keeper(m, Options(fixed_tolerance=t))(spark.createDataFrame([(1, t)], "symbol long, t double"), "frame").collect() for t in (0.01, 0.02)]
+    assert [r[0].t for r in rows] == [0.01, 0.02]
