@@ -29,7 +29,7 @@ PURE = 0.8
 STEMS = (4, 5, 6)
 ROUNDS = 30
 #: Weight of posteriors against labels, which may be wrong, in the rates of the voters.
-TRUST = 0.1
+TRUST = 0.03
 _WORD = regex.compile(r"\p{L}+")
 
 
