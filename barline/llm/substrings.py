@@ -145,7 +145,8 @@ def _messages(buckets: int, hot: np.ndarray):
         size = 0
 
         def flush():
-            text, place, count, offset, h, keys, flat, sizes = (np.concatenate(c) for c in zip(*held))
+            text, place, count, offset, h, keys, flat, sizes = [np.concatenate(c) for c in zip(*held)]
+            held.clear()  # the parts are not needed beside the whole
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort([h, bucket])
             starts = np.cumsum(sizes) - sizes
@@ -174,7 +175,7 @@ def _messages(buckets: int, hot: np.ndarray):
                 size += len(part)
             if size >= MESSAGE:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield flush()
 
