@@ -11,7 +11,7 @@ from barline.plans.registry import cte, he, q, query
 from barline.series import own_rows, segmented
 from barline.sources import readers as R
 
-_BUCKET = {"15M": "to_timestamp(floor(epoch(quote_ts) / 900) * 900)::TIMESTAMP", "1H": "date_trunc('hour', quote_ts)", "1D": "date_trunc('day', quote_ts)", "1W": "date_trunc('week', quote_ts)"}
+_BUCKET = {"5M": "to_timestamp(floor(epoch(quote_ts) / 300) * 300)::TIMESTAMP", "30M": "to_timestamp(floor(epoch(quote_ts) / 1800) * 1800)::TIMESTAMP", "15M": "to_timestamp(floor(epoch(quote_ts) / 900) * 900)::TIMESTAMP", "1H": "date_trunc('hour', quote_ts)", "1D": "date_trunc('day', quote_ts)", "1W": "date_trunc('week', quote_ts)"}
 for _f, _b in _BUCKET.items():
     def _tick(m, f=_f):
         d = R.build_bars(m.quotes, f)
