@@ -65,23 +65,23 @@ def licence_lines(files: DataFrame, text: str = "text", path: str = "path") -> D
     The weight of a word is its count times ln((1 + texts) / (1 + texts with it)) + 1; a word of no template has the
     greatest weight. The best template is taken, of equal ones the first by name.
     """
+    from math import log, sqrt
+
     vocabulary = _vocabulary()
-    lines = files.select(path, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("__lines"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    known = F.array(*[F.lit(v) for v in vocabulary])
+    t = F.coalesce(F.col(text), F.lit(""))
     n = files.count()
-    per = files.select(F.explode(F.array_intersect(_line_terms(F.coalesce(F.col(text), F.lit(""))), known)).alias("w")).groupBy("w").count()
+    per = files.select(F.explode(F.array_intersect(_line_terms(t), F.array(*[F.lit(v) for v in vocabulary]))).alias("w")).groupBy("w").count()
     df = {r["w"]: r["count"] for r in per.collect()}  # at most the words of the templates
-    from math import log, sqrt
-
     idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     other = log(1 + n) + 1
-    # two words of a template besides those in half of all texts
-    telling = [w for w in vocabulary if 2 * df.get(w, 0) < n]
-    words = lines.select(path, F.size(_line_terms(F.col("__t"))).alias("n_words"), F.explode("__lines").alias("line"))
-    words = words.where(F.lower("line").rlike(r"\b(" + "|".join(telling or ["$a"]) + r")\b")).withColumn("w", _line_terms(F.col("line")))
-    words = words.withColumn("hits", F.array_intersect("w", F.array(*[F.lit(w) for w in telling]))).where(F.size("hits") > 1)
-    words = words.withColumn("tf", F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("t"), F.size(F.filter("w", lambda x: x == t)).alias("n"))))
+    rare, needed = telling_words(idf)
+    pattern = r"\b(" + "|".join(rare) + r")\b"
+    # only texts with such lines go on
+    some = files.select(path, t.alias("__t"), F.filter(F.split(t, "\n"), lambda x: F.lower(x).rlike(pattern)).alias("__lines")).where(F.size("__lines") > 0)
+    words = some.select(path, F.size(_line_terms(F.col("__t"))).alias("n_words"), F.explode("__lines").alias("line")).withColumn("w", _line_terms(F.col("line")))
+    words = words.where(F.size(F.array_intersect("w", F.array(*[F.lit(w) for w in rare]))) >= needed)
     weight = _number(idf)
+    words = words.withColumn("tf", F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("t"), F.size(F.filter("w", lambda x: x == t)).alias("n"))))
     words = words.withColumn("v", F.transform("tf", lambda x: F.struct(x["t"].alias("t"), (x["n"] * F.coalesce(F.element_at(weight, x["t"]), F.lit(other))).alias("x"))))
     words = words.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["x"] * x["x"])))
 
@@ -102,6 +102,28 @@ def licence_lines(files: DataFrame, text: str = "text", path: str = "path") -> D
     return words.where(F.col("__best.score") >= ALIKE).select(path, "n_words", F.size("w").alias("words"), "__best")
 
 
+def telling_words(idf: dict[str, float]) -> tuple[list[str], int]:
+    """Words, and how many different ones a line must have to reach a cosine of ALIKE with any template.
+
+    A line's cosine is at most the length of the template's unit vector over the words that they share. Words are taken
+    by falling weight until the others alone stay below ALIKE in every template; two are needed if the others and any
+    one more stay below it too.
+    """
+    units = []
+    for texts in TEMPLATES.values():
+        for t in texts:
+            v = {w: (_terms(t).count(w) * idf[w]) ** 2 for w in set(_terms(t))}
+            units.append({w: x / sum(v.values()) for w, x in v.items()})
+    rare: set[str] = set()
+    limit = ALIKE**2 - 1e-6
+    for w in sorted(idf, key=lambda w: (-idf[w], w)):
+        if all(sum(x for k, x in u.items() if k not in rare) < limit for u in units):
+            break
+        rare.add(w)
+    two = all(sum(x for k, x in u.items() if k not in rare) + max((x for k, x in u.items() if k in rare), default=0) < limit for u in units)
+    return sorted(rare), 2 if two else 1
+
+
 def ancestors(path: Column) -> Column:
     """The directories above a path, the nearest first; the root is the empty string."""
     parts = F.split(path, "/")
