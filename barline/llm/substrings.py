@@ -34,7 +34,7 @@ LEAST_BUCKET, MOST_BUCKET = 2 << 20, 64 << 20
 #: The same for the buckets in which texts meet their spans.
 TEXT_BUCKET = 12 << 20
 #: An anchor in more texts than this is not gathered: its windows are joined one by one.
-HOT = 100_000
+HOT = 300_000
 #: Contexts whose suffixes are sorted at once; those of one anchor stay together.
 SORTED = 8000
 #: Texts that are looked at for such anchors.
