@@ -28,7 +28,7 @@ _PIECES = WINDOW - PIECE + 1
 #: A window has its anchor and this many more bytes on one side at least.
 _SIDE = (WINDOW - PIECE) // 2
 #: Bytes of text that a task indexes at once, and that one message to each bucket is made from.
-CHUNK, MESSAGE = 1 << 20, 16 << 20
+CHUNK, MESSAGE = 1 << 20, 8 << 20
 #: Bytes of text for each bucket: few in small inputs, more in large ones.
 LEAST_BUCKET, MOST_BUCKET = 2 << 20, 64 << 20
 #: The same for the buckets in which texts meet their spans.
