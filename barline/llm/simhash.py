@@ -30,16 +30,23 @@ PAIRWISE = 32
 PROBE_COST = 4
 
 
-def fingerprint(text: bytes) -> int:
-    """Bit by bit the majority of the hashes of the shingles; 0 without words."""
+def shingle_hashes(text: bytes, width: int = WORDS) -> np.ndarray:
+    """The hashes of the shingles of ``width`` words, one of all words if there are fewer; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
-    if len(words) < WORDS:
+        return np.zeros(0, np.uint64)
+    if len(words) < width:
         shingles = [b" ".join(words)]
     else:
-        shingles = list(map(b" ".join, zip(*(words[i:] for i in range(WORDS)))))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
+        shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
+
+
+def fingerprint(text: bytes) -> int:
+    """Bit by bit the majority of the hashes of the shingles; 0 without words."""
+    h = shingle_hashes(text)
+    if not len(h):
+        return 0
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > len(h), bitorder="little").tobytes(), "little", signed=True)
 
@@ -195,9 +202,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return prints.join(named, "fp").select(F.col("__key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest key. Rows with a null key can't be told apart and all stay."""
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", near=near_duplicates) -> DataFrame:
+    """``docs`` with one row of each component of ``near``: that of the smallest key. Rows with a null key can't be told apart and all stay."""
     named = docs.where(F.col(key).isNotNull())
-    first = near_duplicates(named, text, key).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__first")).distinct()
+    first = near(named, text, key).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__first")).distinct()
     kept = named.join(first, F.col(key) == F.col("__first"), "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))

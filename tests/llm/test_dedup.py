@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barline.llm import components, enhanced, quality, sharding, simhash, substrings
+from barline.llm import components, enhanced, quality, sharding, shingles, simhash, substrings
 from cases import empty, odd
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -218,3 +218,38 @@ def test_native_plans(spark, name):
 
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search(r"Python|Pandas|ArrowEval|MapInArrow", plan)
+
+
+def brute_alike(rows):
+    sets = {}
+    for k, t in rows:
+        w = [x.encode() for x in WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))]
+        sets[k] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    alike = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return union(sorted(sets), alike), alike
+
+
+@pytest.mark.parametrize("ranked", [shingles.RANKED, 0])
+def test_stage_near_dedup_links_five_word_shingles(spark, monkeypatch, ranked):
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingles, "RANKED", ranked)
+    r = random.Random(11)
+    base = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(120)) for _ in range(3)]
+    rows = [(None, b) for b in base]
+    for b in base:
+        for edits in [1] * 8 + [2] * 8 + [3] * 4 + [6] * 4:
+            w = b.split()
+            for _ in range(edits):
+                w[r.randrange(len(w))] = f"new{r.randint(0, 10**9)}"
+            rows.append((None, " ".join(w)))
+    rows += [(None, t) for t in (None, "", "one", "One", "one two three four five six", base[0], base[1][:300])]
+    r.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    top, alike = brute_alike(rows)
+    prints = dict((k, brute_print(t)) for k, t in rows)
+    assert any((prints[a] ^ prints[b]).bit_count() > 2 for a, b in alike)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    got = {x.doc_id: x.component_id for x in shingles.near_duplicates(docs).collect()}
+    assert got == top
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(top.values())
