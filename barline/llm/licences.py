@@ -1,6 +1,6 @@
 """Licence scans: headers and licence files against templates by TF-IDF, then inheritance along directories.
 
-A line of a text that shares words with a template is a header; a text that is nothing but licence lines is a licence
+A line, or a span of one, that shares words with a template is a header; a text that is nothing but licence lines is a licence
 file of its directory. Both are compared with the templates by the cosine of sparse TF-IDF vectors, with document
 frequencies over all texts. A file without a licence of its own takes that of the nearest ancestor directory with a
 licence file. All column expressions and joins.
@@ -59,9 +59,11 @@ def _number(values: dict[str, float]) -> Column:
 
 
 def licence_lines(files: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
-    """(path, n_words, words, best): each line with a cosine of ALIKE or more, the words of the text and of the line, and
+    """(path, n_words, words, best): each line with a cosine of ALIKE or more, the words of the text and of the notice, and
     the best template as (score, first, licence).
 
+    A template is compared with the whole line and with each span of as many words as it has itself, so that words before
+    and after a notice don't count against it; then the notice is the span, and not the line.
     The weight of a word is its count times ln((1 + texts) / (1 + texts with it)) + 1; a word of no template has the
     greatest weight. The best template is taken, of equal ones the first by name.
     """
@@ -85,6 +87,21 @@ def licence_lines(files: DataFrame, text: str = "text", path: str = "path") -> D
     words = words.withColumn("v", F.transform("tf", lambda x: F.struct(x["t"].alias("t"), (x["n"] * F.coalesce(F.element_at(weight, x["t"]), F.lit(other))).alias("x"))))
     words = words.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["x"] * x["x"])))
 
+    words = words.withColumn("z", F.transform("w", lambda t: F.struct(t.alias("t"), F.coalesce(F.element_at(weight, t), F.lit(other)).alias("x"))))
+
+    def span(own: Column, size: int) -> Column:
+        """The best cosine of ``size`` successive words of a longer line; 0 where it is below ALIKE."""
+
+        def at(start: Column) -> Column:
+            some = F.slice("z", start, size)
+            dot = F.aggregate(some, F.lit(0.0), lambda s, e: s + e["x"] * F.coalesce(F.element_at(own, e["t"]), F.lit(0.0)))
+            least = F.aggregate(some, F.lit(0.0), lambda s, e: s + e["x"] * e["x"])  # the norm but for repeated words, which only add
+            norm = F.sqrt(F.aggregate(some, F.lit(0.0), lambda s, e: s + e["x"] * e["x"] * F.size(F.filter(some, lambda y: y["t"] == e["t"]))))
+            return F.when(dot * dot >= (ALIKE**2 - 1e-6) * least, F.round(dot / norm, 9)).otherwise(0.0)
+
+        starts = F.sequence(F.lit(1), F.size("z") - size + 1)
+        return F.when(F.size("z") > size, F.array_max(F.transform(starts, at))).otherwise(0.0)
+
     def cosine(own: Column) -> Column:
         dot = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["x"] * F.coalesce(F.element_at(own, x["t"]), F.lit(0.0)))
         return F.round(dot / F.col("norm"), 9)
@@ -97,9 +114,15 @@ def licence_lines(files: DataFrame, text: str = "text", path: str = "path") -> D
                 counts[w] = counts.get(w, 0) + 1
             length = sqrt(sum((c * idf[w]) ** 2 for w, c in counts.items()))
             own = _number({w: c * idf[w] / length for w, c in counts.items()})
-            scores.append(F.struct(cosine(own).alias("score"), F.lit(-place).alias("first"), F.lit(name).alias("licence")))
-    words = words.withColumn("__best", F.array_max(F.array(*scores)))
-    return words.where(F.col("__best.score") >= ALIKE).select(path, "n_words", F.size("w").alias("words"), "__best")
+            size = len(_terms(t))
+            for score, whole in ((cosine(own), True), (span(own, size), False)):
+                n_own = F.size("w") if whole else F.lit(size)
+                scores.append(F.struct(score.alias("score"), F.lit(-place).alias("first"), F.lit(name).alias("licence"), n_own.alias("words"), F.lit(whole).alias("whole")))
+    words = words.withColumn("__all", F.filter(F.array(*scores), lambda x: x["score"] >= ALIKE)).where(F.size("__all") > 0)
+    whole = F.exists("__all", lambda x: x["whole"])
+    best = F.array_max(F.transform("__all", lambda x: F.struct(x["score"].alias("score"), x["first"].alias("first"), x["licence"].alias("licence"))))
+    length = F.when(whole, F.size("w")).otherwise(F.array_max(F.transform("__all", lambda x: x["words"])))
+    return words.select(path, "n_words", length.alias("words"), best.alias("__best"))
 
 
 def telling_words(idf: dict[str, float]) -> tuple[list[str], int]:

@@ -205,6 +205,18 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_licence_notices_inside_longer_lines(spark):
+    notices = {
+        "This project is licensed under the MIT License.": "MIT", "Released under the MIT License by Acme Corp.": "MIT",
+        "Copyright 2020 Acme. Licensed under the Apache License, Version 2.0": "Apache-2.0",
+        "All of the words before it, then: licensed under CC BY-NC 4.0, and all the words after it": "CC-BY-NC-4.0", "The licence of the MIT house and its version": None,
+    }
+    rows = [(f"{i}/x", t) for i, t in enumerate(notices)] + [(f"f/{i}", "some words of a plain text in the house") for i in range(300)]
+    got = {r.text: r for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {t: got[t].own_licence for t in notices} == notices
+    assert not got[list(notices)[3]].licence_file
+
+
 def test_distances_are_edit_distances():
     r = random.Random(6)
     for _ in range(200):
