@@ -77,7 +77,7 @@ def licence_lines(files: DataFrame, text: str = "text", path: str = "path") -> D
     idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     other = log(1 + n) + 1
     rare, needed = telling_words(idf)
-    pattern = r"\b(" + "|".join(rare) + r")\b"
+    pattern = "(^|[^a-z0-9])(" + "|".join(rare) + ")([^a-z0-9]|$)"  # words end where terms do
     # only texts with such lines go on
     some = files.select(path, t.alias("__t"), F.filter(F.split(t, "\n"), lambda x: F.lower(x).rlike(pattern)).alias("__lines")).where(F.size("__lines") > 0)
     words = some.select(path, F.size(_line_terms(F.col("__t"))).alias("n_words"), F.explode("__lines").alias("line")).withColumn("w", _line_terms(F.col("line")))

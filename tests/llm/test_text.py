@@ -217,6 +217,13 @@ def test_licence_notices_inside_longer_lines(spark):
     assert not got[list(notices)[3]].licence_file
 
 
+def test_licence_words_beside_underscores_and_accents(spark):
+    rows = [("a/x", "_Released_ _under_ _the_ _MIT_ _License_"), ("b/x", "éLicensedé_under_the_Apache_License_Version_2_0")]
+    rows += [(f"f/{i}", "some words of a plain text in the house") for i in range(50)]
+    got = {r.path: r.own_licence for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert (got["a/x"], got["b/x"]) == ("MIT", "Apache-2.0")
+
+
 def test_distances_are_edit_distances():
     r = random.Random(6)
     for _ in range(200):
