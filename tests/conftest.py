@@ -7,8 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from barline.session import local_session  # noqa: E402
 from barline.sources.market import Market  # noqa: E402
-
-SF = "/root/testdata/sf0.001"
+from tables import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from tools.check import TABLES, canon
 
-from conftest import SF
+from tables import SF
 
 SAMPLE = ["bars", "adx", "macd", "candles_two_bar", "snapshots", "candidate_scan", "sector_flow", "return_distribution", "event_distance", "zone_summary", "cross_validate", "news_sentiment", "position_ledger", "confirmed_pivots", "market_sessions"]
 

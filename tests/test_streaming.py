@@ -7,7 +7,7 @@ from pyspark.sql import Row, functions as F
 
 from barline.streaming import live as L
 
-from conftest import SF
+from tables import SF
 
 
 @pytest.fixture(scope="module")
