@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import bpe, decontaminate, infill, langid, licences, quality, sharding, simhash, store, substrings, tokenfile, toxicity
+from barline.llm import bpe, decontaminate, infill, langid, licences, ppm, quality, sharding, simhash, store, substrings, tokenfile, toxicity
 
 #: The tokenizer file of the encoding queries.
 TOKENIZER = "word_bpe_49k.json"
@@ -128,6 +128,12 @@ def op10(spark, path):
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query("op12_ppm_scores")
+def op12(spark, path):
+    out = ppm.score(_documents(spark, path), _remainder(10) != 0)
+    return out.select("doc_id", (_remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query(
     "op13_secondary_sort_infill",
     r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
