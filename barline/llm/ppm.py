@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -22,13 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as w
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from barline.llm.store import saved, slices, utf8
 
 #: Bytes of context. A context and the byte after it are one number.
 ORDER = 5
 #: Bytes of text of a chunk, and places whose contexts are sorted at once.
-CHUNK, STEP = 32 << 20, 1 << 20
+CHUNK, STEP = 16 << 20, 1 << 20
+#: Bytes of text for each bucket of words and contexts: few in small inputs, more in large ones.
+LEAST_BUCKET, MOST_BUCKET = 32 << 20, 2 << 30
 #: Added to every count of the unigram base.
 ADDED = 0.1
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -80,56 +84,150 @@ def _merged(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple
     return both, total
 
 
-def chunks(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One written row for each chunk of texts: (chunk, keys, trained, data, words, word_n, grams, gram_n).
+def pack(values: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, compressed byte place by byte place."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
 
-    The first ``trained`` of the texts are those for training; the counts of the different words and contexts are theirs.
+
+def unpack(data: bytes, kind=np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(kind)
+
+
+def _pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=0))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data))
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return raw.split(b"\n") if raw else []  # a word has a byte at least
+
+
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Contexts that begin alike lie together."""
+    return ((grams >> 24).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+#: What tasks say to one another: kind 0 are words and contexts, with counts or costs, 1 is a chunk of texts.
+_MESSAGE = "chunk bigint, bucket int, kind int, words binary, word_n binary, grams binary, gram_n binary"
+
+
+def chunks(docs: DataFrame, training: Column, buckets: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Chunks of texts and, for each bucket, the different words and contexts of a chunk with their counts in training texts.
+
+    A written table: of kind 1 (chunk, keys, trained, data), where the first ``trained`` texts are for training; of kind 0
+    (chunk, bucket, words, word_n, grams, gram_n).
     """
-    schema = T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)),
-        *T._parse_datatype_string("trained int, data binary, words array<string>, word_n array<bigint>, grams array<bigint>, gram_n array<bigint>").fields,
-    ])
+    schema = T.StructType([*T._parse_datatype_string(_MESSAGE).fields, T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), *T._parse_datatype_string("trained int, data binary").fields])
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         task, number = TaskContext.get().partitionId() << 33, 0
         own, other, size = [], [], 0
 
+        def rows(columns: dict, n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in arrow], schema=arrow)
+
         def chunk():
             train, rest = [t for _, t in own], [t for _, t in other]
-            words = Counter(b" ".join(train).split())
-            words.update(dict.fromkeys(b" ".join(rest).split(), 0))
-            grams, n = _merged(*_counted(train), (v := _counted(rest)[0]), np.zeros(len(v), np.int64))
             data = zstandard.ZstdCompressor(level=3).compress(b"".join(t + b"\n" for t in train + rest))
-            columns = [[task + number], [[k for k, _ in own + other]], [len(own)], [data]]
-            arrays = [pa.array(c, f) for c, f in zip(columns, (pa.int64(), pa.list_(kind), pa.int32(), pa.binary()))]
-            lists = (pa.array([*words], pa.binary()).cast(pa.string()), pa.array([*words.values()], pa.int64()), pa.array(grams), pa.array(n))
-            arrays += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-            return pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+            yield rows({"chunk": [task + number], "kind": [1], "keys": [[k for k, _ in own + other]], "trained": [len(own)], "data": [data]}, 1)
+            counts: Counter = Counter()
+            for some, add in ((train, 1), (rest, 0)):
+                for i in range(0, len(some), 500):
+                    for x, n in Counter(b" ".join(some[i : i + 500]).split()).items():
+                        counts[x] += n * add
+            deal: list[list[bytes]] = [[] for _ in range(buckets)]
+            for x in counts:
+                deal[zlib.crc32(x) % buckets].append(x)
+            grams, n = _merged(*_counted(train), (v := _counted(rest)[0]), np.zeros(len(v), np.int64))
+            where = _bucket(grams, buckets)
+            order = np.argsort(where, kind="stable")
+            cut = np.searchsorted(where[order], np.arange(buckets + 1))
+            for k, (a, b) in enumerate(zip(cut, cut[1:])):
+                if b > a or deal[k]:
+                    i = order[a:b]
+                    words = np.fromiter(map(counts.__getitem__, deal[k]), np.int64, len(deal[k]))
+                    yield rows({"chunk": [task + number], "bucket": [k], "kind": [0], "words": [pack_words(deal[k])], "word_n": [pack(words)], "grams": [_pack_sorted(grams[i])], "gram_n": [pack(n[i])]}, 1)
 
         for b in slices(batches):
-            kind = b.schema.field(0).type
             for k, t, mine in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
                 t = normalised(t)
                 (own if mine else other).append((k, t))
                 size += len(t) + 1
                 if size >= CHUNK:
-                    yield chunk()
+                    yield from chunk()
                     own, other, size, number = [], [], 0, number + 1
         if size:
-            yield chunk()
+            yield from chunk()
 
     return saved(docs.select(key, text, F.coalesce(training, F.lit(False)).alias("training")).mapInArrow(run, schema), "chunks")
 
 
-def trie(found: DataFrame) -> DataFrame:
-    """(gram, cost): the natural code length of the last byte of every context in the ``chunks``, by the training counts.
+def groups(batches, column: int):
+    """The rows of each value of a column, as lists of batches; equal values stand together."""
+    held, last = [], None
+    for b in batches:
+        v = b.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(v)) + 1).tolist(), len(v)] if len(v) else []
+        for s, e in zip(cuts, cuts[1:]):
+            if held and v[s] != last:
+                yield held
+                held = []
+            last = v[s]
+            held.append(b.slice(s, e - s))
+    if held:
+        yield held
+
+
+def totals(found: DataFrame, buckets: int) -> DataFrame:
+    """A written table: of kind 0 the chunks' words with their counts in all training texts; of kind 2 (gram, n) rows, and of kind 3 (tokens, different words) of each bucket, both as (gram, n)."""
+    schema = T._parse_datatype_string("kind int, chunk bigint, words binary, word_n binary, gram bigint, n bigint")
+    arrow = to_arrow_schema(schema)
+
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+
+    def run(batches):
+        for group in groups(batches, 0):
+            messages = [m for b in group for m in zip(*(b.column(i).to_pylist() for i in range(1, 6)))]
+            count: Counter = Counter()
+            grams, n, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+            for i, (_, words, word_n, some, some_n) in enumerate(messages):
+                for x, k in zip(unpack_words(words), unpack(word_n).tolist()):
+                    count[x] += k
+                held.append((_unpack_sorted(some), unpack(some_n)))
+                size += len(held[-1][0])
+                if size > STEP or i + 1 == len(messages):
+                    grams, n = _merged(grams, n, *(np.concatenate(x) for x in zip(*held)))
+                    held, size = [], 0
+            for a in range(0, len(grams), 100_000):
+                part = grams[a : a + 100_000]
+                yield rows(len(part), kind=np.full(len(part), 2), gram=part, n=n[a : a + 100_000])
+            yield rows(1, kind=[3], gram=[sum(count.values())], n=[sum(k > 0 for k in count.values())])
+            for chunk, words, *_ in messages:
+                answer = np.fromiter(map(count.__getitem__, unpack_words(words)), np.int64)
+                yield rows(1, kind=[0], chunk=[chunk], words=[words], word_n=[pack(answer)])
+
+    messages = found.where("kind = 0").select("bucket", "chunk", "words", "word_n", "grams", "gram_n")
+    return saved(messages.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema), "totals")
+
+
+def trie(sums: DataFrame) -> DataFrame:
+    """(gram, cost): the natural code length of the last byte of every context, by the training counts ``sums`` (gram, n).
 
     At each order a row has its count n, and of its context the total t and the different bytes d; ``after`` is what the
     byte costs after an escape from the context.
     """
-    sums = found.select(F.explode(F.arrays_zip("grams", "gram_n")).alias("g")).groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.gram_n").alias("n"))
     orders = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")) for k in range(ORDER)))).alias("o")
-    sums = saved(sums, "contexts")
     short = saved(sums.select(orders, "n").groupBy("o.k", "o.gram").agg(F.sum("n").alias("n")), "shorter_contexts")
 
     def nodes(df: DataFrame, **more: Column) -> DataFrame:
@@ -149,6 +247,39 @@ def trie(found: DataFrame) -> DataFrame:
     return level.select("gram", F.when(F.col("n") > 0, F.log(total / (2 * F.col("n") - 1))).otherwise(unseen).alias("cost"))
 
 
+def _answers(found: DataFrame, costs: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, grams, gram_n): the costs of the contexts of each message of ``found``."""
+
+    def packed(batches):
+        for b in batches:
+            grams, cost = (b.column(i).to_numpy() for i in (0, 1))
+            where = _bucket(grams, buckets)
+            order = np.lexsort([grams, where])
+            cut = np.flatnonzero(np.diff(where[order], prepend=-1))
+            parts = [order[s:e] for s, e in zip(cut, [*cut[1:], len(order)])]
+            blobs = [[_pack_sorted(grams[i]) for i in parts], [pack(cost[i]) for i in parts]]
+            yield pa.RecordBatch.from_arrays([pa.array(where[order[cut]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "grams", "gram_n"])
+
+    def run(batches):
+        for group in groups(batches, 0):
+            known, table = [], None
+            for b in group:
+                for chunk, grams, gram_n in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                    if chunk is None:
+                        known.append((_unpack_sorted(grams), unpack(gram_n, np.float64)))
+                        continue
+                    if table is None:
+                        own, cost = (np.concatenate(x) for x in zip(*known))
+                        order = np.argsort(own)
+                        table, known = (own[order], cost[order]), []
+                    answer = table[1][np.searchsorted(table[0], _unpack_sorted(grams))] if len(grams) else np.zeros(0)
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([grams], pa.binary()), pa.array([pack(answer)], pa.binary())], names=["chunk", "grams", "gram_n"])
+
+    rows = costs.mapInArrow(packed, "bucket int, grams binary, gram_n binary").withColumn("chunk", F.lit(None).cast("bigint"))
+    rows = rows.unionByName(found.where("kind = 0").select("bucket", "grams", "gram_n", "chunk")).select("bucket", "chunk", "grams", "gram_n")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).mapInArrow(run, "chunk bigint, grams binary, gram_n binary")
+
+
 def score(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, trained, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
@@ -157,60 +288,47 @@ def score(docs: DataFrame, training: Column, text: str = "text", key: str = "doc
     alike and the base has no tokens to count. Repeated rows count each and have equal scores; null keys stay; other
     columns are not read; an empty table gives no rows.
     """
-    found = chunks(docs, training, text, key)
-    words = found.select("chunk", F.explode(F.arrays_zip("words", "word_n")).alias("x")).select("chunk", F.col("x.words").alias("word"), F.col("x.word_n").alias("n"))
-    known = saved(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    ends = found.agg(F.sum("trained")).first()[0] or 0
-    sums = known.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    n, v = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(8, -(-size // min(MOST_BUCKET, max(LEAST_BUCKET, size // 2000))))
+    found = chunks(docs, training, buckets, text, key)
+    sums = totals(found, buckets)
+    whole = found.where("kind = 1")
+    count, ends = whole.agg(F.count("*"), F.sum("trained")).first()
+    tokens, v = sums.where("kind = 3").agg(F.sum("gram"), F.sum("n")).first()
+    ends = ends or 0
+    n, v = (tokens or 0) + ends, (v or 0) + (ends > 0)
     least = n + ADDED * (v + 1)
-    rate = lambda c: F.log10((F.col(c) + ADDED) / F.lit(least))
-    costs = saved(trie(found), "costs")
-    nothing = {c: F.lit(None).cast(t) for c, t in (("gram", "bigint"), ("word", "string"), ("cost", "double"), ("c", "bigint"), ("keys", found.schema["keys"].dataType), ("trained", "int"), ("data", "binary"))}
-    order = ["chunk", "kind", *nothing]
-
-    def part(df: DataFrame, kind: int) -> DataFrame:
-        return df.withColumns({"kind": F.lit(kind)} | {c: e for c, e in nothing.items() if c not in df.columns}).select(order)
-
-    rows = part(words.drop("n").join(known.withColumn("cost", rate("c")), "word"), 0)
-    rows = rows.unionByName(part(found.select("chunk", F.explode("grams").alias("gram")).join(costs, "gram"), 1))
-    rows = rows.unionByName(part(found.select("chunk", "keys", "trained", "data"), 2))
-    end = math.log10((ends + ADDED) / least)
+    costs = trie(sums.where("kind = 2").select("gram", "n"))
+    order = ["chunk", "kind", "words", "word_n", "grams", "gram_n", "keys", "trained", "data"]
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in found.schema}
+
+    def part(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: e for c, e in ({"kind": F.lit(0)} | nothing).items() if c not in df.columns}).select(order)
+
+    rows = part(sums.where("kind = 0").select("kind", "chunk", "words", "word_n")).unionByName(part(_answers(found, costs, buckets).withColumn("kind", F.lit(0)))).unionByName(part(whole))
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *T._parse_datatype_string("trained boolean, n_tokens bigint, n_known bigint, base_score double, score double").fields])
 
     def run(batches):
-        grams, costs, index, base, seen = [], [], {}, [], []
-        for b in batches:
-            kinds = b.column(1).to_numpy()
-            for start, stop in _runs(b.column(0).to_numpy(), kinds):
-                some = b.slice(start, stop - start)
-                kind = kinds[start]
-                if kind == 0:
-                    index.update(zip(utf8(some.column(3)), range(len(index), len(index) + len(some))))
-                    base.append(some.column(4).to_numpy())
-                    seen.append(some.column(5).to_numpy() > 0)
-                elif kind == 1:
-                    grams.append(some.column(2).to_numpy())
-                    costs.append(some.column(4).to_numpy())
-                else:
-                    for keys, trained, data in zip(*(some.column(i).to_pylist() for i in (6, 7, 8))):
+        for group in groups(batches, 0):
+            index, counts, grams, costs = {}, [np.zeros(0, np.int64)], [], []
+            for b in group:
+                for kind, words, word_n, some, cost, keys, trained, data in zip(*(b.column(i).to_pylist() for i in range(1, 9))):
+                    if kind == 1:
                         texts = zstandard.ZstdDecompressor().decompress(data).split(b"\n")[:-1]
-                        tables = (np.concatenate(grams), np.concatenate(costs))
-                        ids = index, *(np.concatenate([*x, np.zeros(0, y)]) for x, y in ((base, float), (seen, bool)))
-                        yield from _scored(keys, trained, texts, tables, ids, end, ends > 0, schema, b.schema.field(6).type.value_type)
-                        del texts, tables, ids
-                        grams, costs, index, base, seen = [], [], {}, [], []
-
-    scored = rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "gram").mapInArrow(run, schema)
+                        c, g = np.concatenate(counts), np.concatenate(grams)
+                        by_gram = np.argsort(g)
+                        yield from _scored(keys, trained, texts, (g[by_gram], np.concatenate(costs)[by_gram]), (index, np.log10((c + ADDED) / least), c > 0), math.log10((ends + ADDED) / least), ends > 0, schema, b.schema.field(6).type.value_type)
+                    elif words is None:
+                        grams.append(_unpack_sorted(some))
+                        costs.append(unpack(cost, np.float64))
+                    else:
+                        index.update(zip(unpack_words(words), itertools.count(len(index))))
+                        counts.append(unpack(word_n))
+
+    scored = rows.repartition(max(8, count), "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, schema)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
-def _runs(chunk: np.ndarray, kind: np.ndarray):
-    """Ranges of rows of one chunk and kind."""
-    cut = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(kind) != 0)) + 1
-    return zip([0, *cut.tolist()], [*cut.tolist(), len(chunk)]) if len(chunk) else ()
-
-
 def _scored(keys, trained, texts, tables, words, end, end_known, schema, kind):
     grams, costs = tables
     index, base, seen = words
