@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import bpe, decontaminate, infill, langid, licences, ppm, quality, sharding, simhash, store, substrings, tokenfile, toxicity
+from barline.llm import bpe, collocations, decontaminate, infill, langid, licences, ppm, quality, sharding, simhash, store, substrings, tokenfile, toxicity
 
 #: The tokenizer file of the encoding queries.
 TOKENIZER = "word_bpe_49k.json"
@@ -128,6 +128,25 @@ def op10(spark, path):
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query(
+    "op11_quotient_filter_collocations",
+    r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+g AS (SELECT lang, ws[i:i + k - 1] AS ws FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 6) AS x(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, ws, count(*) AS f FROM g GROUP BY lang, ws HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, ws, f AS a, unnest(range(1, len(ws))) AS k FROM f WHERE len(ws) > 1),
+s AS (SELECT c.lang, c.ws, a, k, x.f AS l, y.f AS r, n.n, (1000 * CAST(a AS HUGEINT) * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[k + 1:] JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+u AS (SELECT lang, ws, max(f) AS f FROM (SELECT lang, unnest([ws[1:len(ws) - 1], ws[2:]]) AS ws, f FROM f WHERE len(ws) > 2) GROUP BY lang, ws),
+o AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN u USING (lang, ws) WHERE 100 * coalesce(u.f, 0) < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o QUALIFY rank <= 2000""",
+)
+def op11(spark, path):
+    return collocations.collocations(_documents(spark, path))
+
+
 @query("op12_ppm_scores")
 def op12(spark, path):
     out = ppm.score(_documents(spark, path), _remainder(10) != 0)
