@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-HOLT_MEMORY = 300  # the Holt recursion with .3/.1 forgets at .837 per bar: .837**300 < 1e-23
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barline.series import SEGMENT
 
 def linear_trend(bars: DataFrame, window: int = 60, least: int = 20) -> DataFrame:
     """OLS of the close on time over the last ``window`` bars: level at the last bar, slope, residual std."""
@@ -21,21 +20,36 @@ def linear_trend(bars: DataFrame, window: int = 60, least: int = 20) -> DataFram
     ).drop("_c")
 
 
-def holt(bars: DataFrame, alpha: float = 0.3, beta: float = 0.1) -> DataFrame:
-    """Double exponential smoothing: ``holt_level`` and ``holt_trend`` at the last bar.
+def holt(bars: DataFrame, alpha: float = 0.3, beta: float = 0.1, size: int = SEGMENT) -> DataFrame:
+    """Double exponential smoothing: ``holt_level`` and ``holt_trend`` at the last bar, from the whole history.
 
-    Only the last bars carry weight, so the fold sees an array of at most ``HOLT_MEMORY`` closes.
+    A bar maps (level, trend) affinely, and such maps compose: each block of bars becomes one matrix and one vector, and
+    the blocks of a symbol, a few numbers each, are applied in order to the state of its first two bars.
     """
-    recent = bars.filter(F.col("bar_idx") >= F.col("n_bars") - HOLT_MEMORY)
-    c = F.transform(F.array_sort(F.collect_list(F.struct("bar_idx", "close"))), lambda s: s["close"])
-    rows = recent.groupBy("symbol").agg(c.alias("c")).filter(F.size("c") >= 2)
-    start = F.struct(F.col("c")[0].alias("level"), (F.col("c")[1] - F.col("c")[0]).alias("trend"))
-
-    def step(s, x):
-        level = alpha * x + (1 - alpha) * (s["level"] + s["trend"])
-        return F.struct(level.alias("level"), (beta * (level - s["level"]) + (1 - beta) * s["trend"]).alias("trend"))
-
-    state = F.aggregate(F.slice("c", 2, HOLT_MEMORY), start, step)
+    a, b = alpha, alpha * beta
+
+    def after(level: Column, trend: Column, x: Column | float) -> tuple[Column, Column]:
+        return (1 - a) * level + (1 - a) * trend + a * x, -b * level + (1 - b) * trend + b * x
+
+    def composed(m: Column, s: Column) -> Column:
+        p, q = after(m["v0"], m["v1"], s["close"])
+        (aa, ca), (ab, cb) = (after(m[f"m0{k}"], m[f"m1{k}"], 0.0) for k in (0, 1))
+        return F.struct(aa.alias("m00"), ab.alias("m01"), ca.alias("m10"), cb.alias("m11"), p.alias("v0"), q.alias("v1"))
+
+    one = F.struct(*[F.lit(float(v)).alias(c) for c, v in (("m00", 1), ("m01", 0), ("m10", 0), ("m11", 1), ("v0", 0), ("v1", 0))])
+    blk = F.floor(F.col("bar_idx") / size).alias("blk")
+    closes = F.array_sort(F.collect_list(F.when(F.col("bar_idx") >= 1, F.struct("bar_idx", "close"))))
+    at = lambda i: F.max(F.when(F.col("bar_idx") == i, F.col("close")))
+    blocks = bars.groupBy("symbol", blk).agg(closes.alias("xs"), at(0).alias("c0"), at(1).alias("c1"))
+    maps = blocks.select("symbol", "c0", "c1", F.struct("blk", F.aggregate("xs", one, composed).alias("m")).alias("b"))
+    rows = maps.groupBy("symbol").agg(F.max("c0").alias("c0"), F.max("c1").alias("c1"), F.array_sort(F.collect_list("b")).alias("bs")).where("c1 is not null")
+    start = F.struct(F.col("c0").alias("level"), (F.col("c1") - F.col("c0")).alias("trend"))
+
+    def applied(s: Column, x: Column) -> Column:
+        m = x["m"]
+        return F.struct(*[(m[f"m{i}0"] * s["level"] + m[f"m{i}1"] * s["trend"] + m[f"v{i}"]).alias(c) for i, c in enumerate(("level", "trend"))])
+
+    state = F.aggregate("bs", start, applied)
     return rows.select("symbol", state["level"].alias("holt_level"), state["trend"].alias("holt_trend"))
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.functions.numeric import all_of, finite, flag, half_even
-from barline.series import ahead, back, by_symbol, ema, full, last, memory_of, prior, smooth, wilder, wilder_sum
+from barline.operators.automaton import let, scanned
+from barline.series import SEGMENT, ahead, back, by_symbol, ema, full, last, memory_of, own_rows, prior, segmented, smooth, wilder, wilder_sum
 
 WILDER14 = memory_of(13 / 14)
 
@@ -168,36 +169,33 @@ def buy_pressure(n: int = 14) -> Column:
     return full(F.when(total != 0, F.sum(F.col("volume") * place).over(last(n)) / total), n)
 
 
-def parabolic_sar(bars: DataFrame, step: float = 0.02, limit: float = 0.20) -> DataFrame:
-    """Adds ``psar`` from the second bar on.
+def parabolic_sar(bars: DataFrame, step: float = 0.02, limit: float = 0.20, size: int = SEGMENT) -> DataFrame:
+    """``symbol, bar_idx, psar``: from the second bar on, rising at first.
 
-    The state machine has no window form, so a symbol's bars go through one Arrow group; a
-    group is bounded by the number of bar intervals in the calendar.
+    The state is the side, the stop, the extreme since the last turn, and the acceleration.
     """
-    import numpy as np
-
-    def run(pdf):
-        pdf = pdf.sort_values("bar_idx")
-        h, lo = pdf["high"].to_numpy(), pdf["low"].to_numpy()
-        out = np.full(len(pdf), np.nan)
-        rising, af = True, step
-        if len(pdf) > 1:
-            sar, ep = lo[0], max(h[0], h[1])
-            out[1] = sar
-        for i in range(2, len(pdf)):
-            sar = sar + af * (ep - sar)
-            sar = min(sar, lo[i - 1], lo[i - 2]) if rising else max(sar, h[i - 1], h[i - 2])
-            if (lo[i] < sar) if rising else (h[i] > sar):
-                rising, sar, af = not rising, ep, step
-                ep = h[i] if rising else lo[i]
-            elif (h[i] > ep) if rising else (lo[i] < ep):
-                ep = h[i] if rising else lo[i]
-                af = min(af + step, limit)
-            out[i] = sar
-        return pdf.assign(psar=out)[["symbol", "bar_idx", "psar"]]
-
-    schema = "symbol long, bar_idx int, psar double"
-    return bars.select("symbol", "bar_idx", "high", "low").groupBy("symbol").applyInPandas(run, schema)
+    d = segmented(bars.select("symbol", "bar_idx", "n_bars", "high", "low"), 2)
+    d = own_rows(d.withColumns({"h1": back("high"), "h2": back("high", 2), "l1": back("low"), "l2": back("low", 2)}))
+
+    def state(up: Column, sar: Column, ep: Column, af: Column) -> Column:
+        return F.struct(up.alias("up"), sar.alias("sar"), ep.alias("ep"), af.alias("af"))
+
+    def start(x: Column) -> Column:
+        return state(F.lit(True), F.coalesce(x["l1"], x["low"]), F.greatest(x["h1"], x["high"]), F.lit(step))
+
+    def turned(s: Column, x: Column, sar: Column) -> Column:
+        up, flip = s["up"], F.when(s["up"], x["low"] < sar).otherwise(x["high"] > sar)
+        beyond = F.when(up, x["high"] > s["ep"]).otherwise(x["low"] < s["ep"])
+        kept = state(up, sar, F.when(beyond, F.when(up, x["high"]).otherwise(x["low"])).otherwise(s["ep"]), F.when(beyond, F.least(s["af"] + step, F.lit(limit))).otherwise(s["af"]))
+        return F.when(flip, state(~up, s["ep"], F.when(up, x["low"]).otherwise(x["high"]), F.lit(step))).otherwise(kept)
+
+    def advance(s: Column, x: Column) -> Column:
+        raw = s["sar"] + s["af"] * (s["ep"] - s["sar"])
+        sar = F.when(s["up"], F.least(raw, x["l1"], x["l2"])).otherwise(F.greatest(raw, x["h1"], x["h2"]))
+        return F.when(x["bar_idx"] < 2, start(x)).otherwise(let(sar, lambda v: turned(s, x, v)))
+
+    out = scanned(d, "bar_idx", ["high", "low", "h1", "h2", "l1", "l2"], start, advance, "struct<up:boolean,sar:double,ep:double,af:double>", size=size)
+    return out.select("symbol", "bar_idx", F.when(F.col("bar_idx") >= 1, F.col("state.sar")).alias("psar"))
 
 
 # -- volume -----------------------------------------------------------------------------------

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.functions.numeric import finite, half_even, lit
 from barline.operators import indicators as ind
+from barline.operators.automaton import scanned
 from barline.operators.joins import forward_bars
-from barline.series import by_symbol, own_rows, segmented
+from barline.series import SEGMENT, by_symbol, own_rows, segmented
 
 FIXED_TOLERANCE, MIN_TOLERANCE, MAX_TOLERANCE = 0.015, 0.008, 0.045
 TOLERANCE_MODES = ("fixed", "atr", "hybrid")
@@ -156,26 +157,23 @@ def recent_pivots(pb: DataFrame, o: Options, keep: int = RECENT) -> DataFrame:
     return raw.select("symbol", "n_bars", F.aggregate("raw", F.expr(f"cast(array() as array<{_PIVOT}>)"), step).alias("pv"))
 
 
-def confirmed_pivots(bars: DataFrame, o: Options = Options()) -> DataFrame:
+def confirmed_pivots(bars: DataFrame, o: Options = Options(), size: int = SEGMENT) -> DataFrame:
     """All alternating pivots, each known ``pivot_window`` bars later.
 
-    The same rule as ``recent_pivots``, in one pass over a symbol's raw pivots.
+    The same rule as ``recent_pivots``. The state is the pivot kept last; it is final where the next one kept is of the
+    other kind.
     """
-    gap = o.min_gap
-
-    def run(pdf):
-        kept = []
-        for r in pdf.sort_values(["idx", "side"]).itertuples():
-            if kept and kept[-1].side == r.side:
-                if (r.price > kept[-1].price) if r.side == 1 else (r.price < kept[-1].price):
-                    kept[-1] = r
-            elif not kept or r.idx - kept[-1].idx >= gap:
-                kept.append(r)
-        return pdf.loc[[r.Index for r in kept]]
-
     raw = raw_pivots(pattern_bars(bars, o)).select("symbol", "p.idx", "p.side", "p.price")
-    d = raw.groupBy("symbol").applyInPandas(run, "symbol long, idx int, side int, price double")
-    return d.withColumn("confirmed_idx", F.col("idx") + o.pivot_window)
+    pivot = lambda x: F.struct(*[x[c].alias(c) for c in ("idx", "side", "price")])
+
+    def step(s, x):
+        better = F.when(x["side"] == 1, x["price"] > s["price"]).otherwise(x["price"] < s["price"])
+        return F.when(F.when(s["side"] == x["side"], better).otherwise(x["idx"] - s["idx"] >= o.min_gap), pivot(x)).otherwise(s)
+
+    d = scanned(raw, "idx", ["side", "price"], pivot, step, "struct<idx:int,side:int,price:double>", size=size, order=["side"])
+    after = F.lead("state.side").over(Window.partitionBy("symbol").orderBy("idx", "side"))
+    d = d.withColumn("after", after).where(F.col("after").isNull() | (F.col("after") != F.col("state.side")))
+    return d.select("symbol", "state.*").withColumn("confirmed_idx", F.col("idx") + o.pivot_window)
 
 
 # -- candidates -------------------------------------------------------------------------------

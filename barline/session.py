@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,3 +78,13 @@ def stored(df: DataFrame, name: str, source: str, keys: list[str], sort: list[st
             .saveAsTable(table)
         )
     return spark.table(table)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder under the shared one, and read back: its lineage ends and outlives lost executors."""
+    base = work_dir(df.sparkSession)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = os.path.join(base, "barline", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
