@@ -13,6 +13,7 @@ from barline.operators import indicators as ind
 from barline.operators.aggregates import liquidity_terciles
 from barline.operators.joins import forward_bars
 from barline.operators.quantiles import exact_quantiles
+from barline.operators.ranges import asked, blocks, extreme, first_touch
 from barline.series import back, last, own_rows, prior, segmented
 
 # Fixed values of the strategy study.
@@ -37,7 +38,7 @@ def panel(bars: DataFrame) -> DataFrame:
     d = d.withColumns({
         "atr": ind.atr_warm(), "ma20": ind.sma(20), "ma60": ind.sma(60), "ma120": ind.sma(120), **ind.bollinger(),
         "vr_prior": ind.volume_ratio_prior(), "vr_incl": ind.volume_ratio_inclusive(), "vwap": ind.vwap(), "prev_close": back("close"),
-        "low20_prior": F.min("low").over(prior(20)), "support_zone": ind.lowest_mean(30, 5), "strong_support": ind.lowest_mean(20, 3),
+        "low20_prior": F.min("low").over(prior(20)), "high20": F.max("high").over(last(20)), "low20": F.min("low").over(last(20)), "support_zone": ind.lowest_mean(30, 5), "strong_support": ind.lowest_mean(20, 3),
         "avg_vol20": F.avg("volume").over(last(20)), "turnover": ind.turnover_before(), **ind.fibonacci(),
     })
     d = ind.with_smma(ind.with_macd(ind.with_rsi(ind.with_adx(d))), 21, 50, 200)
@@ -124,25 +125,20 @@ def zone_trades(p: DataFrame, markets: DataFrame, horizon: int = 20) -> DataFram
     s = s.withColumn("band", F.explode(entry_bands())).select(
         "symbol", "market", "bar_idx", F.col("bar_date").alias("signal_date"), "close", "atr", "risk_score", "risk_level", "hold_signal", "band.*",
         half_even("vr_incl", 3).alias("vol_ratio"), (F.col("atr") / F.col("close") * 100).alias("atr_pct"))
-    keys = ["symbol", "bar_idx"]
-    path = forward_bars(s.select(*keys).distinct(), p, horizon).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("step", F.col("f_low").alias("low"), F.col("f_high").alias("high"), F.col("f_close").alias("close"), F.col("f_bar_date").alias("date")))).alias("path"))
-    d = s.join(path, keys)
-    touch = F.filter("path", lambda x: x["low"] <= F.col("high"))
-    d = d.withColumn("hit", F.get(touch, F.lit(0))).withColumn("after", F.filter("path", lambda x: x["step"] >= F.col("hit.step")))
-    entry = F.when(F.col("hit").isNotNull(), F.least(F.col("high"), F.greatest(F.col("low"), F.col("hit.close"))))
-    d = d.withColumn("entry_price", entry)
-    prim, atr = F.col("zone") == "primary", F.col("atr")
-    stop = F.col("entry_price") - atr * F.when(prim, 1.35).otherwise(1.75)
-    goal = F.col("entry_price") + atr * F.when(prim, 1.15).otherwise(1.65)
-    low = F.array_min(F.transform("after", lambda x: x["low"]))
-    got = F.col("hit").isNotNull()
+    table = asked(blocks(p.select("symbol", "bar_idx", "n_bars", "low", "high", "close", "bar_date"), horizon, ["close", "bar_date"]), s.withColumnRenamed("close", "signal_close"))
+    a, b = (lambda x: x["bar_idx"] - F.col("first") + 1), (lambda x: F.least(x["bar_idx"] + horizon, F.col("last")) - F.col("first"))
+    touch = F.transform("ask", lambda x: F.struct(x.alias("q"), first_touch(F.col("lows"), a(x), b(x), lambda v: v <= x["high"], horizon).alias("at"), b(x).alias("end")))
+    told = F.transform(touch, lambda t: F.struct(
+        t["q"].alias("q"), F.get("bar_date", t["at"]).alias("entry_date"), F.get("close", t["at"]).alias("hit_close"), F.when(t["at"].isNotNull(), F.get("close", t["end"])).alias("last_close"),
+        extreme(F.col("lows"), t["at"], t["end"], F.least).alias("least"), extreme(F.col("highs"), t["at"], t["end"], F.greatest).alias("most")))
+    d = table.select("symbol", F.explode(told).alias("t")).select("symbol", "t.q.*", "t.entry_date", "t.hit_close", "t.last_close", "t.least", "t.most").withColumnRenamed("signal_close", "close")
+    got = F.col("hit_close").isNotNull()
+    d = d.withColumn("entry_price", F.when(got, F.least(F.col("high"), F.greatest(F.col("low"), F.col("hit_close")))))
+    prim, atr, entry, low = F.col("zone") == "primary", F.col("atr"), F.col("entry_price"), F.col("least")
     return d.withColumns({
-        "entered": got, "entry_date": F.col("hit.date"), "stop_hit": F.when(got, F.exists("after", lambda x: x["low"] <= stop)),
-        "bounce_success": F.when(got, F.exists("after", lambda x: x["high"] >= goal)), "extra_drop": F.when(got, low <= F.col("entry_price") - atr * 0.75),
-        "return_pct": F.when(got, (F.element_at("after", -1)["close"] - F.col("entry_price")) / F.col("entry_price") * 100),
-        "mdd_pct": F.when(got, (low - F.col("entry_price")) / F.col("entry_price") * 100),
-    }).drop("path", "after", "hit")
+        "entered": got, "stop_hit": F.when(got, low <= entry - atr * F.when(prim, 1.35).otherwise(1.75)), "bounce_success": F.when(got, F.col("most") >= entry + atr * F.when(prim, 1.15).otherwise(1.65)),
+        "extra_drop": F.when(got, low <= entry - atr * 0.75), "return_pct": F.when(got, (F.col("last_close") - entry) / entry * 100), "mdd_pct": F.when(got, (low - entry) / entry * 100),
+    }).drop("hit_close", "last_close", "least", "most")
 
 
 def zone_summary(trades: DataFrame) -> DataFrame:
@@ -169,18 +165,25 @@ def risk_gate_summary(trades: DataFrame) -> DataFrame:
 
 # -- target prices ----------------------------------------------------------------------------
 
+def pullback_targets() -> Column:
+    """Array of (profile, target) of a pullback plan on a panel row: back to the 20-bar high (one ATR up at least), and
+    .618 of the 20-bar range beyond it."""
+    main = F.greatest(F.col("high20"), F.col("close") + F.col("atr"))
+    ext = main + 0.618 * (F.col("high20") - F.col("low20"))
+    return F.array(*[F.struct(F.lit(p).alias("profile"), t.alias("target")) for p, t in (("pullback_main", main), ("pullback_ext", ext))])
+
+
 def target_hits(signals: DataFrame, bars: DataFrame, window: int = 90) -> DataFrame:
     """Whether and after how many bars each target was touched.
 
-    ``signals`` has ``symbol, bar_idx, targets`` with targets an array of structs holding ``profile,
-    target, ...``. Only the highs that set a new maximum can be a first touch, so the join result
-    collapses to one running maximum per signal.
+    ``signals`` has ``symbol, bar_idx, targets`` with targets an array of structs holding ``profile, target, ...``.
     """
-    keys = ["symbol", "bar_idx"]
-    f = forward_bars(signals.select(*keys), bars, window).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", F.col("f_high").alias("high")))).alias("path"))
-    d = signals.join(f, keys).withColumn("t", F.explode("targets")).drop("targets")
-    first = F.get(F.filter("path", lambda x: x["high"] >= F.col("t.target")), F.lit(0))["step"]
-    return d.withColumn("days_to_hit", first).withColumn("hit", F.col("days_to_hit").isNotNull()).drop("path").select("*", "t.*").drop("t")
+    table = asked(blocks(bars, window), signals)
+    a, b = (lambda x: x["bar_idx"] - F.col("first") + 1), (lambda x: F.least(x["bar_idx"] + window, F.col("last")) - F.col("first"))
+    day = lambda x, t: first_touch(F.col("highs"), a(x), b(x), lambda v: v >= t["target"], window) - a(x) + 1
+    told = F.transform("ask", lambda x: F.struct(x.alias("s"), F.transform(x["targets"], lambda t: F.struct(t.alias("t"), day(x, t).alias("days_to_hit"))).alias("ts")))
+    d = table.select("symbol", F.explode(told).alias("r")).select("symbol", "r.s.*", F.explode("r.ts").alias("h")).drop("targets")
+    return d.select(*[c for c in d.columns if c != "h"], "h.t.*", "h.days_to_hit").withColumn("hit", F.col("days_to_hit").isNotNull())
 
 
 def target_summary(hits: DataFrame) -> DataFrame:

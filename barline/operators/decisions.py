@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.functions.numeric import bands, col, flag, half_even, points
 from barline.functions.scores import lookup
-from barline.operators.joins import forward_bars
+from barline.series import by_symbol, own_rows, segmented
 
 # -- market immunity --------------------------------------------------------------------------
 
@@ -301,15 +301,28 @@ def band_steps(bands_: DataFrame, bars: DataFrame, horizon: int = 30, least: int
     i = F.col("step")
     d = bands_.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("price", F.col("high") - (F.col("high") - F.col("low")) * (i - 1) / 4)
     d = d.withColumns({"allocation_pct": F.element_at(F.array(*map(F.lit, ALLOCATION)), i), "depth": 1 - F.col("price") / F.col("close")})
-    starts = bars.filter(F.col("bar_idx") < F.col("n_bars") - horizon).select("symbol", "bar_idx", "close")
-    drop = 1 - F.col("f_low") / F.col("close")
-    path = forward_bars(starts, bars, horizon).groupBy("symbol", "bar_idx").agg(F.array_sort(F.collect_list(F.struct("step", drop.alias("drop")))).alias("path"))
-    wanted = d.groupBy("symbol").agg(F.collect_list(F.struct("family", "band", "step", "depth")).alias("wanted"))  # thirty depths
-    each = path.join(wanted, "symbol").withColumn("q", F.explode("wanted"))
-    day = F.get(F.filter("path", lambda x: x["drop"] >= F.col("q.depth")), F.lit(0))["step"]
-    hit = each.select("symbol", "q.family", "q.band", "q.step", day.alias("day")).filter("day is not null")
-    count = starts.groupBy("symbol").agg(F.count(F.lit(1)).alias("paths"))
-    g = hit.groupBy("symbol", "family", "band", "step").agg(F.count(F.lit(1)).alias("reached"), F.percentile("day", F.lit(0.25)).alias("days_min"), F.percentile("day", F.lit(0.75)).alias("days_max"))
+    # a past bar reaches new depths on few days only; each such day counts for the depths between the old and the new one
+    ahead_ = F.collect_list("low").over(by_symbol().rowsBetween(1, horizon))
+    past = own_rows(segmented(bars.select("symbol", "bar_idx", "n_bars", "low", "close"), 0, horizon).withColumn("path", ahead_)).filter(F.col("bar_idx") < F.col("n_bars") - horizon)
+
+    def deeper(seen: Column, j: Column) -> Column:
+        drop = 1 - F.get("path", j) / F.col("close")
+        most = F.coalesce(F.try_element_at(seen, F.lit(-1))["drop"], F.lit(float("-inf")))
+        return F.when(drop > most, F.concat(seen, F.array(F.struct((j + 1).alias("day"), most.alias("before"), drop.alias("drop"))))).otherwise(seen)
+
+    new = F.aggregate(F.sequence(F.lit(0), F.lit(horizon - 1)), F.expr("cast(array() as array<struct<day:int,before:double,drop:double>>)"), deeper)
+    depths = d.groupBy("symbol").agg(F.array_sort(F.array_agg(F.struct("depth", "family", "band", "step"))).alias("asks")).withColumn("depths", F.transform("asks", lambda x: x["depth"]))  # thirty
+    upto = lambda v: F.size(F.filter("depths", lambda x: x <= v))
+    each = past.join(depths.select("symbol", "depths"), "symbol").select("symbol", "depths", F.explode(new).alias("n")).filter(F.col("n.drop") >= F.get("depths", F.lit(0)))
+    spans = each.select("symbol", "n.day", upto(F.col("n.before")).alias("a"), upto(F.col("n.drop")).alias("b")).filter("b > a")
+    marks = spans.select("symbol", "day", F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("k")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("k")))).alias("m")).groupBy("symbol", "day", "m.at").agg(F.sum("m.k").alias("k"))
+    by_day = marks.groupBy("symbol", "day").agg(F.collect_list(F.struct("at", "k")).alias("marks"))
+    held = lambda i_: F.aggregate("marks", F.lit(0).cast("long"), lambda s, x: s + F.when(x["at"] <= i_, x["k"]).otherwise(0))
+    counts = by_day.join(depths.select("symbol", "asks"), "symbol").select("symbol", "day", F.explode(F.transform("asks", lambda q, i_: F.struct(q["family"].alias("family"), q["band"].alias("band"), q["step"].alias("step"), held(i_).alias("n")))).alias("q"))
+    counts = counts.select("symbol", "day", "q.*").filter("n > 0")
+    count = bars.groupBy("symbol").agg(F.greatest(F.max("n_bars") - horizon, F.lit(0)).alias("paths"))
+    quarter = lambda p: F.percentile("day", F.lit(p), F.col("n"))
+    g = counts.groupBy("symbol", "family", "band", "step").agg(F.sum("n").alias("reached"), quarter(0.25).alias("days_min"), quarter(0.75).alias("days_max"))
     d = d.join(count, "symbol", "left").join(g, ["symbol", "family", "band", "step"], "left")
     enough = flag(F.col("paths") >= least)
     return d.withColumns({"reach_pct": F.when(enough, F.coalesce("reached", F.lit(0)) / F.col("paths") * 100), "days_min": F.when(enough, F.col("days_min")), "days_max": F.when(enough, F.col("days_max"))})

@@ -15,7 +15,7 @@ SELECT *, lag(ma20, 5) OVER w AS ma20_old, smma21 - smma200 AS gap, lag(smma21 -
 SELECT t.*, CASE WHEN idx >= 13 THEN avg(coalesce(tr, high - low)) {over(14)} END AS atr, CASE WHEN idx >= 19 THEN avg(close) {over(20)} END AS ma20, CASE WHEN idx >= 59 THEN avg(close) {over(60)} END AS ma60,
   CASE WHEN idx >= 119 THEN avg(close) {over(120)} END AS ma120, CASE WHEN idx >= 19 THEN avg(close) {over(20)} - 2 * stddev_pop(close) {over(20)} END AS bb_lower,
   CASE WHEN idx >= 20 THEN volume / avg(volume) {_pre} ELSE 1.0 END AS vr_prior, CASE WHEN idx >= 19 THEN volume / avg(volume) {over(20)} ELSE 1.0 END AS vr_incl, sum(close * volume) {over(20)} / sum(volume) {over(20)} AS vwap,
-  min(low) {_pre} AS low20, list_sum(list_sort(list(low) {over(20)})[1:3]) / 3 AS strong, avg(volume) {over(20)} AS av20, coalesce(avg(close * volume) {_pre}, 0) AS turnover,
+  min(low) {_pre} AS low20, max(high) {over(20)} AS hi20, min(low) {over(20)} AS lo20, list_sum(list_sort(list(low) {over(20)})[1:3]) / 3 AS strong, avg(volume) {over(20)} AS av20, coalesce(avg(close * volume) {_pre}, 0) AS turnover,
   CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END AS rsi, macd, sig, adx, dip, dim, smma21, smma50, smma200, {_SLOPE.replace('OVER (PARTITION BY symbol ORDER BY idx)', 'OVER (PARTITION BY symbol ORDER BY idx)')} AS slope,
   coalesce(low < lag(low, 2) OVER (PARTITION BY symbol ORDER BY idx) AND low < lag(low) OVER (PARTITION BY symbol ORDER BY idx) AND low < lead(low) OVER (PARTITION BY symbol ORDER BY idx) AND low < lead(low, 2) OVER (PARTITION BY symbol ORDER BY idx), FALSE) AS lf,
   max(high) {over(60)} - 0.382 * (max(high) {over(60)} - min(low) {over(60)}) AS fib382, CASE WHEN idx >= 29 THEN list_sum(list_sort(list(low) {over(30)})[1:5]) / 5 END AS support
@@ -32,9 +32,9 @@ FROM panel p JOIN universe u USING (symbol))""")
 _SAMPLE = "n - 59 >= 260 AND idx - 59 >= greatest(140, n - 59 - 190) AND idx - 59 < n - 59 - 21 AND (idx - 59 - greatest(140, n - 59 - 190)) % 21 = 0"
 
 
-@query("downside_risk", "risk", "SELECT symbol, idx AS bar_idx, CAST(score AS BIGINT) AS risk_score, lv AS risk_level, score >= 50 AS hold_signal FROM risk WHERE idx >= 130")
+@query("downside_risk", "risk", "SELECT symbol, idx AS bar_idx, CAST(score AS BIGINT) AS risk_score, lv AS risk_level, score >= 50 AS hold_signal FROM risk")
 def _risk(m):
-    d = m.panel.filter("bar_idx >= 130").join(m.universe.select("symbol", "market"), "symbol").withColumns(B.downside_risk())
+    d = m.panel.join(m.universe.select("symbol", "market"), "symbol").withColumns(B.downside_risk())
     return d.select("symbol", F.col("bar_idx").cast("long").alias("bar_idx"), F.col("risk_score").cast("long").alias("risk_score"), "risk_level", "hold_signal")
 
 
@@ -57,7 +57,7 @@ FROM zb z LEFT JOIN (SELECT symbol, idx, logic, zone, first_idx, least(hi, great
 
 
 def zones(m):
-    return B.zone_trades(m.panel, m.universe.select("symbol", "market"))
+    return m.zone_trades
 
 
 @query("zone_trades", "zt", f"SELECT symbol, idx AS bar_idx, logic, zone, {q('lo')} AS low_band, {q('hi')} AS high_band, {q('ep')} AS entry_price, CAST(stop_hit AS DOUBLE) AS stop_hit, CAST(bounce AS DOUBLE) AS bounce_success, CAST(extra_drop AS DOUBLE) AS extra_drop, {q('ret')} AS return_pct, {q('mdd')} AS mdd_pct, {q(he('vr_incl', 3), 3)} AS vol_ratio, CAST(score AS BIGINT) AS risk_score FROM zt")

@@ -10,6 +10,7 @@ from barline.plans.indicators import over
 from barline.plans.markets import last_changes, overnight
 from barline.plans.newsplans import impact_sql, sentiments
 from barline.plans.registry import cte, he, q, query
+from barline.session import written
 from barline.plans.scanning import _HEALTH, _VOLREG, cl, levels_sql, the_scan
 from barline.sources.market import news
 
@@ -277,17 +278,26 @@ def _steps(m):
 
 cte("tsig", "comp universe", "SELECT c.*, u.market, atr / close * 100 AS pct, 0.55 AS win, 0 AS k FROM comp c JOIN universe u USING (symbol) WHERE n >= 300 AND idx - 59 >= greatest(140, n - 59 - 252 - 90) AND idx - 59 < n - 59 - 90 AND (idx - 59 - greatest(140, n - 59 - 252 - 90)) % 15 = 0")
 cte("tt", "tsig", f"""SELECT symbol, market, idx, profile, close, price, least(p1 - 3.0, p2) AS conf FROM (SELECT symbol, market, idx, close, profile, max(CASE WHEN lvl = 2 THEN close + atr * mul * CASE WHEN market = 'US' THEN 1.05 ELSE 0.95 END END) AS price, max(CASE WHEN lvl = 1 THEN p END) AS p1, max(CASE WHEN lvl = 2 THEN p END) AS p2 FROM (
-  SELECT t.*, v.*, {prob_sql('base')} AS p FROM tsig t JOIN (VALUES {_tpv}) v(mk, profile, sm, lvl, mul, base, days) ON mk = market WHERE lvl <= 2) GROUP BY ALL)""")
+  SELECT t.*, v.*, {prob_sql('base')} AS p FROM tsig t JOIN (VALUES {_tpv}) v(mk, profile, sm, lvl, mul, base, days) ON mk = market WHERE lvl <= 2) GROUP BY ALL)
+UNION ALL SELECT symbol, market, idx, 'pullback_main', close, greatest(hi20, close + atr), {prob_sql("CASE WHEN market = 'US' THEN 0.66 ELSE 0.56 END")} FROM tsig
+UNION ALL SELECT symbol, market, idx, 'pullback_ext', close, greatest(hi20, close + atr) + 0.618 * (hi20 - lo20), {prob_sql("CASE WHEN market = 'US' THEN 0.40 ELSE 0.29 END")} FROM tsig""")
 cte("thit", "tt bars", "SELECT t.*, (price - close) / close * 100 AS needed, (SELECT min(b.idx) FROM bars b WHERE b.symbol = t.symbol AND b.idx BETWEEN t.idx + 1 AND t.idx + 90 AND b.high >= t.price) - t.idx AS days FROM tt t")
 
 
 def targets(m):
-    p = m.panel.filter("n_bars >= 300")
-    s = B.sampled(p, 252 + 90, 15, 90).join(m.universe.select("symbol", "market"), "symbol")
-    s = s.withColumns({"trend": D.trend_score(), "atr_pct": F.col("atr") / F.col("close") * 100, "pattern_win": F.lit(0.55), "pattern_n": F.lit(0)})
-    tp = D.take_profit_levels(s).filter("level = 2")
-    sig = tp.groupBy("symbol", "market", "bar_idx", "close").agg(F.collect_list(F.struct("profile", F.col("price").alias("target"), F.col("hit_prob_pct").alias("confidence"), half_even("return_pct", 2).alias("needed_pct"))).alias("targets"))
-    return B.target_hits(sig, m.bars)
+    """The touches of all profiles' targets; three reports read them, so they are written once."""
+    if not hasattr(m, "target_hits"):
+        p = m.panel.filter("n_bars >= 300")
+        s = B.sampled(p, 252 + 90, 15, 90).join(m.universe.select("symbol", "market"), "symbol")
+        s = s.withColumns({"trend": D.trend_score(), "atr_pct": F.col("atr") / F.col("close") * 100, "pattern_win": F.lit(0.55), "pattern_n": F.lit(0)})
+        tp = D.take_profit_levels(s).filter("level = 2")
+        keys = ["symbol", "market", "bar_idx", "close"]
+        sig = tp.groupBy(*keys).agg(F.collect_list(F.struct("profile", F.col("price").alias("target"), F.col("hit_prob_pct").alias("confidence"), half_even("return_pct", 2).alias("needed_pct"))).alias("targets"))
+        said = {k: D.probability(F.when(F.col("market") == "US", D.TP_PROB["US"]["balanced"][i]).otherwise(D.TP_PROB["KRX"]["balanced"][i]), "atr_pct", "market", "trend", "pattern_win", "pattern_n") for k, i in (("main", 0), ("ext", 2))}
+        pull = s.withColumns(said).select(*keys, "main", "ext", B.pullback_targets().alias("ts"))
+        full = F.transform("ts", lambda t: F.struct(t["profile"].alias("profile"), t["target"].alias("target"), F.when(t["profile"] == "pullback_main", F.col("main")).otherwise(F.col("ext")).alias("confidence"), half_even((t["target"] - F.col("close")) / F.col("close") * 100, 2).alias("needed_pct")))
+        m.target_hits = written(B.target_hits(sig.unionByName(pull.select(*keys, full.alias("targets"))), m.bars), "targets")
+    return m.target_hits
 
 
 @query("target_hits", "thit", f"SELECT symbol, idx AS bar_idx, profile, {q('price')} AS target, {q('conf', 1)} AS confidence, CAST(days AS DOUBLE) AS days_to_hit FROM thit")

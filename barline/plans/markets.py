@@ -8,7 +8,7 @@ from barline.operators.quantiles import exact_quantiles
 from barline.operators.scan import end_values
 from barline.plans.indicators import over
 from barline.plans.registry import cte, he, q, query
-from barline.series import own_rows, segmented
+from barline.series import by_symbol, own_rows, segmented
 
 cte("moves", "tr universe", "SELECT t.symbol, t.bar_date, t.idx, t.n, t.close, t.volume, t.close / t.pc - 1 AS ret, u.name, u.sector, u.cluster, u.market, u.sleeve FROM tr t JOIN universe u USING (symbol)")
 cte("latest", "moves", "SELECT *, ret * 100 AS change_pct, CASE WHEN ret > 0 THEN 'up' WHEN ret < 0 THEN 'down' ELSE 'flat' END AS direction FROM moves WHERE idx = n - 1")
@@ -216,12 +216,12 @@ def regime_by_date(benchmark):
 
 
 @query("forward_window", "bars", f"""SELECT s.symbol, s.idx AS bar_idx, count(*) AS bars_seen, max(f.high) AS max_high, min(f.low) AS min_low, {q('(max_by(f.close, f.idx) - s.close) / s.close * 100')} AS return_pct
-  FROM bars s JOIN bars f ON f.symbol = s.symbol AND f.idx BETWEEN s.idx + 1 AND s.idx + 20 WHERE s.idx % 21 = 0 GROUP BY s.symbol, s.idx, s.close""")
+  FROM bars s JOIN bars f ON f.symbol = s.symbol AND f.idx BETWEEN s.idx + 1 AND s.idx + 20 GROUP BY s.symbol, s.idx, s.close""")
 def _fwd(m):
-    s = m.bars.filter("bar_idx % 21 = 0").select("symbol", "bar_idx", "close")
-    d = J.forward_bars(s, m.bars, 20).groupBy("symbol", "bar_idx", "close").agg(
-        F.count(F.lit(1)).alias("bars_seen"), F.max("f_high").alias("max_high"), F.min("f_low").alias("min_low"), F.max_by("f_close", "step").alias("c"))
-    return d.select("symbol", F.col("bar_idx").cast("long").alias("bar_idx"), "bars_seen", "max_high", "min_low", report((F.col("c") - F.col("close")) / F.col("close") * 100).alias("return_pct"))
+    later = by_symbol().rowsBetween(1, 20)
+    d = own_rows(segmented(m.bars, 0, 20).withColumns({
+        "bars_seen": F.count("close").over(later), "max_high": F.max("high").over(later), "min_low": F.min("low").over(later), "c": F.last("close").over(later)}))
+    return d.filter("bars_seen > 0").select("symbol", F.col("bar_idx").cast("long").alias("bar_idx"), "bars_seen", "max_high", "min_low", report((F.col("c") - F.col("close")) / F.col("close") * 100).alias("return_pct"))
 
 
 @query("universe_lookup", "snap universe quality", """SELECT symbol, sector, sleeve, tier AS quality_tier FROM snap JOIN universe USING (symbol) LEFT JOIN (SELECT symbol, tier FROM quality WHERE tier <> 'junk') USING (symbol)""")

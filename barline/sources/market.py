@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from barline.session import stored
+from barline.session import stored, written
 
 # Order keys per block. A block of one symbol and day holds a bounded number of rows however
 # many trades a symbol has, so no window below ever sees a whole hot symbol.
@@ -138,6 +138,13 @@ class Market:
 
         return stored(panel(self.bars), "panel", self.path, ["symbol"], ["symbol", "bar_idx"])
 
+    @cached_property
+    def zone_trades(self) -> DataFrame:
+        """The outcomes of the entry zones, which several reports read."""
+        from barline.operators.backtest import zone_trades
+
+        return written(zone_trades(self.panel, self.universe.select("symbol", "market")), "zones")
+
     @cached_property
     def moves(self) -> DataFrame:
         """Every bar with its change on the previous one and the dimensions of its symbol."""
