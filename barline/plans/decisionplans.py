@@ -245,7 +245,10 @@ cte("bands2", "bb", "SELECT symbol, close, n, band, win_pct, 'aggressive' AS fam
 
 
 def plan(m):
-    return D.plan_rows(m.panel, m.universe.select("symbol", "market"))
+    """One row per symbol; several reports read it, so it is written once."""
+    if not hasattr(m, "price_plan"):
+        m.price_plan = written(D.plan_rows(m.panel, m.universe.select("symbol", "market")), "plan")
+    return m.price_plan
 
 
 @query("buy_bands", "bands2", f"SELECT symbol, family, band, {q('lo')} AS low, {q('hi')} AS high, {q('win_pct', 1)} AS win_pct, {q('100 - win_pct', 1)} AS loss_pct FROM bands2")
