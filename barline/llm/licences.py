@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barline.llm.store import saved
+
 #: The usual short notices of well-known licences.
 TEMPLATES = {
     "Apache-2.0": [
@@ -83,10 +85,16 @@ def licence_lines(files: DataFrame, text: str = "text", path: str = "path") -> D
     words = some.select(path, F.size(_line_terms(F.col("__t"))).alias("n_words"), F.explode("__lines").alias("line")).withColumn("w", _line_terms(F.col("line")))
     words = words.where(F.size(F.array_intersect("w", F.array(*[F.lit(w) for w in rare]))) >= needed)
     weight = _number(idf)
-    words = words.withColumn("tf", F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("t"), F.size(F.filter("w", lambda x: x == t)).alias("n"))))
+    ordered, m = F.array_sort("w"), F.size("w")
+    words = words.withColumn("sorted", F.when(F.spark_partition_id() >= 0, ordered))
+    ends = F.filter(F.sequence(F.lit(1), m), lambda i: (i == m) | (F.get("sorted", i - 1) != F.get("sorted", i)))
+    words = words.withColumn("ends", F.when(F.spark_partition_id() >= 0, ends))
+    words = words.withColumn("tf", F.transform("ends", lambda i, k: F.struct(F.get("sorted", i - 1).alias("t"), (i - F.when(k > 0, F.get("ends", k - 1)).otherwise(0)).alias("n"))))
     words = words.withColumn("v", F.transform("tf", lambda x: F.struct(x["t"].alias("t"), (x["n"] * F.coalesce(F.element_at(weight, x["t"]), F.lit(other))).alias("x"))))
     words = words.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["x"] * x["x"])))
 
+    telling = F.transform("w", lambda t, i: F.when(t.isin(rare), i + 1))
+    words = words.withColumn("at", F.filter(telling, lambda i: i.isNotNull()))
     words = words.withColumn("z", F.transform("w", lambda t: F.struct(t.alias("t"), F.coalesce(F.element_at(weight, t), F.lit(other)).alias("x"))))
 
     def span(own: Column, size: int) -> Column:
@@ -99,8 +107,10 @@ def licence_lines(files: DataFrame, text: str = "text", path: str = "path") -> D
             norm = F.sqrt(F.aggregate(some, F.lit(0.0), lambda s, e: s + e["x"] * e["x"] * F.size(F.filter(some, lambda y: y["t"] == e["t"]))))
             return F.when(dot * dot >= (ALIKE**2 - 1e-6) * least, F.round(dot / norm, 9)).otherwise(0.0)
 
-        starts = F.sequence(F.lit(1), F.size("z") - size + 1)
-        return F.when(F.size("z") > size, F.array_max(F.transform(starts, at))).otherwise(0.0)
+        # a span without a telling word stays below ALIKE
+        near = F.transform("at", lambda i: F.sequence(F.greatest(i - size + 1, F.lit(1)), F.greatest(F.least(i, F.size("z") - size + 1), F.lit(1))))
+        starts = F.filter(F.array_distinct(F.flatten(near)), lambda i: i <= F.size("z") - size + 1)
+        return F.when(F.size("z") > size, F.coalesce(F.array_max(F.transform(starts, at)), F.lit(0.0))).otherwise(0.0)
 
     def cosine(own: Column) -> Column:
         dot = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["x"] * F.coalesce(F.element_at(own, x["t"]), F.lit(0.0)))
@@ -118,7 +128,9 @@ def licence_lines(files: DataFrame, text: str = "text", path: str = "path") -> D
             for score, whole in ((cosine(own), True), (span(own, size), False)):
                 n_own = F.size("w") if whole else F.lit(size)
                 scores.append(F.struct(score.alias("score"), F.lit(-place).alias("first"), F.lit(name).alias("licence"), n_own.alias("words"), F.lit(whole).alias("whole")))
-    words = words.withColumn("__all", F.filter(F.array(*scores), lambda x: x["score"] >= ALIKE)).where(F.size("__all") > 0)
+    # a filter on the scores must not be pushed below the columns they need: it would repeat those within one another
+    stay = F.spark_partition_id() >= 0
+    words = words.withColumn("__all", F.when(stay, F.filter(F.array(*scores), lambda x: x["score"] >= ALIKE))).where(F.size("__all") > 0)
     whole = F.exists("__all", lambda x: x["whole"])
     best = F.array_max(F.transform("__all", lambda x: F.struct(x["score"].alias("score"), x["first"].alias("first"), x["licence"].alias("licence"))))
     length = F.when(whole, F.size("w")).otherwise(F.array_max(F.transform("__all", lambda x: x["words"])))
@@ -165,7 +177,7 @@ def scan(files: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
     files = files.select([c for c in files.columns if c not in _OWN])
     found = licence_lines(files, text, path).groupBy(path).agg(F.max("__best").alias("__best"), F.sum("words").alias("words"), F.sum("n_words").alias("n"), F.count("*").alias("lines"))
     # repeated rows add to all three sums alike
-    own = found.select(F.col(path).alias("__p"), "__best", (F.col("words") * F.col("lines") >= WHOLE * F.col("n")).alias("__file"))
+    own = saved(found.select(F.col(path).alias("__p"), "__best", (F.col("words") * F.col("lines") >= WHOLE * F.col("n")).alias("__file")), "licences")
     d = files.join(own, F.col(path).eqNullSafe(F.col("__p")), "left")
     d = d.withColumns({"own_licence": F.col("__best.licence"), "own_score": F.col("__best.score"), "licence_file": F.coalesce("__file", F.lit(False))}).drop("__p", "__file", "__best")
     directory = F.when(F.instr("__p", "/") > 0, F.regexp_extract("__p", "^(.*)/[^/]*$", 1)).otherwise("")

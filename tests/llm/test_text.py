@@ -275,6 +275,18 @@ def test_matches_equal_brute_force(spark, monkeypatch, block):
     assert decontaminate.matches(frame, known.limit(0)).count() == 0 and decontaminate.matches(frame.limit(0), known).count() == 0
 
 
+def test_licences_of_odd_rows_and_long_lines(spark):
+    filler = [f"x{k % 997}" for k in range(20_000)]
+    long = " ".join([*filler[:9000], "Licensed under the MIT License", *filler[9000:]])
+    rows = odd(spark).selectExpr("*", "concat('d/', cast(doc_id as string)) as path", "'x' as w", "1 as best")
+    more = spark.createDataFrame([(900, long, "long/LICENSE"), (901, "nothing", "long/a.txt"), (902, long + "\nLicensed under the MIT License", "other/b")], "doc_id bigint, text string, path string")
+    out = licences.scan(rows.unionByName(more, allowMissingColumns=True))
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.count() == rows.count() + 3
+    assert got[900].own_licence == got[902].own_licence == "MIT" and got[900].own_score == 1.0 and not got[900].licence_file
+    assert all(got[k].own_licence is None for k in got if k is None or k < 900)
+
+
 def test_pipeline_by_brute_force(spark, library):
     from test_dedup import brute_alike, brute_quality, brute_repeats
 
