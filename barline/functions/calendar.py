@@ -13,6 +13,9 @@ HOLIDAYS = """2025-01-01 2025-01-20 2025-02-17 2025-04-18 2025-05-26 2025-06-19
 2028-01-17 2028-02-21 2028-04-14 2028-05-29 2028-06-19 2028-07-04 2028-09-04 2028-11-23 2028-12-25""".split()
 EARLY_CLOSES = "2025-11-28 2025-12-24 2026-11-27 2026-12-24 2027-11-26 2027-12-24 2028-11-24 2028-12-24".split()
 
+#: First and last year of the fixed values.
+CALENDAR_YEARS = (2025, 2028)
+
 
 def exchange_time(utc) -> Column:
     return F.from_utc_timestamp(col(utc), "America/New_York")
@@ -51,8 +54,16 @@ def reconcile_status(local, trade_date) -> Column:
     return F.when(on & d.isNull(), "unknown").when(on & (d < F.to_date(t)), "holiday_or_stale").otherwise(korea_status(t))
 
 
-def project_sessions(df: DataFrame, start: str, sessions: str, out: str = "session_date", most: int = 800) -> DataFrame:
-    """The date ``sessions`` trading days after ``start``: expands a bounded run of days, drops
-    weekends and holidays, takes the n-th."""
-    days = F.filter(F.sequence(F.date_add(F.col(start), 1), F.date_add(F.col(start), most)), lambda d: is_trading_day(d))
-    return df.withColumn(out, F.get(days, F.col(sessions) - 1))
+def project_sessions(df: DataFrame, start: str, sessions: str, out: str = "session_date") -> DataFrame:
+    """The date ``sessions`` trading days after ``start``, and ``calendar_status``.
+
+    Of any two weeks and more, half the days at least are trading days, so twice the sessions and two weeks are looked
+    at. Holidays are known for the calendar's years only; a projection that starts or ends outside them is NULL with the
+    status ``outside_calendar``.
+    """
+    reach = F.date_add(F.col(start), (F.col(sessions) * 2 + 14).cast("int"))
+    days = F.filter(F.sequence(F.date_add(F.col(start), 1), reach), lambda d: is_trading_day(d))
+    found = F.get(days, (F.col(sessions) - 1).cast("int"))
+    first, last = (F.lit(f"{y}-{d}").cast("date") for y, d in ((CALENDAR_YEARS[0], "01-01"), (CALENDAR_YEARS[1], "12-31")))
+    inside = (F.col(start) >= first) & (found <= last)
+    return df.withColumn(out, F.when(inside, found)).withColumn("calendar_status", F.when(F.col(out).isNotNull(), "known").otherwise("outside_calendar"))

@@ -69,8 +69,14 @@ def find_all(text, sub: str | Column) -> Column:
     sub_c = F.lit(sub) if isinstance(sub, str) else sub
     quoted = F.concat(F.lit("\\Q"), sub_c, F.lit("\\E"))
     parts = F.split(col(text), quoted)
-    before = lambda k: F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * F.length(sub_c)
-    return F.when(F.size(parts) < 2, F.expr("cast(array() as array<int>)")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), before))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("found"))
+
+    def step(s: Column, part: Column) -> Column:
+        """``at`` is where the next part starts; an occurrence ends there, but for the first."""
+        here = s["at"] + F.length(part)
+        return F.struct((here + F.length(sub_c)).alias("at"), F.concat(s["found"], F.array(here)).alias("found"))
+
+    return F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["found"]
 
 
 def _any(text: Column, words: list[str]) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barline.session import written
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, place: str = "place") -> DataFrame:
     """First k rows per key. Spark cuts each partition to k rows per key before the shuffle, so a
@@ -38,7 +40,7 @@ def in_both(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
     """k rows spread evenly over the sorted rows, first and last included.
 
-    Positions come from a range sort and per-partition counts; no task sees all rows.
+    Positions come from ranges of rows and their counts; no task sees all rows.
     """
     ranked = positions(df, order)
     n = F.broadcast(df.agg(F.count(F.lit(1)).alias("_n")))
@@ -48,17 +50,15 @@ def evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
     return ranked.join(F.broadcast(want), "pos")
 
 
-def positions(df: DataFrame, order: str, slices: int = 512) -> DataFrame:
-    """0-based position ``pos`` of each row in the global order of a unique numeric column.
+def positions(df: DataFrame, order: str) -> DataFrame:
+    """0-based position ``pos`` of each row in the global order of a column.
 
-    The value range is cut into equal slices; a row's position is its rank within the slice plus
-    the rows in the slices before. Only the slice counts (at most ``slices`` rows) meet in one task.
+    Rows are dealt out by ranges of the column, found by sampling, and sorted and numbered in place; the rows of the
+    ranges before are added. The numbered rows are written, so that the counts belong to the same ranges; only those
+    counts, one for each range, meet in one task. Equal values lie in one range, in any order.
     """
-    span = F.broadcast(df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")))
-    width = (F.col("_hi") - F.col("_lo") + 1) / slices
-    placed = df.crossJoin(span).withColumn("_p", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_lo", "_hi")
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    numbered = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    placed = written(numbered, "positions").withColumns({"_p": F.shiftright("_id", 33), "_r": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return placed.withColumn("_r", local).join(F.broadcast(offsets), "_p").withColumn("pos", F.col("_r") + F.col("_off")).drop("_p", "_r", "_off")
+    offsets = placed.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return placed.join(F.broadcast(offsets), "_p").withColumn("pos", F.col("_r") + F.col("_off")).drop("_p", "_r", "_off", "_id")

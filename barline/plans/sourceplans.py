@@ -165,13 +165,13 @@ def _sessions(m):
     return d.select("event_id", C.session("u").alias("session"), C.korea_status("k").alias("kr_status"), C.reconcile_status("k", "traded").alias("reconciled"), F.date_format("k", "yyyy-MM-dd HH:mm:ss").alias("kr_time"))
 
 
-@query("projected_sessions", "", f"""WITH days AS (SELECT d, row_number() OVER (ORDER BY d) AS r FROM (SELECT CAST(unnest(generate_series(DATE '2026-01-01', DATE '2028-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) < 6 AND strftime(d, '%Y-%m-%d') NOT IN ({_hol}))
-  SELECT o_orderkey, CAST(t.d AS VARCHAR) AS session_date FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 10957 AS s, o_custkey % 200 + 1 AS k FROM orders WHERE CAST(o_orderdate AS DATE) + 10957 BETWEEN DATE '2026-01-01' AND DATE '2027-12-31') o
-  JOIN days t ON t.r = (SELECT count(*) FROM days x WHERE x.d <= o.s) + o.k""")
+@query("projected_sessions", "", f"""WITH days AS (SELECT d, row_number() OVER (ORDER BY d) AS r FROM (SELECT CAST(unnest(generate_series(DATE '2025-01-01', DATE '2028-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) < 6 AND strftime(d, '%Y-%m-%d') NOT IN ({_hol})),
+  o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 10957 AS s, o_custkey % 200 + 1 AS k FROM orders), c AS (SELECT s, (SELECT count(*) FROM days x WHERE x.d <= o.s) AS before FROM (SELECT DISTINCT s FROM o) o)
+  SELECT o_orderkey, CAST(t.d AS VARCHAR) AS session_date, CASE WHEN t.d IS NULL THEN 'outside_calendar' ELSE 'known' END AS calendar_status FROM o JOIN c USING (s) LEFT JOIN days t ON t.r = c.before + o.k AND o.s >= DATE '2025-01-01'""")
 def _proj(m):
     s = F.date_add(F.col("o_orderdate").cast("date"), 10957)
-    d = m.table("orders").select("o_orderkey", s.alias("s"), (F.col("o_custkey") % 200 + 1).cast("int").alias("k")).filter("s between date '2026-01-01' and date '2027-12-31'")
-    return C.project_sessions(d, "s", "k").select("o_orderkey", F.col("session_date").cast("string").alias("session_date"))
+    d = m.table("orders").select("o_orderkey", s.alias("s"), (F.col("o_custkey") % 200 + 1).cast("int").alias("k"))
+    return C.project_sessions(d, "s", "k").select("o_orderkey", F.col("session_date").cast("string").alias("session_date"), "calendar_status")
 
 
 # -- portfolio checks -------------------------------------------------------------------------
