@@ -278,7 +278,7 @@ def test_matches_equal_brute_force(spark, monkeypatch, block):
 def test_licences_of_odd_rows_and_long_lines(spark):
     filler = [f"x{k % 997}" for k in range(20_000)]
     long = " ".join([*filler[:9000], "Licensed under the MIT License", *filler[9000:]])
-    rows = odd(spark).selectExpr("*", "concat('d/', cast(doc_id as string)) as path", "'x' as w", "1 as best")
+    rows = odd(spark).selectExpr("*", "concat('d/', cast(doc_id as string)) as path", "1 as best")
     more = spark.createDataFrame([(900, long, "long/LICENSE"), (901, "nothing", "long/a.txt"), (902, long + "\nLicensed under the MIT License", "other/b")], "doc_id bigint, text string, path string")
     out = licences.scan(rows.unionByName(more, allowMissingColumns=True))
     got = {r.doc_id: r for r in out.collect()}
