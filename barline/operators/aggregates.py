@@ -83,6 +83,23 @@ def fear_signal(vix) -> Column:
     return F.when(v >= 30, "extreme_fear").when(v >= 20, "fear").when(v <= 13, "complacency").when(v.isNotNull(), "normal")
 
 
+def core_summary(rows: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per briefing: moods, fear signal, state of the index data, and counts of the news by impact.
+
+    ``rows`` has the keys, ``kind, name, direction, available, value, as_of, place``; ``items`` the keys and ``impact``.
+    The fear signal reads the first volatility index by ``place``; ``as_of`` is that of the first available index. A
+    briefing without news has zero counts.
+    """
+    index = (F.col("kind") == "index") & F.coalesce("available", F.lit(True))
+    vix = (F.col("kind") == "overnight") & F.contains("name", F.lit("VIX"))
+    first = lambda c, cond: F.min_by(F.when(cond, F.col(c)), F.when(cond, F.col("place")))
+    facts = rows.groupBy(*keys).agg(first("value", vix).alias("_vix"), first("as_of", index).alias("as_of"), F.count_if(F.col("kind") == "index").alias("expected_indices"), F.count_if(F.col("kind") == "overnight").alias("overnight_markets"))
+    n = lambda v: F.count_if(F.col("impact") == v).alias(f"{v}_news")
+    counts = items.groupBy(*keys).agg(n("positive"), n("negative"), n("neutral"))
+    d = market_moods(rows, keys).join(facts, keys).join(counts, keys, "left").fillna(0, ["positive_news", "negative_news", "neutral_news"])
+    return d.withColumn("vix_signal", fear_signal("_vix")).drop("_vix")
+
+
 def advance_decline(moves: DataFrame, keys: list[str]) -> DataFrame:
     up, down = F.count_if(F.col("ret") > 0), F.count_if(F.col("ret") < 0)
     return moves.groupBy(*keys).agg(up.alias("advances"), down.alias("declines"), (up / F.nullif(down, F.lit(0))).alias("ad_ratio"))

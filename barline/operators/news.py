@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from barline.operators.rank import first_per, top_k
 from barline.functions import text as T
 from barline.functions.numeric import half_even
 
@@ -59,3 +60,26 @@ def recent_disclosures(items: DataFrame, as_of, days: int = 90, keep: int = 5, k
     d = items.filter((F.col("published") >= as_of - F.expr(f"interval {days} days")) & F.col("title").isNotNull())
     w = Window.partitionBy("symbol").orderBy(F.desc("published"), "news_id")
     return d.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).withColumn("source_type", F.lit(kind))
+
+
+def with_latest(stocks: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """``stocks`` with ``news_count`` and the latest item's ``latest_at, latest_title, latest_impact``.
+
+    ``items`` has the keys, ``published, title, impact, news_id``; of items of one moment the first id stands. One
+    aggregate, combined before the shuffle; stocks without items stay.
+    """
+    newest = F.struct(F.unix_micros("published").alias("at"), (-F.col("news_id")).alias("id"))
+    latest = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("news_count"), F.max_by(F.struct("published", "title", "impact"), newest).alias("_n"))
+    d = stocks.join(latest, keys, "left").fillna(0, ["news_count"])
+    return d.withColumns({"latest_at": F.col("_n.published"), "latest_title": F.col("_n.title"), "latest_impact": F.col("_n.impact")}).drop("_n")
+
+
+def sector_headlines(items: DataFrame, keep: int = 5) -> DataFrame:
+    """Per sector the latest ``keep`` headlines, each title once (that of the smallest symbol, then id).
+
+    ``items`` has ``sector, symbol, news_id, published, title, impact``. A sector is never gathered: titles combine
+    before the shuffle, and each task passes on ``keep`` rows per sector.
+    """
+    named = items.withColumn("sector", F.coalesce("sector", F.lit("OTHER")))
+    once = first_per(named, ["sector", "title"], ["symbol", "news_id"])
+    return top_k(once, ["sector"], [F.desc("published"), F.asc("news_id")], keep)

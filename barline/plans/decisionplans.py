@@ -8,7 +8,7 @@ from barline.operators import aggregates as A, backtest as B, decisions as D, ne
 from barline.operators.scan import end_values
 from barline.plans.indicators import over
 from barline.plans.markets import last_changes, overnight
-from barline.plans.newsplans import impact_sql, sentiments
+from barline.plans.newsplans import impact_sql, sentiments, stock_news
 from barline.plans.registry import cte, he, q, query
 from barline.session import written
 from barline.plans.scanning import _HEALTH, _VOLREG, cl, levels_sql, the_scan
@@ -152,6 +152,35 @@ def _report(m):
     return d.select("recommendation", "stocks", "news_24h", F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest_news"))
 
 
+@query("stock_report_rows", "reco snews latest", f"""SELECT symbol, rec AS recommendation, CAST(k AS BIGINT) AS news_count, CAST(seen AS VARCHAR) AS latest_at, title AS latest_title, impact AS latest_impact, outcome, predicted, actual, {q('pct')} AS actual_change_pct FROM (
+  SELECT r.symbol, r.rec, coalesce(k, 0) AS k, t.published AS seen, t.title, t.impact, l.change_pct AS pct, CASE WHEN l.change_pct IS NULL THEN 'n/a' ELSE {_OUT.replace('pct', 'l.change_pct')} END AS outcome,
+    CASE WHEN rec IN ('strong_buy', 'buy') THEN 'up' WHEN rec IN ('sell', 'strong_sell') THEN 'down' ELSE 'flat' END AS predicted, CASE WHEN l.change_pct > 0.3 THEN 'up' WHEN l.change_pct < -0.3 THEN 'down' ELSE 'flat' END AS actual
+  FROM reco r LEFT JOIN latest l USING (symbol) LEFT JOIN (SELECT symbol, count(*) AS k FROM snews WHERE published >= TIMESTAMP '2024-01-30 00:00:00' AND published < TIMESTAMP '2024-01-31 00:00:00' GROUP BY symbol) c USING (symbol)
+  LEFT JOIN (SELECT * FROM snews WHERE published >= TIMESTAMP '2024-01-30 00:00:00' AND published < TIMESTAMP '2024-01-31 00:00:00' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY published DESC, news_id) = 1) t USING (symbol))""")
+def _report_rows(m):
+    """Each stock's recommendation, its news of the last day, and how the day turned out. Groups are not gathered."""
+    at = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    items = N.recent(stock_news(m).filter(F.col("published") < at), "published", at)
+    d = N.with_latest(recommended(m).select("symbol", "recommendation"), items, ["symbol"]).join(m.latest_moves.select("symbol", "change_pct"), "symbol", "left")
+    d = d.withColumns({"outcome": D.classify_outcome("recommendation", "change_pct"), "predicted": D.predicted_direction("recommendation"), "actual": D.actual_direction("change_pct")})
+    return d.select("symbol", "recommendation", "news_count", F.date_format("latest_at", "yyyy-MM-dd HH:mm:ss").alias("latest_at"), "latest_title", "latest_impact", "outcome", "predicted", "actual", report("change_pct").alias("actual_change_pct"))
+
+
+_briefing = "SELECT cluster, symbol, close, bar_date, volume >= 10 AS avail, CASE WHEN sleeve IN ('CORE', 'ETF') THEN 'index' ELSE 'overnight' END AS kind, CASE sleeve WHEN 'HIGH_RISK' THEN 'VIX' WHEN 'HEDGE' THEN CASE WHEN change_pct > 1 THEN '다우' ELSE 'S&P 500' END ELSE name END AS nm, CASE direction WHEN 'up' THEN 1.0 WHEN 'down' THEN -1.0 ELSE 0.0 END AS sc FROM latest"
+_feel = lambda x: f"CASE WHEN {x} > 0.3 THEN 'positive' WHEN {x} < -0.3 THEN 'negative' ELSE 'neutral' END"
+
+
+@query("core_summary", "latest snews", f"""SELECT cluster, {_feel('a')} AS market_mood, {_feel('b')} AS kr_mood, {_feel('c')} AS us_mood, k AS available_indices, e AS expected_indices, o AS overnight_markets, CAST(as_of AS VARCHAR) AS as_of,
+  CASE WHEN v >= 30 THEN 'extreme_fear' WHEN v >= 20 THEN 'fear' WHEN v <= 13 THEN 'complacency' WHEN v IS NOT NULL THEN 'normal' END AS vix_signal, coalesce(p, 0) AS positive_news, coalesce(g, 0) AS negative_news, coalesce(z, 0) AS neutral_news FROM (
+  SELECT cluster, avg(CASE WHEN kind = 'index' AND avail THEN sc WHEN nm = 'S&P 500' AND kind = 'overnight' THEN 1.5 * sc END) AS a, avg(CASE WHEN kind = 'index' AND avail THEN sc END) AS b, avg(CASE WHEN kind = 'overnight' AND nm <> 'VIX' THEN sc END) AS c,
+    count(*) FILTER (kind = 'index' AND avail) AS k, count(*) FILTER (kind = 'index') AS e, count(*) FILTER (kind = 'overnight') AS o, min_by(close, symbol) FILTER (kind = 'overnight' AND nm = 'VIX') AS v, min_by(bar_date, symbol) FILTER (kind = 'index' AND avail) AS as_of FROM ({_briefing}) GROUP BY cluster)
+  LEFT JOIN (SELECT cluster, count(*) FILTER (impact = 'positive') AS p, count(*) FILTER (impact = 'negative') AS g, count(*) FILTER (impact = 'neutral') AS z FROM snews GROUP BY cluster) USING (cluster)""")
+def _core(m):
+    nm = F.when(F.col("sleeve") == "HIGH_RISK", "VIX").when(F.col("sleeve") == "HEDGE", F.when(F.col("change_pct") > 1, "다우").otherwise("S&P 500")).otherwise(F.col("name"))
+    rows = m.latest_moves.select("cluster", nm.alias("name"), F.when(F.col("sleeve").isin("CORE", "ETF"), "index").otherwise("overnight").alias("kind"), "direction", (F.col("volume") >= 10).alias("available"), F.col("close").alias("value"), F.col("bar_date").alias("as_of"), F.col("symbol").alias("place"))
+    return A.core_summary(rows, stock_news(m).select("cluster", "impact"), ["cluster"]).withColumn("as_of", F.col("as_of").cast("string"))
+
+
 # -- composite, cross reference, confidence ---------------------------------------------------
 
 _TREND = "greatest(-1.0, least(1.0, CASE WHEN close > ma20 THEN 0.25 ELSE -0.15 END + CASE WHEN close > ma60 THEN 0.25 ELSE -0.15 END + CASE WHEN macd > sig THEN 0.20 ELSE -0.10 END + CASE WHEN rsi >= 45 AND rsi <= 65 THEN 0.15 WHEN rsi > 75 THEN -0.20 WHEN rsi < 35 THEN 0.05 ELSE 0.0 END + CASE WHEN coalesce(adx, 20) >= 25 THEN 0.15 ELSE 0.0 END))::DOUBLE"

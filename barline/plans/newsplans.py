@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from barline.functions import text as T
 from barline.functions.numeric import report
 from barline.operators import news as N
+from barline.plans.markets import overnight
 from barline.plans.registry import cte, he, q, query
 from barline.sources.market import HEADLINES, SOURCES, news
 
@@ -151,4 +152,30 @@ def _subs(m):
     return d.select("doc_id", F.size("at").cast("long").alias("occurrences"), F.coalesce(F.get("at", F.lit(0)), F.lit(-1)).cast("long").alias("first_at"))
 
 
+# -- briefings --------------------------------------------------------------------------------
+
+cte("snews", "news latest", f"SELECT n.news_id, n.symbol, date_trunc('second', n.published) AS published, n.title, l.sector, l.cluster, {impact_sql('stock')} AS impact FROM news n JOIN latest l USING (symbol)")
+
+
+def stock_news(m):
+    """News items of listed symbols, to the second, with sector and cluster."""
+    d = news(m).select("news_id", "symbol", F.date_trunc("second", "published").alias("published"), "title").withColumn("impact", T.impact("title"))
+    return d.join(m.universe.select("symbol", "sector", "cluster"), "symbol").join(m.latest_moves.select("symbol"), "symbol", "left_semi")
+
+
+@query("sector_headlines", "snews", """SELECT sector, CAST(place AS BIGINT) AS place, symbol, news_id, title, impact, CAST(published AS VARCHAR) AS published FROM (
+  SELECT *, row_number() OVER (PARTITION BY sector ORDER BY published DESC, news_id) AS place FROM (SELECT * FROM snews QUALIFY row_number() OVER (PARTITION BY sector, title ORDER BY symbol, news_id) = 1)) WHERE place <= 5""")
+def _heads(m):
+    d = N.sector_headlines(stock_news(m))
+    return d.select("sector", F.col("place").cast("long").alias("place"), "symbol", "news_id", "title", "impact", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+@query("sector_entries", "latest night snews", f"""SELECT l.sector, l.symbol, l.name, l.direction, {q('l.change_pct')} AS change_pct, o.overnight, CAST(coalesce(k, 0) AS BIGINT) AS news_count, t.title AS latest_title, t.impact AS latest_impact
+  FROM latest l JOIN night o USING (symbol) LEFT JOIN (SELECT symbol, count(*) AS k FROM snews GROUP BY symbol) c USING (symbol) LEFT JOIN (SELECT * FROM snews QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY published DESC, news_id) = 1) t USING (symbol)""")
+def _entries(m):
+    stocks = m.latest_moves.select("sector", "symbol", "name", "direction", "change_pct").join(overnight(m).select("symbol", "overnight"), "symbol")
+    d = N.with_latest(stocks, stock_news(m), ["symbol"])
+    return d.select("sector", "symbol", "name", "direction", report("change_pct").alias("change_pct"), "overnight", "news_count", "latest_title", "latest_impact")
+
+
 _ = he
