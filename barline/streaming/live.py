@@ -8,6 +8,7 @@ running summary and the ledger. State is kept per key and dropped behind the wat
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from barline.functions.calendar import session
 from barline.sources.readers import _SIZES
@@ -133,27 +134,53 @@ LEDGER = T.StructType([T.StructField("position_id", T.LongType()), T.StructField
 _STATE = T.StructType([f for f in LEDGER.fields if f.name != "position_id"])
 
 
-def live_ledger(events: DataFrame) -> DataFrame:
+class _Position(StatefulProcessor):
+    """One position's state; a closed one is forgotten by an event-time timer."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.position = handle.getValueState("position", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        entry, stop, last, close, status, n = self.position.get() if self.position.exists() else (None, None, None, None, "NONE", 0)
+        events = pd.concat(list(rows)).sort_values(["at", "seq"])
+        for at, kind, value in events[["at", "kind", "value"]].itertuples(index=False):
+            if status == "NONE" and kind == "open":
+                entry, last, status = value, value, "OPEN"
+            elif status == "OPEN" and kind == "stop":
+                stop = value if stop is None else max(stop, value)
+            elif status == "OPEN" and kind == "price":
+                last, n = value, n + 1
+            elif status == "OPEN" and kind == "close":
+                close, status = value, "CLOSED"
+                self.handle.registerTimer(int(pd.Timestamp(at).timestamp() * 1000) + self.keep_ms)
+        if status != "NONE":  # what was never opened leaves no state
+            self.position.update((entry, stop, last, close, status, n))
+            yield pd.DataFrame([(key[0], entry, stop, last, close, status, n)], columns=LEDGER.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        self.position.clear()
+        yield pd.DataFrame(columns=LEDGER.names)
+
+    def close(self) -> None:
+        pass
+
+
+def live_ledger(events: DataFrame, delay: str = DELAY, keep_days: float = 365) -> DataFrame:
     """The ledger on a stream: per position the state after each batch of events, in update mode.
-    Events of one position must arrive in order, as from one partition of a log."""
-    import pandas as pd
-
-    def step(key, batches, state):
-        entry, stop, last, close, status, n = state.get if state.exists else (None, None, None, None, "NONE", 0)
-        for pdf in batches:
-            for kind, value in pdf.sort_values(["at", "seq"])[["kind", "value"]].itertuples(index=False):
-                if status == "NONE" and kind == "open":
-                    entry, last, status = value, value, "OPEN"
-                elif status == "OPEN" and kind == "stop":
-                    stop = value if stop is None else max(stop, value)
-                elif status == "OPEN" and kind == "price":
-                    last, n = value, n + 1
-                elif status == "OPEN" and kind == "close":
-                    close, status = value, "CLOSED"
-        state.update((entry, stop, last, close, status, n))
-        yield pd.DataFrame([(key[0], entry, stop, last, close, status, n)], columns=LEDGER.names)
-
-    return events.groupBy("position_id").applyInPandasWithState(step, LEDGER, _STATE, "update", "NoTimeout")
+
+    Events of one position must arrive in order, as from one partition of a log. A position's state goes ``keep_days`` of
+    event time after its close; events of the same id after that would open a new one. Needs the RocksDB state store.
+    """
+    processor = _Position(int(keep_days * 86_400_000))
+    return events.withWatermark("at", delay).groupBy("position_id").transformWithStateInPandas(processor, LEDGER, "Update", "EventTime")
 
 
 def ledger_events(t: DataFrame) -> DataFrame:

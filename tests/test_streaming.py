@@ -88,6 +88,17 @@ def test_ledger_twin(spark, feed):
             assert g[c] == r[c] or (g[c] != g[c] and r[c] != r[c])
 
 
+def test_closed_positions_leave_the_state(spark, feed):
+    left = {}
+    for days in (1, 365):
+        df = L.live_ledger(L.ledger_events(L.tick_stream(spark, feed)), keep_days=days)
+        q = df.writeStream.outputMode("update").format("memory").queryName(f"s_ledger_{days}").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        left[days] = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert spark.table("s_ledger_365").where("status = 'CLOSED'").count() > 0
+    assert left[1] < left[365]
+
+
 def test_running_summary_updates(spark, feed):
     done = batch(spark, feed).select(F.when(F.col("event_type") == "error", "unobservable").otherwise("completed").alias("status"), F.lit("m30").alias("checkpoint"), F.col("price").alias("return_pct"), "quote_ts")
     live = L.tick_stream(spark, feed).select(F.when(F.col("event_type") == "error", "unobservable").otherwise("completed").alias("status"), F.lit("m30").alias("checkpoint"), F.col("price").alias("return_pct"))
