@@ -2,7 +2,7 @@
 
 import hashlib
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from barline.functions.numeric import report
 from barline.operators import decisions as D, patterns as P
@@ -68,6 +68,17 @@ def _rev(m):
     return shown(d)
 
 
+@query("interval_overlap", "reversals", f"""SELECT symbol, {_name} AS pattern, i0 AS start_idx, iend AS end_idx, {q('CASE WHEN p0 IS NULL THEN NULL ELSE greatest(0, least(iend, p1) - greatest(i0, p0) + 1) / (greatest(iend, p1) - least(i0, p0) + 1) END')} AS overlap FROM (
+  SELECT *, lag(i0) OVER w AS p0, lag(iend) OVER w AS p1 FROM reversals WINDOW w AS (PARTITION BY symbol ORDER BY i0, iend, {_name}))""")
+def _overlap(m):
+    """Of each reversal the shared part of its bars and those of the one before it; a symbol has a few dozen at most."""
+    d = P.chart_patterns(m.bars, O, False, keeper(m)).filter("family in ('head_shoulders', 'double_reversal', 'triple_reversal') and target is not null")
+    w = Window.partitionBy("symbol").orderBy("start_idx", "end_idx", "pattern")
+    d = d.select("symbol", "pattern", "start_idx", "end_idx", F.lag("start_idx").over(w).alias("p0"), F.lag("end_idx").over(w).alias("p1"))
+    share = F.when(F.col("p0").isNotNull(), P.overlap(F.col("start_idx"), F.col("end_idx"), F.col("p0"), F.col("p1")))
+    return d.select("symbol", "pattern", F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), report(share).alias("overlap"))
+
+
 def shown(d):
     return d.select("symbol", "pattern", "status", report("score", 1).alias("score"), F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), report("neckline").alias("neckline"),
                     F.col("breakout_idx").cast("double").alias("breakout_idx"), report("invalidation").alias("invalidation"), report("target").alias("target"))
