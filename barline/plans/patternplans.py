@@ -89,10 +89,13 @@ cte("consol", "pbar", """SELECT *, CASE WHEN mv > 0 THEN 1 ELSE -1 END AS sg, gr
   FROM pbar WHERE idx >= n - 16 GROUP BY symbol, n)""")
 
 
-@query("consolidation_patterns", "consol", f"""SELECT symbol, CASE WHEN sg = 1 THEN 'bullish_consolidation' ELSE 'bearish_consolidation' END AS pattern, CASE WHEN bad THEN 'invalidated' WHEN ok THEN 'confirmed' ELSE 'awaiting_breakout' END AS status, {q('CASE WHEN ok THEN greatest(82.0, raw) ELSE raw END', 1)} AS score, n - 16 AS start_idx, n - 1 AS end_idx, {q('bd')} AS neckline,
-  CAST(CASE WHEN ok THEN n - 1 END AS DOUBLE) AS breakout_idx, {q('inv')} AS invalidation, {q('bd + sg * abs(mv)')} AS target FROM (SELECT *, sg * cl > sg * bd + al * 0.15 AS ok, NOT (sg * cl > sg * bd + al * 0.15) AND sg * cl < sg * inv AS bad,
+cte("consol1", "consol", f"""SELECT *, sg * cl > sg * bd + al * 0.15 AS ok, NOT (sg * cl > sg * bd + al * 0.15) AND sg * cl < sg * inv AS bad,
   {he(f"100.0 * (0.30 + 0.30 * {_unit('1 - (rh - rl) / (a * 4)')} + 0.15 * 0.8 + 0.10 * CASE WHEN sg * cl > sg * bd + al * 0.15 AND vl IS NOT NULL THEN {_unit('vl / 1.5')} ELSE 0.5 END + 0.15 * {_unit('1 - abs(bd - cl) / a')})", 1)} AS raw FROM (
-  SELECT *, CASE WHEN sg = 1 THEN rh ELSE rl END AS bd, CASE WHEN sg = 1 THEN rl - a * 0.25 ELSE rh + a * 0.25 END AS inv FROM consol WHERE abs(mv) >= greatest(a * 2, abs(cs) * 0.03) AND rh - rl <= a * 4 AND sg * sh <= a * 0.3 AND sg * sl <= a * 0.3))""")
+  SELECT *, CASE WHEN sg = 1 THEN rh ELSE rl END AS bd, CASE WHEN sg = 1 THEN rl - a * 0.25 ELSE rh + a * 0.25 END AS inv FROM consol WHERE abs(mv) >= greatest(a * 2, abs(cs) * 0.03) AND rh - rl <= a * 4 AND sg * sh <= a * 0.3 AND sg * sl <= a * 0.3)""")
+
+
+@query("consolidation_patterns", "consol1", f"""SELECT symbol, CASE WHEN sg = 1 THEN 'bullish_consolidation' ELSE 'bearish_consolidation' END AS pattern, CASE WHEN bad THEN 'invalidated' WHEN ok THEN 'confirmed' ELSE 'awaiting_breakout' END AS status, {q('CASE WHEN ok THEN greatest(82.0, raw) ELSE raw END', 1)} AS score, n - 16 AS start_idx, n - 1 AS end_idx, {q('bd')} AS neckline,
+  CAST(CASE WHEN ok THEN n - 1 END AS DOUBLE) AS breakout_idx, {q('inv')} AS invalidation, {q('bd + sg * abs(mv)')} AS target FROM consol1""")
 def _cons(m):
     return shown(P.chart_patterns(m.bars, O, False, keeper(m)).filter("family = 'continuation_consolidation'"))
 
@@ -122,19 +125,58 @@ def _tri(m):
     return shown(P.chart_patterns(m.bars, O, False, keeper(m)).filter("family = 'triangle_wedge'"))
 
 
-@query("chart_patterns")
+_dir = "CASE WHEN side = 0 THEN 'bullish' ELSE 'bearish' END"
+_hs = "CASE WHEN side = 0 THEN 'inverse_head_shoulders' ELSE 'head_shoulders_top' END"
+_score = lambda size: he(f"100.0 * (0.30 * {size} / 5.0 + 0.30 * 0.65 + 0.15 * 0.65 + 0.10 * 0.5)", 1)
+_form = lambda size, base: f"""SELECT symbol, n, side, i, {size} AS np, {base} + 100 * side + i AS ord, i0, i{size - 1} AS iend, p0, a{size - 1} AS av, {_score(size)} AS score, [{', '.join(f'i{k}' for k in range(size))}] AS ats, {'side' if size == 4 else '1 - side'} AS next_side
+  FROM seqs WHERE CASE WHEN side = 0 THEN p2 < p0 ELSE p2 > p0 END AND i{size - 1} - i0 BETWEEN 12 AND 150"""
+cte("forming", "seqs", _form(4, 20) + "\nUNION ALL " + _form(3, 40))
+
+
+@query("forming_patterns", "forming", f"SELECT symbol, {_hs} AS pattern, CAST(np AS BIGINT) AS points, {q('score', 1)} AS score, CAST(i0 AS BIGINT) AS start_idx, CAST(iend AS BIGINT) AS end_idx, CAST(next_side AS BIGINT) AS next_side, {q('p0 - av * 0.75')} AS expected_low, {q('p0 + av * 0.75')} AS expected_high FROM forming")
+def _forming(m):
+    """Head-and-shoulders of three or four pivots, with the side and the price range of the pivot that they wait for."""
+    d = P.chart_patterns(m.bars, O, False, keeper(m)).filter("status = 'forming'")
+    return d.select("symbol", "pattern", F.col("n_points").cast("long").alias("points"), report("score", 1).alias("score"), *[F.col(c).cast("long").alias(c) for c in ("start_idx", "end_idx", "next_side")], report("expected_low").alias("expected_low"), report("expected_high").alias("expected_high"))
+
+
+_rank = "CASE status WHEN 'confirmed' THEN 4 WHEN 'awaiting_breakout' THEN 3 WHEN 'forming' THEN 2 WHEN 'invalidated' THEN 1 ELSE 0 END"
+cte("allpat", "reversals seqs forming tri6 consol1", f"""SELECT *, {_rank} AS srank FROM (
+  SELECT r.symbol, {_name.replace("kind", "r.kind").replace("side", "r.side")} AS pattern, CASE kind WHEN 'hs' THEN 'head_shoulders' ELSE kind || '_reversal' END AS family, {_dir.replace("side", "r.side")} AS direction, CASE kind WHEN 'hs' THEN 0 WHEN 'double' THEN 200 ELSE 400 END + 100 * r.side + r.i AS ord, status, score, r.i0 AS s, iend AS e, CASE kind WHEN 'double' THEN 3 ELSE 5 END AS np,
+  nk AS neck, CASE kind WHEN 'double' THEN [q.i0, i1, i2] ELSE [q.i0, i1, i2, i3, i4] END AS ats, target FROM reversals r JOIN seqs q ON q.symbol = r.symbol AND q.i = r.i
+  UNION ALL SELECT symbol, {_hs}, 'head_shoulders', {_dir}, ord, 'forming', score, i0, iend, np, NULL, ats, NULL FROM forming
+  UNION ALL SELECT symbol, kind, 'triangle_wedge', CASE sg WHEN 1 THEN 'bullish' WHEN -1 THEN 'bearish' ELSE 'neutral' END, CASE sg WHEN 1 THEN 600 WHEN -1 THEN 601 ELSE 602 END, CASE WHEN broken THEN 'invalidated' WHEN bo IS NOT NULL THEN 'confirmed' WHEN sg <> 0 AND n - 1 - en > 30 THEN 'expired' ELSE 'awaiting_breakout' END,
+  CASE WHEN bo IS NOT NULL THEN greatest(82.0, {he('raw0', 1)}) ELSE {he('raw0', 1)} END, s5, en, 5, nk, [s5], CASE WHEN sg <> 0 THEN nk + sg * wd END FROM (SELECT *, CASE WHEN kind <> 'symmetrical_triangle' THEN 1 ELSE row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN sg = 0 THEN 1 WHEN bo IS NULL THEN 2 ELSE 0 END, sg DESC) END AS pick FROM tri6) WHERE pick = 1
+  UNION ALL SELECT symbol, CASE WHEN sg = 1 THEN 'bullish_consolidation' ELSE 'bearish_consolidation' END, 'continuation_consolidation', CASE WHEN sg = 1 THEN 'bullish' ELSE 'bearish' END, CASE WHEN sg = 1 THEN 700 ELSE 800 END, CASE WHEN bad THEN 'invalidated' WHEN ok THEN 'confirmed' ELSE 'awaiting_breakout' END, CASE WHEN ok THEN greatest(82.0, raw) ELSE raw END, n - 16, n - 1, 4, bd, [n - 1], bd + sg * abs(mv) FROM consol1)""")
+# Like patterns: which earlier ones (by points, status and score) each is like, and a walk that keeps those like none kept before.
+cte("patk", "allpat", "SELECT *, row_number() OVER (PARTITION BY symbol, family, direction ORDER BY np DESC, srank DESC, score DESC, ord) AS k FROM allpat")
+cte("likes", "patk", """SELECT symbol, family, direction, k, any_value(pattern) AS pattern, coalesce(list(j) FILTER (list_has_all(eats, ats) AND NOT list_has_all(ats, eats) OR share >= 0.75 OR abs(e - ee) <= 8 AND (share >= 0.60 OR coalesce(neck <> 0 AND eneck <> 0 AND abs(neck - eneck) / greatest(abs(eneck), 1e-12) <= 0.015, FALSE))), []) AS js
+  FROM (SELECT c.*, x.k AS j, x.ats AS eats, x.e AS ee, x.neck AS eneck, greatest(0, least(c.e, x.e) - greatest(c.s, x.s) + 1) / (greatest(c.e, x.e) - least(c.s, x.s) + 1) AS share FROM patk c LEFT JOIN patk x ON x.symbol = c.symbol AND x.family = c.family AND x.direction = c.direction AND x.k < c.k) GROUP BY symbol, family, direction, k""")
+cte("greedy", "likes", """SELECT symbol, family, direction, k, [k] AS kept FROM likes WHERE k = 1
+  UNION ALL SELECT l.symbol, l.family, l.direction, l.k, CASE WHEN list_has_any(g.kept, l.js) THEN g.kept ELSE list_append(g.kept, l.k) END FROM greedy g JOIN likes l ON l.symbol = g.symbol AND l.family = g.family AND l.direction = g.direction AND l.k = g.k + 1""")
+cte("reps", "likes greedy", """SELECT l.symbol, l.family, l.direction, l.k, l.pattern, CASE WHEN list_contains(kept, k) THEN k ELSE list_min(list_intersect(kept, js)) END AS rep FROM likes l JOIN (SELECT symbol, family, direction, max_by(kept, k) AS kept FROM greedy GROUP BY ALL) g USING (symbol, family, direction)""")
+cte("uniq", "patk reps", """SELECT p.*, r.related FROM patk p JOIN (SELECT symbol, family, direction, rep AS k, count(DISTINCT pattern) FILTER (k <> rep) AS related FROM reps GROUP BY symbol, family, direction, rep) r USING (symbol, family, direction, k)""")
+
+
+@query("chart_patterns", "uniq", f"SELECT symbol, pattern, direction, status, {q('score', 1)} AS score, CAST(e AS BIGINT) AS end_idx, related FROM uniq")
 def _chart(m):
     d = P.chart_patterns(m.bars, O, True, keeper(m))
     return d.select("symbol", "pattern", "direction", "status", report("score", 1).alias("score"), F.col("end_idx").cast("long").alias("end_idx"), F.size("related").cast("long").alias("related"))
 
 
-@query("first_patterns")
+@query("first_patterns", "uniq", f"SELECT symbol, pattern, status, {q('score', 1)} AS score FROM uniq QUALIFY row_number() OVER (PARTITION BY symbol, pattern ORDER BY e DESC, srank DESC, score DESC, np DESC, ord) = 1")
 def _firstp(m):
     d = P.first_per_type(P.chart_patterns(m.bars, O, True, keeper(m)))
     return d.select("symbol", "pattern", "status", report("score", 1).alias("score"))
 
 
-@query("pattern_targets")
+cte("ptarget", "uniq plan tp", f"""SELECT symbol, level, count(*) AS matches, count(*) FILTER (status = 'confirmed' AND weight >= 0.70) AS raises FROM (
+  SELECT t.symbol, t.ord, t.status, t.weight, t.reach, min_by(l.level, (d, l.level)) AS level, min(d) AS dist FROM (SELECT u.symbol, u.ord, u.status, u.target, {he("score / 100.0 * CASE WHEN status = 'confirmed' THEN 1.0 ELSE 0.55 END", 3)} AS weight, greatest(abs(p.atr) * 0.75, abs(p.close) * 0.005) AS reach FROM uniq u JOIN plan p USING (symbol) WHERE u.direction = 'bullish' AND u.target > p.close) t
+  JOIN (SELECT symbol, profile || '-' || CAST(lvl AS VARCHAR) AS level, price FROM tp) l ON l.symbol = t.symbol, LATERAL (SELECT abs(l.price - t.target) AS d) GROUP BY t.symbol, t.ord, t.status, t.weight, t.reach) WHERE dist <= reach GROUP BY symbol, level""")
+
+
+@query("pattern_targets", "ptarget tp", f"""SELECT symbol, level, {q('price')} AS price, CASE WHEN raises > 0 THEN {q(he('least(97.0, cp + 2.0 * raises)', 1), 1)} ELSE {q('cp', 1)} END AS prob_pct, coalesce(matches, 0) AS matches, coalesce(matches, 0) > 0 AS pattern_confluence
+  FROM (SELECT symbol, profile || '-' || CAST(lvl AS VARCHAR) AS level, price, cp FROM tp) LEFT JOIN ptarget USING (symbol, level)""")
 def _targets(m):
     p = plan(m)
     levels = D.take_profit_levels(p).select("symbol", F.concat_ws("-", "profile", F.col("level").cast("string")).alias("level"), "price", F.col("hit_prob_pct").alias("prob_pct"))
