@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["indicators", "series", "scanning", "markets", "backtests", "newsplans", "decisionplans", "sourceplans", "liveplans", "patternplans"]
+SUBJECTS = ["indicators", "series", "scanning", "markets", "backtests", "newsplans", "decisionplans", "sourceplans", "liveplans", "patternplans", "timeframes"]
 
 
 def load():

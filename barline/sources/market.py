@@ -78,6 +78,16 @@ class Market:
     def bars(self) -> DataFrame:
         return stored(walk_bars(self.table("lineitem")), "bars", self.path, ["symbol"], ["symbol", "bar_idx"])
 
+    def timeframe_bars(self, freq: str) -> DataFrame:
+        """Bars of 5M to 1H of the ticks, or of 1W of the daily bars, each level from the one below it."""
+        from barline.sources.readers import build_bars, roll_up
+
+        if freq == "1D":
+            return self.bars
+        below = {"15M": "5M", "30M": "15M", "1H": "30M", "1W": "1D"}.get(freq)
+        d = build_bars(self.quotes, freq) if below is None else roll_up(self.timeframe_bars(below).withColumnRenamed("bar_date", "bar_ts"), freq)
+        return stored(indexed(d.withColumnRenamed("bar_ts", "bar_date")), f"bars_{freq.lower()}", self.path, ["symbol"], ["symbol", "bar_idx"])
+
     @cached_property
     def universe(self) -> DataFrame:
         s, n, r = self.table("supplier"), self.table("nation"), self.table("region")

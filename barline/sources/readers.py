@@ -56,6 +56,13 @@ def build_bars(ticks: DataFrame, freq: str, ts: str = "quote_ts", price: str = "
         F.min_by(price, first).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, first).alias("close"), F.sum(vol).alias("volume"))
 
 
+def roll_up(bars: DataFrame, freq: str, ts: str = "bar_ts") -> DataFrame:
+    """Bars of a timeframe whose buckets hold whole buckets of the bars given (5M, 15M, 30M, 1H; 1D, 1W)."""
+    d = bars.withColumn("_b", bucket_start(F.col(ts), freq))
+    return d.groupBy("symbol", F.col("_b").alias("bar_ts")).agg(
+        F.min_by("open", ts).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", ts).alias("close"), F.sum("volume").alias("volume"))
+
+
 def adjust_prices(raw: DataFrame) -> DataFrame:
     """Open to close scaled by adjusted close over close; volume is kept."""
     ratio = F.coalesce(F.col("adj_close") / F.nullif(F.col("close"), F.lit(0.0)), F.lit(1.0))
