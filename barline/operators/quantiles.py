@@ -6,53 +6,43 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _ACCURACY = 10000
 _MARGIN = 2.5 / _ACCURACY
-_SMALL = 50_000  # groups up to this size are ranked whole
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles per key, one row per key with columns ``<value>_<per cent>``.
 
-    A mergeable sketch brackets each quantile; rows below the bracket are only counted, and the
-    exact ranks are then taken among the distinct values inside it, about 0.05 % of a large
-    group. No task sees a whole group. NULLs are left out.
+    Edges from a mergeable sketch cut each group into slots, narrow ones around each quantile. The slots' exact counts
+    say which slot holds which rank, whatever the sketch's error; only the different values of these slots are ranked,
+    about 0.05 % of a large group for each quantile. No task sees a whole group. NULLs are left out.
     """
     g = [*keys, "_m"]
     items = F.array(*[F.struct(F.lit(n).alias("_m"), v.cast("double").alias("_v")) for n, v in values.items()])
     long = df.select(*keys, F.explode(items).alias("_s")).select(*keys, "_s.*").filter("_v is not null")
-    edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-_MARGIN, _MARGIN)]
-    sketch = long.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, _ACCURACY).alias("_e"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-    )
-    whole = F.col("_n") <= _SMALL
-    wants = [
-        F.struct(
-            F.lit(name(p)).alias("_p"), ((F.col("_n") - 1) * F.lit(p)).alias("_pos"),
-            F.when(whole, F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("_lo"),
-            F.when(whole, F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("_hi"),
-        )
-        for i, p in enumerate(probs)
-    ]
-    wanted = sketch.select(*g, F.explode(F.array(*wants)).alias("_w")).select(*g, "_w.*")
-    near = long.join(wanted, g) if g else long.crossJoin(wanted)
-    gp = [*g, "_p"]
-    # Rows below the bracket collapse to one NULL group, rows above it are dropped before the shuffle.
-    counts = near.filter(F.col("_v") <= F.col("_hi")).groupBy(
-        *gp, "_pos", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_x")
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*gp).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_x")))
-
-    pos = F.col("_pos")
-    picked = ranked.groupBy(*gp).agg(at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_b"), F.max(pos - F.floor(pos)).alias("_f"))
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
-    flat = picked.select(*keys, F.concat_ws("_", "_m", "_p").alias("_k"), value.alias("_q"))
-    outs = [f"{v}_{name(p)}" for v in values for p in probs]
-    aggs = [F.max(F.when(F.col("_k") == o, F.col("_q"))).alias(o) for o in outs]
-    return flat.groupBy(*keys).agg(*aggs)
+    at = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-_MARGIN, _MARGIN)})
+    edges = long.groupBy(*g).agg(F.percentile_approx("_v", at, _ACCURACY).alias("_e"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"e.{c}")) for c in g]
+    # a value's slot: how many edges are below it
+    slotted = long.alias("l").join(edges.alias("e"), same).select(*[F.col(f"l.{c}") for c in g], "_v", F.size(F.filter("_e", lambda e: e < F.col("_v"))).alias("_slot"))
+    counts = slotted.groupBy(*g, "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*g).orderBy("_slot")
+    held = counts.withColumns({"_to": F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(Window.partitionBy(*g))})
+    pos = {p: (F.col("_n") - 1) * F.lit(p) for p in probs}
+    ranks = F.array(*[F.struct(F.lit(name(p)).alias("_p"), end(x).cast("long").alias("_rank"), (x - F.floor(x)).alias("_f")) for p, x in pos.items() for end in (F.floor, F.ceil)])
+    inside = F.filter(ranks, lambda r: (F.col("_to") - F.col("_c") <= r["_rank"]) & (r["_rank"] < F.col("_to")))
+    wanted = held.select(*g, "_slot", (F.col("_to") - F.col("_c")).alias("_before"), inside.alias("_ranks")).filter(F.size("_ranks") > 0)
+    met = [F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}")) for c in [*g, "_slot"]]
+    near = slotted.alias("s").join(wanted.alias("w"), met).groupBy(*[F.col(f"s.{c}") for c in [*g, "_slot"]], "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"))
+    run = Window.partitionBy(*g, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = near.withColumn("_to", F.col("_before") + F.sum("_c").over(run))
+    hit = F.filter("_ranks", lambda r: (F.col("_to") - F.col("_c") <= r["_rank"]) & (r["_rank"] < F.col("_to")))
+    found = ranked.select(*g, "_v", F.explode(hit).alias("_r")).select(*g, "_v", "_r._p", "_r._f")
+
+    def quantile(v: str, p: float) -> Column:  # the values of the two ranks beside it, often one and the same
+        of = lambda c: F.when((F.col("_m") == v) & (F.col("_p") == name(p)), F.col(c))
+        low, high = F.min(of("_v")), F.max(of("_v"))
+        return (low + (high - low) * F.max(of("_f"))).alias(f"{v}_{name(p)}")
+
+    return found.groupBy(*keys).agg(*[quantile(v, p) for v in values for p in probs])
 
 
 def name(p: float) -> str:

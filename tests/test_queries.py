@@ -8,7 +8,7 @@ from tools.check import TABLES, canon
 
 from tables import SF
 
-SAMPLE = ["bars", "adx", "macd", "candles_two_bar", "snapshots", "candidate_scan", "sector_flow", "return_distribution", "event_distance", "zone_summary", "cross_validate", "news_sentiment", "position_ledger", "confirmed_pivots", "market_sessions"]
+SAMPLE = ["bars", "adx", "macd", "candles_two_bar", "snapshots", "candidate_scan", "sector_flow", "return_distribution", "event_distance", "zone_summary", "cross_validate", "news_sentiment", "position_ledger", "confirmed_pivots", "market_sessions", "chart_patterns", "chart_patterns_5m", "chart_patterns_1w", "pattern_targets"]
 
 
 @pytest.fixture(scope="module")

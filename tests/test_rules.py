@@ -113,6 +113,40 @@ def test_quantiles_of_large_skewed_group(spark):
         assert np.allclose([row.v_0, row.v_5, row["v_33_3333"], row.v_50, row.v_100], want, rtol=1e-12)
 
 
+def test_quantiles_of_a_hot_group(spark):
+    n = 10_000_000
+    d = spark.range(n).select(F.lit(1).alias("k"), ((F.col("id") * 2654435761) % n).cast("double").alias("v"))  # every number below n once
+    row = exact_quantiles(d, ["k"], {"v": F.col("v")}, [0.25, 0.5, 0.999]).first()
+    assert [row.v_25, row.v_50, row["v_99_9"]] == [pytest.approx((n - 1) * p, rel=1e-12) for p in (0.25, 0.5, 0.999)]
+
+
+def test_rolled_up_bars_equal_bars_of_the_ticks(spark):
+    t = F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7919) % 400_000)
+    ticks = spark.range(3000).select((F.col("id") % 3).alias("symbol"), t.alias("quote_ts"), ((F.col("id") * 37) % 101).cast("double").alias("price"), F.col("id").alias("event_id"))
+    bars = R.build_bars(ticks, "5M")
+    for freq in ("15M", "30M", "1H"):
+        bars = R.roll_up(bars, freq)
+        assert sorted(bars.collect()) == sorted(R.build_bars(ticks, freq).collect())
+
+
+def test_quantiles_of_small_groups_ties_and_nulls(spark):
+    import numpy as np
+
+    rows = [(k, v, w) for k in (1, 2, 3, 4, 10, 57, None) for v, w in [(float((i * 7919) % 5 if (k or 0) > 9 else i * i), None if k == 3 else float(i)) for i in range(k or 6)]]
+    probs = [0.0, 0.1, 0.25, 0.5, 2 / 3, 0.9, 1.0]
+    names = ["0", "10", "25", "50", "66_6667", "90", "100"]
+    d = spark.createDataFrame(rows, "k int, v double, w double")
+    got = {r.k: r for r in exact_quantiles(d, ["k"], {"v": F.col("v"), "w": F.col("w")}, probs).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for k, row in got.items():
+        for c, i in (("v", 1), ("w", 2)):
+            of = [r[i] for r in rows if r[0] == k and r[i] is not None]
+            want = np.quantile(of, probs) if of else [None] * len(probs)
+            assert [row[f"{c}_{n}"] for n in names] == [x if x is None else pytest.approx(x, rel=1e-12) for x in want]
+    all_of = exact_quantiles(d, [], {"v": F.col("v")}, [0.5]).first()
+    assert all_of.v_50 == np.quantile([r[1] for r in rows], 0.5)
+
+
 def test_screener_and_even_sample(spark):
     d = spark.createDataFrame([(i, float(i % 4) if i % 5 else None) for i in range(40)], "symbol long, v double")
     assert screener(d, "v").first().v == 3.0
