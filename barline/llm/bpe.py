@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.llm.store import slices, utf8
+from barline.llm.store import release, slices, utf8
 from barline.llm.words import WordTable, ragged
 
 _BITS = 20
@@ -205,10 +205,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
     def run(batches):
         table = _table(path)
-        for b in slices(batches, 5000, 4 << 20):
+        for b in slices(batches, 5000, 2 << 20):
             ids, ends = table(utf8(b.column(at)))
             offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=[*rest, out])
+            release()
 
     return docs.select(*rest).mapInArrow(run, schema)
 

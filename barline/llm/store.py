@@ -41,3 +41,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLI
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as bytes; a null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def release() -> None:
+    """What a Python worker has freed goes back to the system: workers live on from stage to stage beside their executor."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()

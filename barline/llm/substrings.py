@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from barline.llm.enhanced import DEPTH, repeat_groups, sort_suffixes
-from barline.llm.store import saved, slices, utf8
+from barline.llm.store import release, saved, slices, utf8
 from barline.llm.words import ragged
 
 WINDOW, PIECE = 50, 12
@@ -28,7 +28,7 @@ _PIECES = WINDOW - PIECE + 1
 #: A window has its anchor and this many more bytes on one side at least.
 _SIDE = (WINDOW - PIECE) // 2
 #: Bytes of text that a task indexes at once, and that one message to each bucket is made from.
-CHUNK, MESSAGE = 1 << 20, 8 << 20
+CHUNK, MESSAGE = 1 << 19, 8 << 20
 #: Bytes of text for each bucket: few in small inputs, more in large ones.
 LEAST_BUCKET, MOST_BUCKET = 2 << 20, 64 << 20
 #: The same for the buckets in which texts meet their spans.
@@ -127,13 +127,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _long(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Parts of a chunk that fit the place bits of ``contexts``; parts of one long text share WINDOW - 1 bytes."""
-    most = (1 << 24) - 64
-    if len(raw) <= most or len(ends) > 1:
+    """Parts of at most CHUNK bytes (the place bits of ``contexts`` hold more); parts of one long text share WINDOW - 1 bytes."""
+    if len(raw) <= CHUNK or len(ends) > 1:
         yield raw, ends, 0
         return
-    for s in range(0, max(1, len(raw) - WINDOW + 1), most - WINDOW + 1):
-        part = raw[s : s + most]
+    for s in range(0, max(1, len(raw) - WINDOW + 1), CHUNK - WINDOW + 1):
+        part = raw[s : s + CHUNK]
         yield part, np.array([len(part)]), s
 
 
@@ -141,22 +140,21 @@ def _messages(buckets: int, hot: np.ndarray):
     """Contexts packed for the bucket of their anchor."""
 
     def run(batches):
-        held: list[tuple] = []
+        held: list[tuple] = []  # texts, and of their contexts the places alone: written out they are some times as long
         size = 0
 
         def flush():
-            text, place, count, offset, h, keys, flat, sizes = [np.concatenate(c) for c in zip(*held)]
+            raw, at, place, count, offset, h, keys = [np.concatenate(c) for c in zip(*held)]
             held.clear()  # the parts are not needed beside the whole
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            bucket = (h % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort([h, bucket])
-            starts = np.cumsum(sizes) - sizes
             cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             numbers, blobs = [], []
             for s, e in zip(cut, [*cut[1:], len(order)]):
                 o = order[s:e]
-                body, _ = ragged(flat, starts[o], sizes[o])
+                body, _ = ragged(raw, at[o].astype(np.int64), count[o].astype(np.int64) + WINDOW - 1)
                 own, index = np.unique(keys[o], return_inverse=True)
-                blobs.append(_pack(own.astype("<i8"), index.astype("<u4"), place[o].astype("<u4"), count[o].astype("u1"), offset[o].astype("u1"), body))
+                blobs.append(_pack(own.astype("<i8"), index.astype("<u4"), place[o], count[o], offset[o], body))
                 numbers.append(int(bucket[o[0]]))
             return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
@@ -168,16 +166,16 @@ def _messages(buckets: int, hot: np.ndarray):
                     text, at, count, offset, h = text[cold], at[cold], count[cold], offset[cold], h[cold]
                 if not len(h):
                     continue
-                sizes = count + WINDOW - 1
-                flat, _ = ragged(part, at, sizes)
                 place = at + shift - (part_ends - np.diff(part_ends, prepend=0))[text]
-                held.append((text, place, count, offset, h, keys[text], flat, sizes))
+                held.append((part, (at + size).astype("<u4"), place.astype("<u4"), count.astype("u1"), offset.astype("u1"), h, keys[text]))
                 size += len(part)
-            if size >= MESSAGE:
-                yield flush()
-                size = 0
+                if size >= MESSAGE:
+                    yield flush()
+                    size = 0
+                    release()
         if held:
             yield flush()
+        release()
 
     return run
 
@@ -265,7 +263,10 @@ def _spans(buckets: int):
         place, count, offset, body = (np.concatenate([p[i] for p in parts]).astype(np.uint8 if i == 5 else np.int64) for i in (2, 3, 4, 5))
         edge = np.diff(np.pad(covered(keys, count, offset, body).astype(np.int8), ((0, 0), (1, 1))), axis=1)
         (i, s), (_, e) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-        return pa.Table.from_arrays(_packed_spans(keys[i], place[i] + s, e - s + WINDOW - 1, buckets), names=["bucket", "data"])
+        out = pa.Table.from_arrays(_packed_spans(keys[i], place[i] + s, e - s + WINDOW - 1, buckets), names=["bucket", "data"])
+        del parts, keys, place, count, offset, body, edge, i, s, e
+        release()
+        return out
 
     return run
 
