@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from barline.functions import scores as S
 from barline.functions.numeric import report
 from barline.operators import aggregates as A, indicators as ind, joins as J, rank as R
 from barline.operators.quantiles import exact_quantiles
@@ -377,4 +378,20 @@ def _expo(m):
     return c.unionByName(s).select("account", "cluster", "sector", report("exposure_pct").alias("exposure_pct"))
 
 
+_pen = lambda x, ramp, top: he(f"CASE WHEN {x} <= 0.8 THEN 0.0 WHEN {x} <= 1 THEN {ramp} * ({x} - 0.8) / 0.2 ELSE {ramp} + {top} * ({x} - 1) END", 2)
+
+
+@query("exposure_penalties", "pos", f"""SELECT account, sector, cluster, {q('s')} AS exposure_pct, {q('c')} AS super_exposure_pct, {_pen('s / 25.0', '20.0', '30.0')} AS cluster_penalty, {_pen('c / 40.0', '25.0', '40.0')} AS super_cluster_penalty FROM (
+  SELECT account, sector, cluster, sum(v) OVER (PARTITION BY account, sector) / sum(v) OVER (PARTITION BY account) * 100 AS s, sum(v) OVER (PARTITION BY account, cluster) / sum(v) OVER (PARTITION BY account) * 100 AS c FROM (SELECT account, sector, cluster, sum(value) AS v FROM pos WHERE status = 'OPEN' GROUP BY account, sector, cluster))""")
+def _expo_pen(m):
+    """What the shares of an account's sectors and clusters take off a candidate's score; limits 25 % and 40 %."""
+    held = A.with_position_figures(m.positions).filter("status = 'OPEN'").groupBy("account", "sector", "cluster").agg(F.sum("value").alias("v"))
+    total = held.groupBy("account").agg(F.sum("v").alias("total"))
+    share = lambda c, out: held.groupBy("account", c).agg(F.sum("v").alias("part")).join(total, "account").select("account", c, (F.col("part") / F.col("total") * 100).alias(out))
+    d = held.join(share("sector", "cluster_exposure_pct"), ["account", "sector"]).join(share("cluster", "super_cluster_exposure_pct"), ["account", "cluster"])
+    d = d.withColumns({"max_cluster_pct": F.lit(25.0), "max_super_cluster_pct": F.lit(40.0)})
+    taken = S.penalties()
+    return d.select("account", "sector", "cluster", report("cluster_exposure_pct").alias("exposure_pct"), report("super_cluster_exposure_pct").alias("super_exposure_pct"), *[taken[c].alias(c) for c in ("cluster_penalty", "super_cluster_penalty")])
+
+
 _ = (end_values, over)

@@ -7,6 +7,7 @@ from barline.functions.numeric import report
 from barline.operators import news as N
 from barline.plans.markets import overnight
 from barline.plans.registry import cte, he, q, query
+from barline.sources import readers as R
 from barline.sources.market import HEADLINES, SOURCES, news
 
 AS_OF = "2024-01-31 00:00:00"
@@ -139,6 +140,19 @@ def _times(m):
     return d.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("parsed"), F.when(F.col("at").isNotNull(), T.time_ago("at", "as_of")).alias("ago"))
 
 
+@query("dated_news", "", """SELECT event_id, strftime(p, '%Y-%m-%d %H:%M:%S') AS published, floor(CASE WHEN event_id % 7 = 0 THEN event_id % 50 + 0.5 ELSE greatest(0.0, (epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(p)) / 3.6e9) END * 1e4 + 0.500001) / 1e4 AS age_hours FROM (
+  SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 1 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) ELSE date_trunc('second', ts) END AS p FROM events)""")
+def _dated(m):
+    """News lines in JSON with the one or the other time field, or none; an age that a line brings stays."""
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id") % 5
+    line = F.to_json(F.struct(
+        F.col("user_id").cast("string").alias("symbol"), F.when(k == 0, F.unix_timestamp(ts).cast("double")).alias("published_ts"), F.when(k == 1, F.date_format(ts, "yyyy.MM.dd")).alias("date"),
+        F.when(k == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).alias("published"), F.when(k == 3, F.date_format(ts, "E, dd MMM yyyy HH:mm:ss 'GMT'")).alias("pubDate"), F.when(F.col("event_id") % 7 == 0, F.col("event_id") % 50 + 0.5).alias("age_hours")))
+    d = m.table("events").select("event_id", F.from_json(line, R.NEWS).alias("n")).select("event_id", "n.*")
+    d = R.dated_news(d, F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+    return d.select("event_id", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), report("age_hours").alias("age_hours"))
+
+
 @query("link_forms", "", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://n.example/article/' || CAST(page_id AS VARCHAR) || '/' || CAST(page_id * 7 AS VARCHAR) WHEN page_id % 3 = 1 THEN 'https://example.org/p/' || CAST(page_id AS VARCHAR) ELSE url END AS link FROM pages""")
 def _links(m):
     p = F.col("page_id")

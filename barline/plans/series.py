@@ -42,14 +42,14 @@ cte("hrange", "bars", """
 cte("hurst1", "hrange", """SELECT symbol, round_even(regr_slope(ln(rs), ln(size)) * 1e4, 0) / 1e4 AS hurst FROM (
   SELECT symbol, size, avg(CASE WHEN sd > 0 AND rng / sd > 0 THEN rng / sd END) AS rs, count(*) AS k FROM hrange GROUP BY symbol, size) WHERE rs IS NOT NULL AND k >= 2
   GROUP BY symbol HAVING count(*) >= 3""")
-_sizes = ", ".join(str(s) for s in hurst.chunk_sizes(1 << 16))
-cte("hrange2", "tr", f"""
+cte("hsize", "", "SELECT CAST(8 AS BIGINT) AS size UNION ALL SELECT greatest(size + 1, size * 3 // 2) FROM hsize WHERE size < 1000000")
+cte("hrange2", "tr hsize", """
   SELECT symbol, size, chunk, max(dev) - min(dev) AS rng, max(sd) AS sd FROM (
     SELECT *, sum(v - mean) OVER (PARTITION BY symbol, size, chunk ORDER BY pos ROWS UNBOUNDED PRECEDING) AS dev FROM (
       SELECT *, avg(v) OVER (PARTITION BY symbol, size, chunk) AS mean, stddev_pop(v) OVER (PARTITION BY symbol, size, chunk) AS sd
       FROM (SELECT b.symbol, s.size, b.pos // s.size AS chunk, b.pos, b.v FROM
               (SELECT symbol, idx - 1 AS pos, n - 1 AS k, ln(close / pc) AS v FROM tr WHERE n >= 50 AND pc IS NOT NULL) b,
-              (SELECT unnest([{_sizes}]) AS size) s
+              hsize s
             WHERE s.size <= b.k // 2 AND (b.pos // s.size + 1) * s.size <= b.k)))
   GROUP BY symbol, size, chunk""")
 cte("hurst2", "hrange2", """SELECT symbol, greatest(0.0, least(1.0, regr_slope(ln(rs), ln(size)))) AS hurst FROM (
