@@ -228,6 +228,22 @@ def _docs(m):
     return R.output_contract(D.buy_bands(p), D.take_profit_levels(p))
 
 
+_BANDS = "struct<bands:array<struct<band:string,price_range:array<double>,win_probability_pct:double>>>"
+_DOCUMENT = f"struct<buy_price:struct<current:double,aggressive:{_BANDS},recommended:{_BANDS}>,risk_scenarios:struct<tp_levels:array<struct<profile:string,level:int,price:double,hit_prob_pct:double>>>>"
+
+
+@query("document_rows", "bands2 tp", f"""SELECT symbol, family AS part, band AS name, {q('lo')} AS low, {q('hi')} AS high, {q('win_pct', 1)} AS prob_pct FROM bands2
+  UNION ALL SELECT symbol, 'tp', profile || '-' || CAST(lvl AS VARCHAR), {q('price')}, {q('price')}, {q('cp', 1)} FROM tp""")
+def _doc_rows(m):
+    """The documents read back: one row for each band and level in them."""
+    d = _docs(m).select("symbol", F.from_json("document", _DOCUMENT).alias("d"))
+    row = lambda part, label, low, high, prob: F.struct(part.alias("part"), label.alias("name"), low.alias("low"), high.alias("high"), prob.alias("prob_pct"))
+    bands = lambda f: F.transform(f"d.buy_price.{f}.bands", lambda b: row(F.lit(f), b["band"], b["price_range"][0], b["price_range"][1], b["win_probability_pct"]))
+    levels = F.transform("d.risk_scenarios.tp_levels", lambda t: row(F.lit("tp"), F.concat_ws("-", t["profile"], t["level"].cast("string")), t["price"], t["price"], t["hit_prob_pct"]))
+    d = d.select("symbol", F.explode(F.concat(bands("aggressive"), bands("recommended"), levels)).alias("r")).select("symbol", "r.*")
+    return d.select("symbol", "part", "name", report("low").alias("low"), report("high").alias("high"), report("prob_pct", 1).alias("prob_pct"))
+
+
 @query("prediction_events", "zt", f"SELECT CAST(symbol AS VARCHAR) AS symbol, market, CAST(score AS BIGINT) AS risk_score, {q('close')} AS current, {q('max(lo) FILTER (zone = ' + chr(39) + 'primary' + chr(39) + ')')} AS primary_low, {q('max(hi) FILTER (zone = ' + chr(39) + 'secondary' + chr(39) + ')')} AS secondary_high FROM zt WHERE logic = 'current' GROUP BY symbol, market, idx, score, close")
 def _events(m):
     d = R.prediction_events(zones(m))
