@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barline.functions.numeric import finite, half_even, lit
 from barline.operators import indicators as ind
 from barline.operators.automaton import scanned
-from barline.operators.joins import forward_bars
 from barline.series import SEGMENT, by_symbol, own_rows, segmented
 
 FIXED_TOLERANCE, MIN_TOLERANCE, MAX_TOLERANCE = 0.015, 0.008, 0.045
@@ -491,6 +490,3 @@ def merge_targets(levels: DataFrame, patterns: DataFrame, state: DataFrame, dire
     out = levels.join(credit, ["symbol", "level"], "left").fillna(0, ["matches", "raises"])
     raised = half_even(F.least(F.lit(97.0), F.col("prob_pct") + 2.0 * F.col("raises")), 1)
     return out.withColumn("prob_pct", F.when(F.col("raises") > 0, raised).otherwise(F.col("prob_pct"))).withColumn("pattern_confluence", F.col("matches") > 0), judged
-
-
-_ = forward_bars

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from barline.functions.numeric import report
-from barline.operators import aggregates as A, backtest as B, joins as J
+from barline.operators import backtest as B, joins as J
 from barline.plans.indicators import _SLOPE, over
 from barline.plans.markets import regime_by_date
 from barline.plans.registry import cte, he, q, query
@@ -336,6 +336,3 @@ def _zfh(m):
     s = d.groupBy("market", "bar_date").agg(F.avg("ret").alias("ret"), F.avg("a").alias("atr"))
     r = B.zone_first_hit(s, ["market"])
     return r.select("market", "zone", report("win_prob", 3).alias("win_prob"), report("expected_return_pct", 5).alias("expected_return_pct"), report("avg_hold_days", 4).alias("avg_hold_days"), report("avg_failed_loss_pct", 5).alias("avg_failed_loss_pct"), report("sharpe_proxy", 3).alias("sharpe_proxy"))
-
-
-_ = A

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from barline.functions import calendar as C, scores as S, text as T
+from barline.functions import scores as S, text as T
 from barline.functions.numeric import half_even, report
 from barline.operators import aggregates as A, backtest as B, decisions as D, news as N
 from barline.operators.scan import end_values
@@ -354,6 +354,3 @@ def _calib(m):
     b = F.when(F.col("confidence") < 35, "low").when(F.col("confidence") < 60, "mid").otherwise("high")
     fine = h.withColumn("bucket", b).groupBy("profile", "bucket").agg(report(F.avg("confidence"), 2).alias("p"), report(F.avg(F.col("hit").cast("double")) * 100, 2).alias("a"))
     return d.join(fine, ["profile", "bucket"]).select("profile", "bucket", "n_signals", F.col("p").alias("predicted_pct"), F.col("a").alias("actual_pct"))
-
-
-_ = (A, C)

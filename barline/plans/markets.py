@@ -6,8 +6,6 @@ from barline.functions import scores as S
 from barline.functions.numeric import report
 from barline.operators import aggregates as A, indicators as ind, joins as J, rank as R
 from barline.operators.quantiles import exact_quantiles
-from barline.operators.scan import end_values
-from barline.plans.indicators import over
 from barline.plans.registry import cte, he, q, query
 from barline.series import by_symbol, own_rows, segmented
 
@@ -392,6 +390,3 @@ def _expo_pen(m):
     d = d.withColumns({"max_cluster_pct": F.lit(25.0), "max_super_cluster_pct": F.lit(40.0)})
     taken = S.penalties()
     return d.select("account", "sector", "cluster", report("cluster_exposure_pct").alias("exposure_pct"), report("super_cluster_exposure_pct").alias("super_exposure_pct"), *[taken[c].alias(c) for c in ("cluster_penalty", "super_cluster_penalty")])
-
-
-_ = (end_values, over)

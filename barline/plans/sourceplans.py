@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from barline.functions import calendar as C, scores as S
-from barline.functions.numeric import half_even, report
-from barline.operators import aggregates as A, backtest as B, decisions as D, indicators as ind, patterns as P
+from barline.functions import calendar as C
+from barline.functions.numeric import report
+from barline.operators import aggregates as A, backtest as B, decisions as D, indicators as ind
 from barline.plans.decisionplans import plan
 from barline.plans.backtests import zones
 from barline.plans.registry import cte, he, q, query
@@ -257,6 +257,3 @@ _MEMBER = """sha256('{"market":"' || market || '","sleeve":"' || sleeve || '","s
 @query("universe_fingerprint", "universe", f"SELECT sector, count(*) AS members, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_PARTS})) AS fingerprint FROM (SELECT sector, {_MEMBER} AS h FROM universe) GROUP BY sector")
 def _fp(m):
     return B.fingerprint(m.universe.select("sector", "symbol", "market", "sleeve"), "sector")
-
-
-_ = (B, P, S, half_even)
