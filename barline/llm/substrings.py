@@ -28,7 +28,7 @@ _PIECES = WINDOW - PIECE + 1
 #: A window has its anchor and this many more bytes on one side at least.
 _SIDE = (WINDOW - PIECE) // 2
 #: Bytes of text that a task indexes at once, and that one message to each bucket is made from.
-CHUNK, MESSAGE = 1 << 19, 8 << 20
+CHUNK, MESSAGE = 1 << 19, 16 << 20
 #: Bytes of text for each bucket: few in small inputs, more in large ones.
 LEAST_BUCKET, MOST_BUCKET = 2 << 20, 64 << 20
 #: The same for the buckets in which texts meet their spans.
@@ -88,23 +88,31 @@ def contexts(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    buf = io.BytesIO()
-    buf.write(np.array([len(a) for a in arrays], "<u4").tobytes())
-    for a in arrays:
-        buf.write(a.tobytes())
-    return zstandard.ZstdCompressor(level=9).compress(buf.getvalue())
+    """Each array is a frame of its own, first bytes of all its numbers before the second ones: unlike bytes compress badly together."""
+    c = zstandard.ZstdCompressor(level=9)
+    frames = [c.compress(np.ascontiguousarray(a).view("u1").reshape(len(a), a.itemsize).T.tobytes()) for a in arrays]
+    return np.array([(len(a), len(f)) for a, f in zip(arrays, frames)], "<u4").tobytes() + b"".join(frames)
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    sizes = np.frombuffer(raw, "<u4", len(kinds))
-    out, at = [], 4 * len(kinds)
-    for kind, n in zip(kinds, sizes):
-        out.append(np.frombuffer(raw, kind, int(n), at))
-        at += int(n) * np.dtype(kind).itemsize
+    d = zstandard.ZstdDecompressor()
+    out, at = [], 8 * len(kinds)
+    for kind, (n, size) in zip(kinds, np.frombuffer(data, "<u4", 2 * len(kinds)).reshape(-1, 2).tolist()):
+        raw = np.frombuffer(d.decompress(data[at : at + size]), "u1").reshape(np.dtype(kind).itemsize, n)
+        out.append(np.ascontiguousarray(raw.T).reshape(-1).view(kind))
+        at += size
     return out
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, modulo 2**32; ``_sums`` takes them back."""
+    return np.diff(x.astype(np.int64), prepend=0).astype("<u4")
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=np.uint32)
+
+
 _KINDS = ("<i8", "<u4", "<u4", "u1", "u1", "u1")
 
 
@@ -144,17 +152,16 @@ def _messages(buckets: int, hot: np.ndarray):
         size = 0
 
         def flush():
-            raw, at, place, count, offset, h, keys = [np.concatenate(c) for c in zip(*held)]
+            raw, at, place, count, offset, bucket, keys = [np.concatenate(c) for c in zip(*held)]
             held.clear()  # the parts are not needed beside the whole
-            bucket = (h % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort([h, bucket])
+            order = np.argsort(bucket, kind="stable")  # a bucket's contexts as they stand in the texts: small steps
             cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             numbers, blobs = [], []
             for s, e in zip(cut, [*cut[1:], len(order)]):
                 o = order[s:e]
                 body, _ = ragged(raw, at[o].astype(np.int64), count[o].astype(np.int64) + WINDOW - 1)
                 own, index = np.unique(keys[o], return_inverse=True)
-                blobs.append(_pack(own.astype("<i8"), index.astype("<u4"), place[o], count[o], offset[o], body))
+                blobs.append(_pack(own.astype("<i8"), _steps(index), _steps(place[o]), count[o], offset[o], body))
                 numbers.append(int(bucket[o[0]]))
             return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
@@ -167,7 +174,7 @@ def _messages(buckets: int, hot: np.ndarray):
                 if not len(h):
                     continue
                 place = at + shift - (part_ends - np.diff(part_ends, prepend=0))[text]
-                held.append((part, (at + size).astype("<u4"), place.astype("<u4"), count.astype("u1"), offset.astype("u1"), h, keys[text]))
+                held.append((part, (at + size).astype("<u4"), place.astype("<u4"), count.astype("u1"), offset.astype("u1"), (h % np.uint64(buckets)).astype(np.int32), keys[text]))
                 size += len(part)
                 if size >= MESSAGE:
                     yield flush()
@@ -259,8 +266,9 @@ def _spans(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack(d, *_KINDS) for d in table.column("data").to_pylist()]
-        keys = np.concatenate([own[index] for own, index, *_ in parts])
-        place, count, offset, body = (np.concatenate([p[i] for p in parts]).astype(np.uint8 if i == 5 else np.int64) for i in (2, 3, 4, 5))
+        keys = np.concatenate([own[_sums(index)] for own, index, *_ in parts])
+        place = np.concatenate([_sums(p[2]) for p in parts]).astype(np.int64)
+        count, offset, body = (np.concatenate([p[i] for p in parts]).astype(np.uint8 if i == 5 else np.int64) for i in (3, 4, 5))
         edge = np.diff(np.pad(covered(keys, count, offset, body).astype(np.int8), ((0, 0), (1, 1))), axis=1)
         (i, s), (_, e) = np.nonzero(edge == 1), np.nonzero(edge == -1)
         out = pa.Table.from_arrays(_packed_spans(keys[i], place[i] + s, e - s + WINDOW - 1, buckets), names=["bucket", "data"])

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -127,6 +128,27 @@ def test_text_longer_than_the_place_bits(monkeypatch):
     assert starts == set(range(len(raw) - 49))
 
 
+def test_messages_hold_every_window_once(monkeypatch):
+    """Texts of any length are cut into parts of CHUNK bytes; places and bytes of all windows come back from the packed messages."""
+    monkeypatch.setattr(substrings, "CHUNK", 5000)
+    monkeypatch.setattr(substrings, "MESSAGE", 12_000)
+    r = random.Random(8)
+    texts = {k: "".join(r.choice("abcé ") for _ in range(n)) for k, n in ((3, 30_000), (1 << 40, 49), (-5, 50), (7, 5000), (8, 4990), (9, 700))}
+    texts[11] = texts[7]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(texts), "text": list(texts.values())})
+    seen = []
+    for b in substrings._messages(7, np.zeros(0, np.uint64))(iter([batch])):
+        for data in b.column("data").to_pylist():
+            own, index, place, count, _, body = substrings._unpack(data, *substrings._KINDS)
+            at = 0
+            for k, p, n in zip(own[substrings._sums(index)].tolist(), substrings._sums(place).tolist(), count.tolist()):
+                assert bytes(body[at : at + n + 49]) == texts[k].encode()[p : p + n + 49]
+                seen += [(k, p + i) for i in range(n)]
+                at += n + 49
+            assert at == len(body)
+    assert sorted(seen) == sorted((k, i) for k, t in texts.items() for i in range(len(t.encode()) - 49))
+
+
 def test_repeat_groups_by_brute_force():
     r = random.Random(2)
     for _ in range(20):
