@@ -4,6 +4,7 @@ import pytest
 
 from barline import session
 from barline.operators import backtest as B
+from barline.plans.decisionplans import with_composite
 from tests_common import bars_of, path
 
 
@@ -26,3 +27,9 @@ def test_buckets_grow_with_the_source(spark, tmp_path, monkeypatch):
     session.stored(spark.range(10).withColumnRenamed("id", "symbol"), "grown", str(tmp_path), ["symbol"], ["symbol"])
     table = [t.name for t in spark.catalog.listTables() if t.name.startswith("barline_grown_")][0]
     assert "40" in [r.data_type for r in spark.sql(f"describe formatted {table}").collect() if r.col_name == "Num Buckets"]
+
+
+def test_ends_of_the_panel_take_no_more_than_a_query_reads(spark, market, monkeypatch):
+    monkeypatch.delitem(market.__dict__, "panel", raising=False)
+    plan = plan_of(with_composite(market.panel_ends()).select("symbol", "composite"))
+    assert "panel" not in market.__dict__ and "collect_list" not in plan and "stddev" not in plan
