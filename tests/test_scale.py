@@ -4,7 +4,10 @@ import pytest
 
 from barline import session
 from barline.operators import backtest as B
+from barline.plans import load
 from barline.plans.decisionplans import with_composite
+from barline.sources.market import Market
+from tables import SF
 from tests_common import bars_of, path
 
 
@@ -33,3 +36,21 @@ def test_ends_of_the_panel_take_no_more_than_a_query_reads(spark, market, monkey
     monkeypatch.delitem(market.__dict__, "panel", raising=False)
     plan = plan_of(with_composite(market.panel_ends()).select("symbol", "composite"))
     assert "panel" not in market.__dict__ and "collect_list" not in plan and "stddev" not in plan
+
+
+class Unwritten(Market):
+    """A market whose panel and snapshots must not be written."""
+
+    @property
+    def panel(self):
+        raise AssertionError("the whole panel")
+
+    @property
+    def snapshots(self):
+        raise AssertionError("the whole snapshots")
+
+
+@pytest.mark.parametrize("name", ["zone_first_hit"])
+def test_bars_are_enough(spark, name):
+    plan = plan_of(load()[0][name](Unwritten(spark, SF)))
+    assert "smma" not in plan and "hurst" not in plan
