@@ -3,9 +3,10 @@
 import pytest
 
 from barline import session
-from barline.operators import backtest as B
+from barline.operators import backtest as B, indicators as ind
 from barline.plans import load
 from barline.plans.decisionplans import with_composite
+from barline.series import own_rows, segmented
 from barline.sources.market import Market
 from tables import SF
 from tests_common import bars_of, path
@@ -54,3 +55,17 @@ class Unwritten(Market):
 def test_bars_are_enough(spark, name):
     plan = plan_of(load()[0][name](Unwritten(spark, SF)))
     assert "smma" not in plan and "hurst" not in plan
+
+
+@pytest.mark.parametrize("size", [4096, 300])
+def test_year_range_by_brute_force(spark, size):
+    o, h, lo, c, v = path(700)
+    d = own_rows(ind.with_year_range(segmented(bars_of(spark, (o, h, lo, c, v), path(10)), 252, size=size)))
+    assert "specifiedwindowframe(RowFrame, -251," not in plan_of(d)
+    rows = {r.bar_idx: r for r in d.filter("symbol = 0").collect()}
+    assert len(rows) == 700 and d.count() == 710
+    for i, r in rows.items():
+        hi, low, c20 = max(h[max(0, i - 251):i + 1]), min(lo[max(0, i - 251):i + 1]), c[max(0, i - 19)]
+        assert (r.high_52w, r.low_52w) == (hi, low)
+        assert r.pos_52w_pct == pytest.approx((c[i] - low) / (hi - low) * 100) and r.from_high_pct == pytest.approx((c[i] - hi) / hi * 100)
+        assert r.change_20d_pct == (pytest.approx((c[i] - c20) / c20 * 100) if i else None)
