@@ -51,7 +51,7 @@ class Unwritten(Market):
         raise AssertionError("the whole snapshots")
 
 
-@pytest.mark.parametrize("name", ["zone_first_hit", "fear_signal", "sector_relative", "market_immunity", "risk_gate_summary", "prediction_events", "opening_surge"])
+@pytest.mark.parametrize("name", ["zone_first_hit", "fear_signal", "sector_relative", "market_immunity", "risk_gate_summary", "prediction_events", "opening_surge", "document_rows", "output_documents", "pattern_targets"])
 def test_bars_are_enough(spark, name):
     plan = plan_of(load()[0][name](Unwritten(spark, SF)))
     assert "smma" not in plan and "hurst" not in plan
