@@ -275,3 +275,18 @@ def test_stage_near_dedup_links_five_word_shingles(spark, monkeypatch, ranked):
     got = {x.doc_id: x.component_id for x in shingles.near_duplicates(docs).collect()}
     assert got == top
     assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(top.values())
+
+
+def test_near_dedup_leaves_no_candidates_behind(spark):
+    import os
+
+    from barline.session import work_dir
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:30], f"x{i % 3}", *words[30:]]), "en", "s", 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    folder = os.path.join(work_dir(spark), "barline-llm")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    shingles.near_duplicates(docs).collect()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert not left & {"shingle-counts", "shingle-prefixes", "shingle-near", "shingle-pairs", "shingle-rest", "shingle-sets"}
