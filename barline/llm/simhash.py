@@ -44,7 +44,11 @@ def shingle_hashes(text: bytes, width: int = WORDS) -> np.ndarray:
 
 def fingerprint(text: bytes) -> int:
     """Bit by bit the majority of the hashes of the shingles; 0 without words."""
-    h = shingle_hashes(text)
+    return majority(shingle_hashes(text))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of these hashes as a signed long: a bit is set if it is in over half of them."""
     if not len(h):
         return 0
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
