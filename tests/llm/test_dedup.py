@@ -292,7 +292,7 @@ def test_near_dedup_leaves_no_candidates_behind(spark):
     assert not left & {"shingle-counts", "shingle-prefixes", "shingle-near", "shingle-pairs", "shingle-rest", "shingle-sets"}
 
 
-def test_near_dedup_links_close_fingerprints_first(spark):
+def test_near_dedup_pairs_close_fingerprints(spark):
     words = [f"w{i}" for i in range(400)]
     apart = [f"v{i}" for i in range(300)]
     rows = [(i, " ".join([*words, *[f"x{j}" for j in range(i)]])) for i in range(3)] + [(10 + i, " ".join([*apart[: 300 - i], *[f"y{j}" for j in range(i)]])) for i in (0, 30)]
@@ -302,6 +302,6 @@ def test_near_dedup_links_close_fingerprints_first(spark):
     fp = {x["first"]: (x["node"], x["fp"]) for x in nodes.collect()}
     assert all(fp[k][1] == simhash.majority(shingles.shingle_set(t.encode())) for k, t in rows)
     assert (fp[0][1] ^ fp[1][1]).bit_count() <= 2 < (fp[10][1] ^ fp[40][1]).bit_count()
-    got = {(x.a, x.b) for x in shingles.simhash_links(nodes, docs, "text", "doc_id").collect()}
+    got = {(x.a, x.b) for x in shingles.simhash_pairs(nodes).collect()}
     assert got and got <= {(min(fp[a][0], fp[b][0]), max(fp[a][0], fp[b][0])) for a in (0, 1, 2) for b in (0, 1, 2) if a != b}
     assert {x.doc_id: x.component_id for x in shingles.near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 0, 10: 10, 40: 10 if brute_alike(rows[3:])[1] else 40}
