@@ -305,3 +305,31 @@ def test_near_dedup_pairs_close_fingerprints(spark):
     got = {(x.a, x.b) for x in shingles.simhash_pairs(nodes).collect()}
     assert got and got <= {(min(fp[a][0], fp[b][0]), max(fp[a][0], fp[b][0])) for a in (0, 1, 2) for b in (0, 1, 2) if a != b}
     assert {x.doc_id: x.component_id for x in shingles.near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 0, 10: 10, 40: 10 if brute_alike(rows[3:])[1] else 40}
+
+
+def test_shared_prefixes_are_those_of_several_sets(spark):
+    r = random.Random(5)
+    rows = [(h, node, (h + node) % 3, 9) for h in range(40) for node in r.sample(range(8), r.randint(1, 4)) for _ in range(r.randint(1, 3))]
+    want = set()
+    for h in range(40):
+        own = {x for x in rows if x[0] == h}
+        least = min((pos, node, n) for _, node, pos, n in own)
+        want |= {(*x, least) for x in own} if len({x[1] for x in own}) > 1 else set()
+    d = shingles.shared_prefixes(spark.createDataFrame(rows, "h bigint, node bigint, pos int, n int"))
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = [(x.h, x.node, x.pos, x.n, tuple(x.rep)) for x in d.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < len(set(rows))
+
+
+@pytest.mark.parametrize("bits", [shingles.MARKS, 64])
+def test_sets_are_found_without_a_shuffle_of_texts(spark, monkeypatch, bits):
+    monkeypatch.setattr(shingles, "MARKS", bits)
+    texts = {i: " ".join(f"w{i % 30}x{j}" for j in range(12 + i % 30)) for i in range(90)}  # three copies of each
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id bigint, text string")
+    nodes = spark.createDataFrame(shingles.prints(docs, "text", "doc_id").groupBy("node").agg(F.min("__key").alias("first")).collect(), "node bigint, first bigint")
+    d = shingles.sets_of(docs, nodes.where("first % 7 = 3"), "text", "doc_id")
+    shuffled = [line for line in d._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert shuffled and not any("text" in line for line in shuffled)
+    got = {x.node: {v % 2**64 for v in x.own} for x in d.collect()}
+    own = {i: shingles.shingle_set(texts[i].encode()) for i in range(3, 30, 7)}
+    assert got == {np.uint64(shingles._node(s)).astype(np.int64).item(): set(s.tolist()) for s in own.values()}
