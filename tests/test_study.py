@@ -1,7 +1,7 @@
 """The strategy study writes only the steps that a query reads."""
 
 from barline.operators import backtest as B
-from barline.plans import backtests as P
+from barline.plans import backtests as P, decisionplans
 from barline.sources.market import Market
 from tables import SF
 
@@ -13,9 +13,9 @@ def test_outcomes_are_read_without_trades_or_scores(spark, monkeypatch):
     assert [n for n in names if n.startswith(("trades", "scored"))] == []
 
 
-def test_setups_write_no_panel(spark):
+def test_setups_and_targets_write_no_panel(spark):
     m = Market(spark, SF)
-    P.setups(m)
+    P.setups(m), decisionplans.targets(m)
     assert "panel" not in m.__dict__
 
 
