@@ -13,9 +13,9 @@ def test_outcomes_are_read_without_trades_or_scores(spark, monkeypatch):
     assert [n for n in names if n.startswith(("trades", "scored"))] == []
 
 
-def test_setups_and_targets_write_no_panel(spark):
+def test_setups_targets_and_risk_write_no_panel(spark):
     m = Market(spark, SF)
-    P.setups(m), decisionplans.targets(m)
+    P.setups(m), decisionplans.targets(m), P._risk(m)
     assert "panel" not in m.__dict__
 
 
